@@ -3,18 +3,44 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, tokenfile
+from . import bpe, langid, packing, tokenfile, toxicity, winnow
 from .common import table
 
 
+def fold(modulus: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> langid.Model:
+    return langid.fit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang").where(fold(5) != 0))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    return toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold(3) != 1))
+
+
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.predict(table(spark, sf_dir, "documents"), language_model(spark, sf_dir))
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
@@ -23,7 +49,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op6_best_fit_packing, op10_token_file)}
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_toxicity, op4_byte_bpe, op5_language_id, op6_best_fit_packing, op10_token_file)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
