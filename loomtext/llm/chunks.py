@@ -11,13 +11,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-_RUN = re.compile(r"\s (?:\s|\Z)")
+RUN = re.compile(r"\s (?:\s|\Z)")
 
 
 class Remembered(dict):
     """A bounded memory of ``f``; emptied when full, so it never grows with the data."""
 
-    def __init__(self, f: Callable[[str], bytes], most: int = 250_000, longest: int = 64):
+    def __init__(self, f: Callable[[str], bytes], most: int = 400_000, longest: int = 64):
         self.f, self.most, self.longest = f, most, longest
 
     def __missing__(self, key: str) -> bytes:
@@ -37,17 +37,7 @@ class SpacedEncoder:
         self.spaced = Remembered(lambda part: encode(" " + part))
 
     def __call__(self, text: str) -> bytes:
-        if _RUN.search(text):
+        if RUN.search(text):
             return self.encode(text)
         first, *rest = text.split(" ")
         return self.encode(first) + b"".join(map(self.spaced.__getitem__, rest))
-
-
-class WordEncoder:
-    """The same for a tokenizer that drops all white space, so that words never depend on each other."""
-
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.words = Remembered(encode)
-
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))

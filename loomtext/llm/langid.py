@@ -3,7 +3,7 @@
 Texts become normalised TF-IDF vectors of hashed character n-grams (1 to 3 letters, words kept apart by a
 space). Every language has several centroids, found by spherical k-means; the language of the centroid with
 the largest cosine is predicted. A text is rejected if even that cosine is well below what the language's
-own training texts reach.
+own training texts reach; the few n-grams of a short text cannot come near a centroid, so less is asked of it.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import batch, map_batches, mix64
 
 DIMENSIONS = 4096
+#: Texts with fewer different n-grams than this are rejected at smaller cosines only.
+FULL = 600
 _APART = re.compile(r"[\W\d_]+")
 _BLOCK = 1 << 19
 
@@ -46,6 +48,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+def reach(counts: np.ndarray) -> float:
+    """How near a text of so many different n-grams can come to a dense centroid, as a share."""
+    return float(min(1.0, np.sqrt(np.count_nonzero(counts) / FULL)))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -63,10 +70,10 @@ class Model:
         found = [(i, c) for i, t in enumerate(texts) if t and (c := grams(t)) is not None]
         if found and self.languages:
             near = self.vectors(np.array([c for _, c in found], np.float32)) @ self.centroids.T
-            for (i, _), row in zip(found, near, strict=True):
+            for (i, c), row in zip(found, near, strict=True):
                 k = int(row.argmax())
                 own = int(self.owner[k])
-                out[i] = (self.languages[own], float(min(1.0, max(0.0, row[k]))), bool(row[k] < self.floor[own]))
+                out[i] = (self.languages[own], float(min(1.0, max(0.0, row[k]))), bool(row[k] < self.floor[own] * reach(c)))
         return out
 
 
@@ -83,7 +90,7 @@ def _clusters(x: np.ndarray, most: int, rounds: int = 8) -> np.ndarray:
     return c[sizes >= max(1, len(x) // 50)] if len(c) > 1 else c
 
 
-def fit(docs: DataFrame, sample_rows: int = 2000, clusters: int = 4, reject_share: float = 0.5, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+def fit(docs: DataFrame, sample_rows: int = 2000, clusters: int = 4, reject_share: float = 0.6, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Learns from the rows of ``docs`` with a language, of which at most about ``sample_rows`` are used.
 
     The sample has about equally many rows of every language, chosen by a hash of the id; at most twice
@@ -119,7 +126,8 @@ def fit(docs: DataFrame, sample_rows: int = 2000, clusters: int = 4, reject_shar
         c = _clusters(own, clusters)
         owner += [len(model.languages)] * len(c)
         centroids.append(c)
-        floor.append(reject_share * float(np.quantile((own @ c.T).max(1), 0.01)))
+        share = np.array([reach(v) for v in counts[langs == lang]])
+        floor.append(reject_share * float(np.quantile((own @ c.T).max(1) / share, 0.01)))
         model.languages.append(lang)
     model.centroids, model.owner, model.floor = np.concatenate(centroids or [model.centroids]), np.array(owner, np.int64), np.array(floor)
     return model

@@ -11,28 +11,15 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import SpacedEncoder, WordEncoder
 from .common import batch, cut, map_batches
-
-
-@lru_cache(maxsize=4)
-def library_encoder(path: str, spaced: bool) -> Callable[[str], bytes]:
-    """Ids by the tokenizers library as packed unsigned 32-bit integers; parts that recur are remembered.
-    ``spaced``: a byte-level tokenizer; else one that drops white space."""
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    one = lambda s: np.array(t.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-    return SpacedEncoder(one) if spaced else WordEncoder(one)
+from .library import library_encoder
 
 
 def tokenized_pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import NULL_KEY, batch, cut, map_batches, order_bounds, shared_dir, shuffle_parts
-from .packing import library_encoder
+from .library import library_encoder
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 

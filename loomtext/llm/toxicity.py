@@ -5,8 +5,8 @@ mark, clause end, other). Three context transducers follow: one marks what stand
 a negation, one what stands in reported or quoted speech, one what stands in a clause with a target. Their composition reads
 a text once and emits every insult or threat together with its context. The insults are learned from labelled
 rows, whole words and word beginnings; how far a context lowers the weight of a match starts from a
-prior and is corrected by what the labels say. The score of a text is the chance that at least one of its
-matched clauses is meant, not a count of isolated words.
+prior and is corrected by what the labels say. What the
+matches of a text amount to, taken together, is put on the scale of the labels by logistic regression.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import product
+from math import exp, log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,6 +100,7 @@ class Model:
     words: dict[str, float]
     beginnings: dict[str, float]
     contexts: dict[int, float] = field(default_factory=lambda: {m: prior(m) for m in range(8)})
+    scale: tuple[float, float] = (2.0, -2.0)
 
     def __post_init__(self):
         closed = {w: s for s, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws}
@@ -116,7 +119,7 @@ class Model:
         self.symbol = Remembered(symbol)
 
     def __reduce__(self):
-        return Model, (self.words, self.beginnings, self.contexts)
+        return Model, (self.words, self.beginnings, self.contexts, self.scale)
 
     def matches(self, text: str) -> list[tuple[int, float]]:
         """(context, weight) of every insult and of every threat with a target, in text order."""
@@ -131,14 +134,15 @@ class Model:
                 found.append((mark, p))
         return found
 
+    def evidence(self, text: str | None) -> float:
+        """Minus the log of the chance that no match is meant."""
+        return sum(-log(1.0 - p * self.contexts[mark]) for mark, p in self.matches(text or ""))
+
     def score(self, text: str | None) -> float:
-        left = 1.0
-        for mark, p in self.matches(text or ""):
-            left *= 1.0 - p * self.contexts[mark]
-        return 1.0 - left
+        return 1.0 / (1.0 + exp(-max(-30.0, min(30.0, self.scale[0] * self.evidence(text) + self.scale[1]))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, most_terms: int = 2000, least_support: int = 8, least_precision: float = 0.9, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, most_terms: int = 2000, least_support: int = 8, least_precision: float = 0.85, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns insults and the weight of contexts from ``labels`` (id, label), of which ``sample_rows`` are
     used, chosen by a hash of the id; only terms (at most ``most_terms`` words and as many beginnings) and
     counts by context come to the driver.
@@ -181,9 +185,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, most_terms:
     for m in range(8):
         pos, neg = totals.get((m, 1), 0), totals.get((m, 0), 0)
         model.contexts[m] = (pos + PRIOR_ROWS * prior(m)) / (pos + neg + PRIOR_ROWS)
+    gauged = pa.schema([("e", pa.float64()), ("y", pa.int32())])
+
+    def gauge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield batch(gauged, [[model.evidence(t.as_py()) for t in b.column(1)], b.column(0)])
+
+    seen = [(r["e"], r["y"]) for r in map_batches(rows, gauge, "e double, y int").limit(4 * sample_rows).collect()]
+    model.scale = _logistic(np.array([e for e, _ in seen]), np.array([y for _, y in seen], float))
     return model
 
 
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of P(y | x) by Newton's method, with ten rows in favour of the default."""
+    x, y, weight = np.concatenate([x, [4.0, 0.0]]), np.concatenate([y, [1.0, 0.0]]), np.concatenate([np.ones(len(x)), [10.0, 10.0]])
+    a, b = 1.0, -2.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        w = weight * p * (1 - p)
+        h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
+        step = np.linalg.solve(h, [(weight * (y - p) * x).sum() - 0.1 * (a - 1), (weight * (y - p)).sum()])
+        step = np.clip(step, -1, 1)
+        a, b = a + step[0], b + step[1]
+        if abs(step).max() < 1e-6:
+            break
+    return max(float(a), 0.05), float(b)
+
+
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """(id, score, predicted) for every row: map-only. Null and empty texts score 0."""
     schema = pa.schema([(id_col, pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
