@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, tokenfile, toxicity, warc, winnow
+from . import bpe, html, langid, packing, tokenfile, toxicity, warc, winnow
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -53,7 +57,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op2_toxicity, op4_byte_bpe, op5_language_id, op6_best_fit_packing, op9_warc, op10_token_file)}
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_toxicity, op3_html_text, op4_byte_bpe, op5_language_id, op6_best_fit_packing, op9_warc, op10_token_file)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
