@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, packing, tokenfile, toxicity, vectors, warc, winnow
+from . import bpe, html, langid, orderhash, packing, tokenfile, toxicity, vectors, warc, winnow
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -61,7 +65,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op2_toxicity, op3_html_text, op4_byte_bpe, op5_language_id, op6_best_fit_packing, op8_flat_graph, op9_warc, op10_token_file)}
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_toxicity, op3_html_text, op4_byte_bpe, op5_language_id, op6_best_fit_packing, op7_order_minhash, op8_flat_graph, op9_warc, op10_token_file)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
