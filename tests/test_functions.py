@@ -1,0 +1,84 @@
+import pytest
+from pyspark.sql import functions as F
+
+from loomtext.functions import display, urls
+from loomtext.functions.normalize import LOWER, STEM, lower_column, normalize
+from loomtext.functions.stemming import measure, measure_column, stem, stem_column
+from loomtext.functions.tokens import words, words_column
+from loomtext.queries import STEMS
+
+# Texts and their words.
+TEXTS = [
+    ("Hello World! test gamertag123", ["Hello", "World", "test", "gamertag123"]),
+    ("", []),
+    ("Hello", ["Hello"]),
+    ("Hello!....", ["Hello"]),
+    ("Hello\nWorld!", ["Hello", "World"]),
+    ("   Hello    World!   ", ["Hello", "World"]),
+    ("Hello\n\nWorld!\n", ["Hello", "World"]),
+    ("str123ing 456", ["str123ing", "456"]),
+    ("Hello 世界", ["Hello", "世界"]),
+    ("(Hello (World))", ["Hello", "World"]),
+]
+# Words and their measure.
+MEASURES = {"tr": 0, "ee": 0, "tree": 0, "y": 0, "by": 0, "trouble": 1, "oats": 1, "trees": 1, "ivy": 1, "troubles": 2, "private": 2, "oaten": 2, "orrery": 2}
+
+
+def test_words(spark):
+    assert [words(t) for t, _ in TEXTS] == [w for _, w in TEXTS]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TEXTS)], "i int, t string")
+    assert [r["w"] for r in df.select("i", words_column("t").alias("w")).orderBy("i").collect()] == [w for _, w in TEXTS]
+
+
+def test_stems(spark):
+    assert {w: stem(w) for w in STEMS} == STEMS
+    df = spark.createDataFrame([(w,) for w in STEMS] + [(None,)], "w string")
+    assert {r["w"]: r["s"] for r in df.select("w", stem_column(F.col("w")).alias("s")).collect()} == STEMS | {None: None}
+
+
+def test_measure(spark):
+    assert {w: measure(w) for w in MEASURES} == MEASURES
+    df = spark.createDataFrame([(w,) for w in MEASURES], "w string")
+    assert {r["w"]: r["m"] for r in df.select("w", measure_column(F.col("w")).alias("m")).collect()} == MEASURES
+
+
+def test_normalizers(spark):
+    assert (normalize("Losing", LOWER), normalize("Losing", STEM), normalize("Losing", 7)) == ("losing", "lose", "Losing")
+    assert normalize("ΑΣİ") == "ασi"
+    assert spark.range(1).select(lower_column(F.lit("ΑΣİ")).alias("x")).first()["x"] == "ασi"
+
+
+# Query strings and their pairs.
+URL_QUERIES = {
+    "q=a+b&q=c%20d": [("q", "a+b"), ("q", "c d")],
+    "q=%zz&x=1": [("x", "1")],
+    "a;b=1&c": [("c", "")],
+    "": [],
+    "q=%C3%BC&&": [("q", "ü")],
+    "a=b=c": [("a", "b=c")],
+}
+
+
+def test_url_queries(spark):
+    for text, pairs in URL_QUERIES.items():
+        flat = [(k, v) for k, vs in urls.parse_query(text).items() for v in vs]
+        assert sorted(flat) == sorted(pairs), text
+    df = spark.createDataFrame([(t,) for t in URL_QUERIES], "t string")
+    got = {r["t"]: [tuple(p) for p in r["p"]] for r in df.select("t", urls.query_pairs(F.col("t")).alias("p")).collect()}
+    assert got == URL_QUERIES
+    assert spark.range(1).select(urls.joined_keys(F.lit("q=a+b&x=1&q=c")).alias("x")).first()["x"] == "a+b c"
+
+
+def test_display(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("x")).first()["x"]
+    assert value(display.basename(F.lit("a\\b/c.txt"))) == "c.txt"
+    assert value(display.extension(F.lit("/a.b/c"))) == "" and value(display.extension(F.lit("/a/.git"))) == ".git"
+    assert [value(display.source_name(F.lit(i))) for i in (0, 1, 2)] == ["local", "web", "unknown"]
+    assert value(display.source_type_number(F.lit("url"))) == 2
+    with pytest.raises(Exception, match="unknown source type"):
+        value(display.source_type_number(F.lit("ftp")))
+    assert value(display.result_line(F.lit(0), F.lit("p"), F.lit(0.126), F.lit(1))) == "0. Path: p Score: 0.13, Source: web"
+    assert value(display.score_text(F.lit(-0.3899750), 4)) == "-0.3900"
+    text = '"2025-01-01T01:01:01.000000001Z"'
+    assert value(display.time_text(display.read_time(F.lit(text)))) == "2025-01-01T01:01:01.000000Z"
