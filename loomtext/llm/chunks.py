@@ -17,7 +17,7 @@ RUN = re.compile(r"\s (?:\s|\Z)")
 class Remembered(dict):
     """A bounded memory of ``f``; emptied when full, so it never grows with the data."""
 
-    def __init__(self, f: Callable[[str], bytes], most: int = 400_000, longest: int = 64):
+    def __init__(self, f: Callable[[str], bytes], most: int = 150_000, longest: int = 64):
         self.f, self.most, self.longest = f, most, longest
 
     def __missing__(self, key: str) -> bytes:
@@ -34,7 +34,7 @@ class SpacedEncoder:
 
     def __init__(self, encode: Callable[[str], bytes]):
         self.encode = encode
-        self.spaced = Remembered(lambda part: encode(" " + part))
+        self.spaced = Remembered(lambda part: encode(" " + part), most=300_000)
 
     def __call__(self, text: str) -> bytes:
         if RUN.search(text):

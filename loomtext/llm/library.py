@@ -9,6 +9,8 @@ from functools import lru_cache
 from .chunks import RUN, Remembered
 
 _TAIL = ".,;:!?"
+#: Parts remembered by a worker: about 200 bytes each.
+MOST = 500_000
 #: Latin letters below this neither compose nor change by context when lowered.
 _PLAIN_END = "ƀ"
 
@@ -55,7 +57,7 @@ class WordEncoder(_Library):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.words = Remembered(self._word)
+        self.words = Remembered(self._word, most=MOST)
 
     def _word(self, word: str) -> bytes:
         if word.isalpha():
@@ -78,7 +80,7 @@ class SpacedEncoder(_Library):
     def __init__(self, path: str):
         super().__init__(path)
         self.first = Remembered(lambda part: self._part(part, "", self.first))
-        self.spaced = Remembered(lambda part: self._part(part, " ", self.spaced))
+        self.spaced = Remembered(lambda part: self._part(part, " ", self.spaced), most=MOST)
 
     def _part(self, part: str, space: str, same: Remembered) -> bytes:
         if part.isalpha() and _plain(part):
