@@ -26,6 +26,7 @@ from .chunks import Remembered
 from .common import batch, map_batches
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
+_OTHER, _QUOTE, _END = (OTHER, 0.0), (QUOTE, 0.0), (END, 0.0)
 
 # Small closed word classes of four languages.
 TARGETS = "you your yours u ur he she they them him her his their everyone nobody du dich dir dein ihr euch euer er sie tu toi te ton vous votre il elle ils elles usted ustedes ti tus vosotros ellos ellas".split()
@@ -114,7 +115,7 @@ class Model:
                     return INSULT, p
             if token in closed:
                 return closed[token], 0.6
-            return (QUOTE, 0.0) if token in '"“”«»„' else (END, 0.0) if token in ".!?;\n" else (OTHER, 0.0)
+            return _QUOTE if token in '"“”«»„' else _END if token in ".!?;\n" else _OTHER
 
         self.symbol = Remembered(symbol)
 
