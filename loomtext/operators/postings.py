@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import LOWER, STEM, lower_column, normalize_column
 from ..functions.stemming import stem_column
-from ..functions.tokens import words_column
+from ..functions.tokens import WORD, words_column
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -32,14 +32,14 @@ def renormalized(counts: DataFrame, normalizer: int = LOWER) -> DataFrame:
 
 def postings(docs: DataFrame, normalizer: int = LOWER) -> DataFrame:
     if normalizer == LOWER:  # one aggregation instead of two
-        terms = F.transform(words_column("raw_text"), lower_column)
-        return docs.select("path", F.explode(terms).alias("term")).groupBy("path", "term").agg(F.count("*").alias("freq"))
+        # the text is lowered as a whole, for that changes no word's bounds
+        return docs.select("path", F.explode(words_column(lower_column(F.col("raw_text")))).alias("term")).groupBy("path", "term").agg(F.count("*").alias("freq"))
     return renormalized(word_counts(docs), normalizer)
 
 
 def document_lengths(docs: DataFrame) -> DataFrame:
     """(path, n_terms): no shuffle, for every word counts whatever its normal form. Documents without words have none."""
-    return docs.select("path", F.size(words_column("raw_text")).cast("long").alias("n_terms")).where("n_terms > 0")
+    return docs.select("path", F.regexp_count("raw_text", F.lit(WORD)).cast("long").alias("n_terms")).where("n_terms > 0")
 
 
 def sorted_words(posted: DataFrame) -> DataFrame:

@@ -11,13 +11,14 @@ read. Both take any normal form; stems in a scan come from a dictionary of the q
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.normalize import LOWER, STEM, lower_column, normalize_column
-from ..functions.tokens import words_column
+from ..functions.normalize import LOWER, STEM, lower_column
+from ..functions.tokens import WORD
 from ..plans.query import ParsedQuery, parse
 from . import postings as P
 
@@ -32,34 +33,30 @@ def like_pattern(quotes: Sequence[str], raw: bool = False) -> str:
     return "%" + "%".join(quotes) + "%"
 
 
-def _term_array(normalizer: int) -> Column:
-    found = words_column("raw_text")
-    if normalizer == LOWER:
-        return F.transform(found, lower_column)
-    return F.transform(found, lambda w: normalize_column(w, normalizer)) if normalizer != STEM else found
-
-
 def _frequency(term: str) -> Column:
-    return F.size(F.filter("words", lambda w: w == term))
+    """Times that ``term`` is a whole word of the column ``low``; what is no word is none."""
+    if not re.fullmatch(WORD, term):
+        return F.lit(0)
+    edge = WORD.removesuffix("+")
+    return F.when(F.contains("low", F.lit(term)), F.regexp_count("low", F.lit(f"(?<!{edge}){term}(?!{edge})"))).otherwise(0)
 
 
 def _counted(docs: DataFrame, terms: list[str], query: ParsedQuery, normalizer: int, minus: str, raw: bool) -> DataFrame:
-    """(path, source, n_terms, freqs by position) of the documents that pass the filters."""
-    needed = sorted({*terms, *query.plus, *query.minus})
+    """(path, source, raw_text, freqs by position) of the documents that pass the filters.
+
+    Lowering changes no word's bounds, so a text is lowered as a whole; each term is sought by itself, first as a
+    plain substring.
+    """
     rows = docs
     if query.quotes:
         rows = rows.where(F.col("raw_text").like(like_pattern(query.quotes, raw)))
-    rows = rows.select("path", "source", _term_array(normalizer).alias("words"))
-    rows = rows.select("path", "source", F.size("words").cast("long").alias("n_terms"), F.filter("words", lambda w: w.isin(needed)).alias("words"))
+    rows = rows.withColumn("low", lower_column(F.col("raw_text")) if normalizer == LOWER else F.col("raw_text"))
+    has = lambda w: F.coalesce(_frequency(w) > 0, F.lit(False))
     for w in query.plus:
-        rows = rows.where(F.array_contains("words", w))
-    if query.minus:
-        if minus == AS_CODED:
-            for w in query.minus:
-                rows = rows.where(F.array_contains("words", w))
-        else:
-            rows = rows.where(~F.arrays_overlap("words", F.array(*map(F.lit, query.minus))))
-    return rows.select("path", "source", "n_terms", F.array(*map(_frequency, terms)).alias("freqs"))
+        rows = rows.where(has(w))
+    for w in query.minus:
+        rows = rows.where(has(w) if minus == AS_CODED else ~has(w))
+    return rows.select("path", "source", "raw_text", F.array(*map(_frequency, terms)).alias("freqs"))
 
 
 def _empty(docs: DataFrame) -> DataFrame:
@@ -86,7 +83,9 @@ def search(docs: DataFrame, query: str, k: int | None = 10, normalizer: int = LO
     rows = _counted(docs, terms, parsed, normalizer, minus, raw_phrases)
     df = rows.agg(F.array(*[F.count_if(F.col("freqs")[i] > 0) for i in range(len(terms))])).scalar()
     total = docs.agg(F.count("*")).scalar()
-    hits = rows.where(F.exists("freqs", lambda f: f > 0)).select("path", "source", "n_terms", "freqs", df.alias("df"), total.cast("double").alias("n"))
+    any_hit = F.array_max("freqs") > 0
+    n_terms = F.regexp_count("raw_text", F.lit(WORD)).alias("n_terms")
+    hits = rows.where(any_hit).select("path", "source", n_terms, "freqs", df.alias("df"), total.cast("double").alias("n"))
     parts = [F.when(F.col("freqs")[i] > 0, F.col("freqs")[i] / F.col("n_terms") * F.log2(F.col("n") / (F.col("df")[i] + 1))).otherwise(0.0) for i in range(len(terms))]
     score = parts[0]
     for p in parts[1:]:

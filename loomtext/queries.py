@@ -33,12 +33,18 @@ POSTINGS = f"SELECT path, term, count(*) AS freq FROM (SELECT path, lower(unnest
 VOCABULARY = f"(SELECT DISTINCT unnest({TOKENS}) AS word FROM {D})"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores is small; its rows are dealt to all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.lit(display.LOCAL).alias("source"), F.col("text").alias("raw_text"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("path"), F.lit(display.LOCAL).alias("source"), F.col("text").alias("raw_text"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.lit(display.WEB).alias("source"), F.col("html").alias("raw_text"))
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "html")).select(F.col("url").alias("path"), F.lit(display.WEB).alias("source"), F.col("html").alias("raw_text"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
