@@ -30,8 +30,8 @@ CLOSES_P = BLOCK - {"body", "html", "caption", "legend", "option", "tbody", "td"
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th", "tbody"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 DROP_TAGS = set("head nav footer aside form button select object svg canvas audio video dialog menu label input".split()) | RAW
-DROP_NAMES = set(
-    "ad ads advert adverts advertisement advertising adsbox banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+DROP_NAMES = re.compile(
+    "ads?|adbox|adsense|adslot|advert.*|alerts?|.*banner|breadcrumbs?|comments?.*|.*cookies?.*|.*consent|copyright|disclaimer|disqus.*|.*footer|gdpr.*|login|masthead|.*menu|modal.*|.*nav|navbar.*|navigation|newsletter.*|notices?|overlay|pager|paginat.*|paywall|popup.*|promo.*|recommend.*|related.*|repl(?:y|ies)|respond|search.*|share.*|sharing|.*sidebar.*|signup|skip.*|social.*|sponsor.*|subscri.*|teasers?|toolbar|topbar|trackbacks?|widget.*"
 )
 DROP_ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
@@ -62,8 +62,15 @@ class Element:
                 else:
                     self.hidden |= name == "hidden" or value == "true" or "display:none" in value.replace(" ", "")
 
-    def unwanted(self) -> bool:
-        return self.tag in DROP_TAGS or self.hidden or self.role in DROP_ROLES or any(n in DROP_NAMES for n in self.names)
+    def named_unwanted(self) -> bool:
+        return any(map(DROP_NAMES.fullmatch, self.names))
+
+    def heading(self) -> bool:
+        """Whether it calls itself a header and is not the head of an article: no title in it, or a menu."""
+        return (self.tag == "header" or "header" in self.names) and (not _has(self, ("h1", "h2")) or _has(self, ("nav", "form", "menu")))
+
+    def unwanted(self, by_name: bool = True) -> bool:
+        return self.tag in DROP_TAGS or self.hidden or self.role in DROP_ROLES or self.heading() or by_name and self.named_unwanted()
 
 
 def parse(html: str) -> Element:
@@ -143,20 +150,20 @@ def hashed(root: Element, host: str) -> list[Element]:
     return [e for e in found if e is not None]
 
 
-def _marks(e: Element, wanted: bool = True) -> list[Element]:
+def _marks(e: Element) -> list[Element]:
     """Elements that a page marks as its article, outermost first in page order."""
     stack, found = [e], []
     while stack:
         x = stack.pop()
-        if x.marked and not (x.tag == "article" and any(n in DROP_NAMES for n in x.names)):
+        if x.marked and not (x.tag == "article" and x.named_unwanted()):
             found.append(x)
             continue
-        if x.tag not in DROP_TAGS and x.role not in DROP_ROLES and not (wanted and x.tag not in ("#", "html", "body") and any(n in DROP_NAMES for n in x.names)):
+        if x.tag not in DROP_TAGS and x.role not in DROP_ROLES and (x.tag in ("#", "html", "body") or _has_mark(x) or not x.named_unwanted()):
             stack += [p for p in reversed(x.parts) if not isinstance(p, str)]
     return found
 
 
-def blocks(e: Element, template: frozenset[int] | set[int] = frozenset(), top: bool = True) -> list[str]:
+def blocks(e: Element, template: frozenset[int] | set[int] = frozenset(), by_name: bool = True) -> list[str]:
     """Text of the wanted blocks in page order, white space made one space."""
     out: list[str] = []
     held: list[str] = []
@@ -184,8 +191,7 @@ def blocks(e: Element, template: frozenset[int] | set[int] = frozenset(), top: b
             if x.key and x.key in template and not x.marked:
                 flush()
                 continue
-            heads = x.tag == "header" and not _has(x, ("h1", "h2"))
-            if (x.unwanted() or heads) and x.tag not in ("html", "body") and not _has_mark(x):
+            if x.tag not in ("html", "body") and x.unwanted(by_name) and not _has_mark(x):
                 if x.tag in BLOCK:
                     flush()
                 continue
@@ -212,7 +218,7 @@ def _has(e: Element, tags: tuple[str, ...]) -> bool:
 
 
 def _has_mark(e: Element) -> bool:
-    return e.tag not in DROP_TAGS and _any(e, lambda x: x.marked and not any(n in DROP_NAMES for n in x.names))
+    return e.tag not in DROP_TAGS and _any(e, lambda x: x.marked and not x.named_unwanted())
 
 
 def article_roots(root: Element) -> list[Element]:
@@ -254,7 +260,19 @@ def text_of(html: str | None, url: str | None = None, template: frozenset[int] |
     root = parse(html)
     if template:
         hashed(root, host_of(url))
-    return "\n\n".join(b for r in article_roots(root) for b in blocks(r, template))
+    return "\n\n".join(main_blocks(root, template))
+
+
+def main_blocks(root: Element, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
+    """Blocks of the article. If less than a hundredth is left of a page, what its names or its template say about it is
+    not believed: first the template, then the names."""
+    roots = article_roots(root)
+    full = sum(len(b) for r in roots for b in blocks(r, by_name=False))
+    for known, by_name in ((template, True), (frozenset(), True), (frozenset(), False)):
+        found = [b for r in roots for b in blocks(r, known, by_name)]
+        if 100 * sum(map(len, found)) >= full:
+            return found
+    return found
 
 
 def extract(pages: DataFrame, least_pages: int = 8, broadcast_limit: int = 500_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -275,7 +293,7 @@ def extract(pages: DataFrame, least_pages: int = 8, broadcast_limit: int = 500_0
                 html = html.as_py() or ""
                 root = parse(html)
                 keys = candidates(root, host_of(url))
-                content = xxhash.xxh3_64_intdigest("\n".join(t for r in article_roots(root) for t in blocks(r))) - (1 << 63)
+                content = xxhash.xxh3_64_intdigest("\n".join(main_blocks(root))) - (1 << 63)
                 found.append((_page(url, html), content, keys))
             yield batch(keyed, list(zip(*found, strict=True)) if found else [[], [], []])
 

@@ -40,7 +40,10 @@ CASES = [
     ("<p>one<p>two", "one\n\ntwo"),
     ("<p>a <b>bold\n\t word</b>, b<br>c</p>", "a bold word, b c"),
     ("<nav>menu</nav><article><h1>T</h1><p>x</p><footer>f</footer></article><aside>s</aside>", "T\n\nx"),
-    ("<div class='site-header'>h</div><div id=content><p>x</p></div><div class=cookie-notice>c</div>", "h\n\nx"),
+    ("<div class='site-header'>h</div><div id=content><p>x</p></div><div class=cookie-notice>c</div>", "x"),
+    ("<div class='content with-sidebar'><p>all of the page</p></div>", "all of the page"),
+    ("<header><h1>Site</h1><nav>n</nav></header><p>x</p><ol class=commentlist><li>c</ol><div class=siteFooter>f</div>", "x"),
+    ("<div class=entry-header><h1>T</h1></div><p>x</p>", "T\n\nx"),
     ("<article><p>x</p><section class='comments'><article class=comment>hi</article></section></article>", "x"),
     ("<p>&lt;b&gt; &amp;amp; &eacute;&#233;&#x1F600; a&nbsp;b &unknown;</p>", "<b> &amp; éé😀 a b &unknown;"),
     ("<script>var t='<p>no</p>';</script><style>p{}</style><title>no</title><p>yes<!-- <p>no --></p>", "yes"),
