@@ -7,9 +7,15 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII that is neither letter nor digit splits; everything from U+0080 on belongs to words.
-WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-_WORD = re.compile(WORD)
+#: ASCII that is neither letter nor digit splits; everything from U+0080 on belongs to words. (For Java and RE2; named by
+#: what it has, for Java is ten times slower on the complement.)
+WORD_LETTER = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
+WORD = WORD_LETTER + "+"
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+
+
+def is_word(text: str) -> bool:
+    return _WORD.fullmatch(text) is not None
 
 
 def words(text: str) -> list[str]:
@@ -18,7 +24,7 @@ def words(text: str) -> list[str]:
 
 def words_column(text: Column | str) -> Column:
     """Array of the words of a string column, in text order; null for null."""
-    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(f"({WORD})"))
+    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(WORD), 0)
 
 
 def is_ascii(c: Column) -> Column:

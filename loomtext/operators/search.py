@@ -11,14 +11,13 @@ read. Both take any normal form; stems in a scan come from a dictionary of the q
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import LOWER, STEM, lower_column
-from ..functions.tokens import WORD
+from ..functions.tokens import WORD, WORD_LETTER, is_word
 from ..plans.query import ParsedQuery, parse
 from . import postings as P
 
@@ -35,10 +34,10 @@ def like_pattern(quotes: Sequence[str], raw: bool = False) -> str:
 
 def _frequency(term: str) -> Column:
     """Times that ``term`` is a whole word of the column ``low``; what is no word is none."""
-    if not re.fullmatch(WORD, term):
+    if not is_word(term):
         return F.lit(0)
-    edge = WORD.removesuffix("+")
-    return F.when(F.contains("low", F.lit(term)), F.regexp_count("low", F.lit(f"(?<!{edge}){term}(?!{edge})"))).otherwise(0)
+    whole = F.lit(f"{term}(?<!{WORD_LETTER}{term})(?!{WORD_LETTER})")  # begins with a literal, which is fast
+    return F.when(F.contains("low", F.lit(term)), F.regexp_count("low", whole)).otherwise(0)
 
 
 def _counted(docs: DataFrame, terms: list[str], query: ParsedQuery, normalizer: int, minus: str, raw: bool) -> DataFrame:
