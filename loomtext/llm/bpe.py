@@ -148,6 +148,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     schema = pa.schema([(id_col, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Remembered.claim("bpe")
         bpe = loaded(path, pattern)
         for b in batches:
             for lo in range(0, b.num_rows, 512):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from weakref import WeakSet
 
 RUN = re.compile(r"\s (?:\s|\Z)")
 
@@ -17,8 +18,22 @@ RUN = re.compile(r"\s (?:\s|\Z)")
 class Remembered(dict):
     """A bounded memory of ``f``; emptied when full, so it never grows with the data."""
 
+    alive: WeakSet[Remembered] = WeakSet()
+    owner = ""
+
     def __init__(self, f: Callable[[str], bytes], most: int = 150_000, longest: int = 64):
         self.f, self.most, self.longest = f, most, longest
+        self.alive.add(self)
+
+    __hash__ = object.__hash__
+
+    @classmethod
+    def claim(cls, owner: str) -> None:
+        """Called where a worker begins a task of ``owner``: memories that another operator filled are emptied."""
+        if owner != cls.owner:
+            for memory in cls.alive:
+                memory.clear()
+            cls.owner = owner
 
     def __missing__(self, key: str) -> bytes:
         value = self.f(key)

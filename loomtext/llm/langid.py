@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import Remembered
 from .common import batch, map_batches, mix64
 
 DIMENSIONS = 4096
@@ -139,6 +140,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = pa.schema([(id_col, pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Remembered.claim("langid")
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -152,6 +154,7 @@ def accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Remembered.claim("langid")
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)

@@ -169,6 +169,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, many: int, taken: in
     schema = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("n", pa.int32()), ("sketches", pa.list_(pa.int64()))])
 
     def run(batches):
+        Remembered.claim("orderhash")
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import Remembered
 from .common import batch, cut, map_batches
 from .library import library_encoder
 
@@ -31,6 +32,7 @@ def tokenized_pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_co
     schema = pa.schema([(id_col, pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Remembered.claim("packing")
         encode, tail = library_encoder(path, True), np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[list] = [[], [], [], [], []]

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .chunks import Remembered
 from .common import NULL_KEY, batch, cut, map_batches, order_bounds, shared_dir, shuffle_parts
 from .library import library_encoder
 
@@ -153,6 +154,7 @@ def write(df: DataFrame, path: str, end_id: int, where: str, length: int = 2048,
     done = pa.schema([("bucket", pa.int32()), ("name", pa.string()), ("total", pa.int64())])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Remembered.claim("tokenfile")
         encode, tail = library_encoder(path, spaced), np.array([end_id], "<u4")
         current, out = None, None
         for b in batches:

@@ -218,6 +218,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     schema = pa.schema([(id_col, pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Remembered.claim("toxicity")
         for b in batches:
             found = [model.score(t.as_py()) for t in b.column(1)]
             yield batch(schema, [b.column(0).cast(pa.int64()), found, [int(x >= threshold) for x in found]])
@@ -230,6 +231,7 @@ def accepted(df: DataFrame, model: Model, text_col: str = "text", threshold: flo
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Remembered.claim("toxicity")
         for b in batches:
             yield b.filter(pa.array([model.score(t.as_py()) < threshold for t in b.column(place)], pa.bool_()))
 
