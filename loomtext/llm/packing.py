@@ -176,4 +176,5 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """No packing has fewer sequences."""
     total = sum(n * c for n, c in counts.items())
     halves = sum(c for n, c in counts.items() if 2 * n > capacity)
-    return max(-(-total // capacity), halves)
+    thirds = sum(c for n, c in counts.items() if 3 * n > capacity)
+    return max(-(-total // capacity), halves, -(-thirds // 2))

@@ -207,7 +207,7 @@ def _lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = new
 
 
-def near_duplicates(df: DataFrame, least: float = 0.95, overlap: int = 3, block: int = 1500, sample_rows: int = 4096, most_regions: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(df: DataFrame, least: float = 0.95, overlap: int = 4, block: int = 1500, sample_rows: int = 4096, most_regions: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of

@@ -2,7 +2,7 @@ import pickle
 
 import numpy as np
 import pytest
-from conftest import NASTY
+from nasty_rows import NASTY
 from pyspark.sql import functions as F
 
 from loomtext.llm import langid, queries, toxicity

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import NASTY
+from nasty_rows import NASTY
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -1,7 +1,7 @@
 import hashlib
 
 import numpy as np
-from conftest import NASTY
+from nasty_rows import NASTY
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
