@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from ..functions.normalize import LOWER, normalize
 from ..functions.tokens import words
@@ -61,3 +65,16 @@ def parse(query: str, normalizer: int = LOWER) -> ParsedQuery:
     if mode in ("+", "-") and held:
         close()
     return ParsedQuery("".join(kept), found["+"], found["-"], found['"'])
+
+
+PARSED = "modified string, plus array<string>, minus array<string>, quotes array<string>"
+
+
+def parse_column(query: Column, normalizer: int = LOWER) -> Column:
+    """A struct of the parts of every query, for batches of queries; null for null."""
+    kind = pa.struct([("modified", pa.string()), *((n, pa.list_(pa.string())) for n in ("plus", "minus", "quotes"))])
+
+    def run(queries: pa.Array) -> pa.Array:
+        return pa.array([None if q is None else asdict(parse(q, normalizer)) for q in queries.to_pylist()], kind)
+
+    return F.arrow_udf(run, PARSED)(query)

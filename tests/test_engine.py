@@ -130,3 +130,20 @@ def test_index_files_are_sorted(spark, tmp_path):
     assert posted.count() == 5 and lengths.count() == 2
     plan = posted.where("term = 'y'")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,y)]" in plan
+
+
+def test_command_line(spark, folder, tmp_path):
+    from loomtext.__main__ import lines, run
+
+    e = Engine(spark, str(tmp_path / "cli"))
+    assert run(e, "index", folder)[0].startswith("indexed ")
+    assert run(e, "build")[0].startswith("index built")
+    shown = run(e, "search", "beta", "-alpha")
+    assert shown[0] == "--- Search results for query 'beta -alpha' ---" and len(shown) == 2
+    assert shown[1].startswith("0. Path: ") and shown[1].endswith(", Source: local")
+    (tmp_path / "m.json").write_text(messages.success("", [{"Path": "w", "Source": 1, "Words": {}, "Collection": None, "RawText": "omega"}]))
+    assert run(e, "push", str(tmp_path / "m.json")) == ["put 1 documents"]
+    assert len(run(e, "all")) == 5
+    assert "\033[92m1.50" in lines({"Query": "q", "Results": [{"Path": "p", "Score": 1.5, "Source": 7}]}, colours=True)[1]
+    with pytest.raises(ValueError):
+        run(e, "dance")
