@@ -150,8 +150,10 @@ def write(pages: DataFrame, where: str, least: int = 1000, id_col: str = "page_i
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("body"))
-    rows = rows.withColumn("digest", F.when(F.length("body") >= least, F.unhex(F.sha1("body"))))
-    first = rows.where("digest is not null").groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # small payloads get keys of their own, longer than any digest, so that they are not joined in one task
+    alone = F.encode(F.lpad(F.coalesce(F.col("id").cast("string"), F.lit("")), 24, "-"), "UTF-8")
+    rows = rows.withColumn("digest", F.when(F.length("body") >= least, F.unhex(F.sha1("body"))).otherwise(alone))
+    first = rows.where(F.length("body") >= least).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     joined = rows.join(first, "digest", "left").select("id", "url", "body", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
     schema = pa.schema([("name", pa.string()), ("records", pa.int64())])
 
