@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +94,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     return leaf.union(root)
 
 
+def rename(system: fs.FileSystem, temp: str, final: str) -> None:
+    """Gives a finished file its name; a file that an earlier attempt left under it goes."""
+    try:
+        system.move(temp, final)
+    except OSError:
+        system.delete_file(final)
+        system.move(temp, final)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of unsigned 64-bit integers (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -87,7 +87,7 @@ class Writer:
             writer.close()
             out.close()
         for end in (".ids", ".docs"):
-            self.fs.move(self.temp + end, self.final + end)
+            common.rename(self.fs, self.temp + end, self.final + end)
 
 
 class Reader:

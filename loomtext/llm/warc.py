@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, map_batches, shared_dir, shuffle_parts
+from .common import batch, cut, map_batches, rename, shared_dir, shuffle_parts
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -171,7 +171,7 @@ def write(pages: DataFrame, where: str, least: int = 1000, id_col: str = "page_i
                 n += 1
         if out:
             out.close()
-            system.move(temp, f"{root}/{name}")
+            rename(system, temp, f"{root}/{name}")
             yield batch(schema, [[name], [n]])
 
     return cut(map_batches(joined, run, "name string, records long"))
