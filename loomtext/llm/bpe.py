@@ -88,8 +88,8 @@ class ByteBPE:
         self.known = PerfectHash(list(ranks), list(ranks.values()))
         self.rank = Remembered(self.known.get, most=200_000)
         self.split = regex.compile(pattern).findall
-        self.pretoken = Remembered(self._pretoken, most=300_000)
-        self.whole = SpacedEncoder(lambda s: b"".join(map(self.pretoken.__getitem__, self.split(s))))
+        self.pretoken = Remembered(self._pretoken)
+        self.whole = SpacedEncoder(lambda s: b"".join(map(self.pretoken.__getitem__, self.split(s))), self._pretoken, most=500_000)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBPE:

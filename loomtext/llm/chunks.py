@@ -12,6 +12,8 @@ import re
 from collections.abc import Callable
 from weakref import WeakSet
 
+#: Signs that form a pre-token of their own after a letter.
+TAIL = ".,;:!?"
 RUN = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -45,14 +47,28 @@ class Remembered(dict):
 
 
 class SpacedEncoder:
-    """Ids (packed by ``encode``) of whole texts for a byte-level pattern, part by part."""
+    """Ids of whole texts for a byte-level pattern, part by part. ``encode`` takes any text; ``letters`` one
+    pre-token of letters, perhaps with a space before them."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.encode = encode
-        self.spaced = Remembered(lambda part: encode(" " + part), most=300_000)
+    def __init__(self, encode: Callable[[str], bytes], letters: Callable[[str], bytes], most: int = 300_000):
+        self.encode, self.letters = encode, letters
+        self.first = Remembered(lambda part: self._part(part, "", self.first))
+        self.spaced = Remembered(lambda part: self._part(part, " ", self.spaced), most=most)
+
+    def _part(self, part: str, space: str, same: Remembered) -> bytes:
+        if part.isalpha():
+            return self.letters(space + part)
+        body = part.rstrip(TAIL)
+        if len(body) < len(part) and body and body[-1].isalpha():
+            return same[body] + self.first[part[len(body) :]]
+        if "\n" in part:
+            a, b = part.split("\n", 1)
+            if a and b and not a[-1].isspace() and not b[0].isspace():
+                return same[a] + self.first["\n"] + self.first[b]
+        return self.encode(space + part)
 
     def __call__(self, text: str) -> bytes:
         if RUN.search(text):
             return self.encode(text)
         first, *rest = text.split(" ")
-        return self.encode(first) + b"".join(map(self.spaced.__getitem__, rest))
+        return self.first[first] + b"".join(map(self.spaced.__getitem__, rest))

@@ -6,9 +6,8 @@ import struct
 from collections.abc import Callable
 from functools import lru_cache
 
-from .chunks import RUN, Remembered
+from .chunks import TAIL, Remembered, SpacedEncoder
 
-_TAIL = ".,;:!?"
 #: Parts remembered by a worker: about 200 bytes each.
 MOST = 500_000
 #: Latin letters below this neither compose nor change by context when lowered.
@@ -65,7 +64,7 @@ class WordEncoder(_Library):
                 return self.encode(word)
             low = word.lower()
             return self.word(_mapped(low)) if low == word else self.words[low]
-        body = word.rstrip(_TAIL)
+        body = word.rstrip(TAIL)
         if len(body) < len(word) and body and body[-1].isalpha() and _plain(body[-1]):
             return self.words[body] + self.words[word[len(body) :]]
         return self.encode(word)
@@ -74,35 +73,25 @@ class WordEncoder(_Library):
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-class SpacedEncoder(_Library):
+class ByteEncoder(_Library):
     """For a byte-level tokenizer, whose words carry the space before them."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.first = Remembered(lambda part: self._part(part, "", self.first))
-        self.spaced = Remembered(lambda part: self._part(part, " ", self.spaced), most=MOST)
-
-    def _part(self, part: str, space: str, same: Remembered) -> bytes:
-        if part.isalpha() and _plain(part):
-            return self.word("Ġ" + _mapped(part) if space else _mapped(part))
-        body = part.rstrip(_TAIL)
-        if len(body) < len(part) and body and body[-1].isalpha():
-            return same[body] + self.first[part[len(body) :]]
-        if "\n" in part:
-            a, b = part.split("\n", 1)
-            if a and b and not a[-1].isspace() and not b[0].isspace():
-                return same[a] + self.first["\n"] + self.first[b]
-        return self.encode(space + part)
+        self.whole = SpacedEncoder(self.encode, self._letters, MOST)
+
+    def _letters(self, word: str) -> bytes:
+        own = word.removeprefix(" ")
+        if not _plain(own):
+            return self.encode(word)
+        return self.word(_mapped(own) if own is word else "Ġ" + _mapped(own))
 
     def __call__(self, text: str) -> bytes:
-        if RUN.search(text):
-            return self.encode(text)
-        first, *rest = text.split(" ")
-        return self.first[first] + b"".join(map(self.spaced.__getitem__, rest))
+        return self.whole(text)
 
 
 @lru_cache(maxsize=4)
 def library_encoder(path: str, spaced: bool) -> Callable[[str], bytes]:
     """Ids as packed unsigned 32-bit integers. ``spaced``: a byte-level tokenizer; else one that lowers its text and
     drops white space."""
-    return SpacedEncoder(path) if spaced else WordEncoder(path)
+    return ByteEncoder(path) if spaced else WordEncoder(path)
