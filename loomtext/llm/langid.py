@@ -99,8 +99,8 @@ def fit(docs: DataFrame, sample_rows: int = 2000, clusters: int = 4, reject_shar
     the cosine which 99 in 100 training texts of its predicted language reach.
     """
     known = docs.select(F.col(id_col).alias("k"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
-    # rows are counted without their texts
-    sizes = {r["l"]: r["count"] for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(sample_rows).collect()}
+    # rows are counted without reading their texts
+    sizes = {r["l"]: r["count"] for r in docs.select(F.col(lang_col).alias("l")).where("l is not null").groupBy("l").count().orderBy(F.desc("count"), "l").limit(sample_rows).collect()}
     if not sizes:
         return Model([], np.ones(DIMENSIONS, np.float32), np.empty((0, DIMENSIONS), np.float32), np.empty(0, np.int64), np.empty(0))
     quota = max(1, sample_rows // len(sizes))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Remembered
-from .common import batch, map_batches
+from .common import batch, cut, map_batches
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
 _OTHER, _QUOTE, _END = (OTHER, 0.0), (QUOTE, 0.0), (END, 0.0)
@@ -152,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, most_terms:
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(F.col(label_col).cast("int")).alias("y")).orderBy(F.xxhash64("k", F.lit("draw")), "k").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(chosen), "k").select("y", "t")  # bounded by sample_rows
+    rows = cut(rows)  # so the documents are read once
     words = F.filter(F.split(F.lower("t"), r"[^\p{L}\p{N}\p{M}_]+"), lambda w: w != "")
     pairs = rows.select("y", words.alias("w")).select("y", F.explode(F.transform("w", lambda w, i: F.struct(w.alias("w"), F.when(i > 0, F.element_at("w", i)).otherwise("").alias("b")))).alias("p")).select("y", "p.w", "p.b")
     counted = pairs.distinct().groupBy("w").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
