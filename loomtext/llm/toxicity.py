@@ -2,8 +2,8 @@
 
 A lexical transducer reads words as symbols (insult, threat, target, negation, reported speech, quotation
 mark, clause end, other). Three context transducers follow: one marks what stands within a few words after
-a negation, one what stands in reported or quoted speech, one what stands in a clause with a target. Their composition reads
-a text once and emits every insult or threat together with its context. The insults are learned from labelled
+a negation, one what stands in reported or quoted speech, one what stands after a target in its clause. Their composition reads
+a text once; every insult or threat is held to the end of its clause, as its target may come last, and is emitted with its context. The insults are learned from labelled
 rows, whole words and word beginnings; how far a context lowers the weight of a match starts from a
 prior and is corrected by what the labels say. What the
 matches of a text amount to, taken together, is put on the scale of the labels by logistic regression.
@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import product
+from itertools import chain, product
 from math import exp, log
 
 import numpy as np
@@ -122,22 +122,37 @@ class Model:
     def __reduce__(self):
         return Model, (self.words, self.beginnings, self.contexts, self.scale)
 
-    def matches(self, text: str) -> list[tuple[int, float]]:
-        """(context, weight) of every insult and of every threat with a target, in text order."""
+    def _read(self, text: str) -> list[tuple[int, int, int, float]]:
+        """(symbol, mark, mark of the clause, weight) of every insult and threat, in text order. A match waits for the
+        end of its clause, for the target may come last: the third value has the target bit wherever that stands."""
         low = text.lower()
         read = self.symbol.__getitem__
         if not any(s in (INSULT, THREAT) for s, _ in map(read, _WORD.findall(low))):
             return []
-        found, state, arcs = [], 0, GRAMMAR.arcs
-        for s, p in map(read, _TOKEN.findall(low)):
+        found, held, state, arcs = [], [], 0, GRAMMAR.arcs
+        for s, p in chain(map(read, _TOKEN.findall(low)), [_END]):
+            if s == END and held:
+                aimed = 4 * (state & 1)  # the state of ``targeted``, the last of the composition
+                found += [(x, m, m | aimed, w) for x, m, w in held]
+                held = []
             state, mark = arcs[state][s]
-            if s == INSULT or s == THREAT and mark & 4:
-                found.append((mark, p))
+            if s == INSULT or s == THREAT:
+                held.append((s, mark, p))
         return found
 
+    def matches(self, text: str) -> list[tuple[int, float]]:
+        """(context, weight) of every insult and of every threat with a target before it, in text order: what one
+        pass emits at once. Scores and fit take ``clause_matches``."""
+        return [(mark, p) for s, mark, _, p in self._read(text) if s == INSULT or mark & 4]
+
+    def clause_matches(self, text: str) -> list[tuple[int, float]]:
+        """(context, weight) of every insult and of every threat with a target before or after it in its clause, in
+        text order."""
+        return [(mark, p) for s, _, mark, p in self._read(text) if s == INSULT or mark & 4]
+
     def evidence(self, text: str | None) -> float:
         """Minus the log of the chance that no match is meant."""
-        return sum(-log(1.0 - p * self.contexts[mark]) for mark, p in self.matches(text or ""))
+        return sum(-log(1.0 - p * self.contexts[mark]) for mark, p in self.clause_matches(text or ""))
 
     def score(self, text: str | None) -> float:
         return 1.0 / (1.0 + exp(-max(-30.0, min(30.0, self.scale[0] * self.evidence(text) + self.scale[1]))))
@@ -178,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, most_terms:
         for b in batches:
             seen: dict[tuple[int, int], int] = {}
             for y, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for mark, _ in model.matches(t.as_py()):
+                for mark, _ in model.clause_matches(t.as_py()):
                     seen[mark, y] = seen.get((mark, y), 0) + 1
             if seen:
                 yield batch(schema, [[m for m, _ in seen], [y for _, y in seen], list(seen.values())])

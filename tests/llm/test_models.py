@@ -86,6 +86,14 @@ def test_grammar():
     assert MODEL.matches("") == []
 
 
+def test_targets_after_a_match():
+    whole = lambda text: [m for m, _ in MODEL.clause_matches(text)]
+    assert whole("I will kill you") == whole("kill them") == whole("you I will kill") == [4]
+    assert whole("kill. You") == whole("You. kill") == whole("kill") == [] and whole("kill it\nyou idiot") == [4]
+    assert whole("idiot, moron, you. An idiot") == [4, 4, 0] and whole("I will not kill you") == [5]
+    assert MODEL.score("I will kill you") == MODEL.score("you I will kill") > MODEL.score("")
+
+
 def test_grammar_by_brute_force():
     """The composed transducer against each one alone."""
     parts = [toxicity.negation(), toxicity.reported(), toxicity.targeted()]
