@@ -1,8 +1,8 @@
 """Main text of web pages, by removal of site templates.
 
 Every page is parsed to a tree of elements. Hashes of the block-level subtrees (tags and text) are counted
-per host in Spark, over pages of different content; subtrees that recur on many of them are the host's
-template and are deleted. What a host with few pages cannot reveal is left to the elements' own names: menus,
+per host in Spark, over pages of different content; subtrees that recur on a third of them or more are the host's
+template and are deleted: containers anywhere, other blocks only at the edges of a page that marks no article. What a host with few pages cannot reveal is left to the elements' own names: menus,
 footers, forms and the like go by tag, role, class or id. The article, if the page marks one, is never deleted as a whole.
 """
 
@@ -33,6 +33,7 @@ DROP_TAGS = set("head nav footer aside form button select object svg canvas audi
 DROP_NAMES = re.compile(
     "ads?|adbox|adsense|adslot|advert.*|alerts?|.*banner|breadcrumbs?|comments?.*|.*cookies?.*|.*consent|copyright|disclaimer|disqus.*|.*footer|gdpr.*|login|masthead|.*menu|modal.*|.*nav|navbar.*|navigation|newsletter.*|notices?|overlay|pager|paginat.*|paywall|popup.*|promo.*|recommend.*|related.*|repl(?:y|ies)|respond|search.*|share.*|sharing|.*sidebar.*|signup|skip.*|social.*|sponsor.*|subscri.*|teasers?|toolbar|topbar|trackbacks?|widget.*"
 )
+CONTAINERS = set("div section aside ul ol table header footer nav form figure".split())
 DROP_ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 #: What is nested deeper becomes a sibling.
@@ -167,6 +168,7 @@ def blocks(e: Element, template: frozenset[int] | set[int] = frozenset(), by_nam
     """Text of the wanted blocks in page order, white space made one space."""
     out: list[str] = []
     held: list[str] = []
+    edges = _edges(e, template, by_name) if template and e.tag == "#" else frozenset()
 
     def flush() -> None:
         if text := " ".join("".join(held).split()):
@@ -188,7 +190,7 @@ def blocks(e: Element, template: frozenset[int] | set[int] = frozenset(), by_nam
             if x.tag == "br":
                 held.append(" ")
                 continue
-            if x.key and x.key in template and not x.marked:
+            if x.key and x.key in template and not x.marked and (x.tag in CONTAINERS or id(x) in edges):
                 flush()
                 continue
             if x.tag not in ("html", "body") and x.unwanted(by_name) and not _has_mark(x):
@@ -203,6 +205,27 @@ def blocks(e: Element, template: frozenset[int] | set[int] = frozenset(), by_nam
     return out
 
 
+def _edges(root: Element, template: frozenset[int] | set[int], by_name: bool) -> set[int]:
+    """Template blocks of any kind (by id()) before the first and after the last text of a page that stays."""
+    found: set[int] = set()
+    for turned in (True, False):
+        stack: list = [root]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                if x and not x.isspace():
+                    break
+                continue
+            if x is not root:
+                if x.key and x.key in template and not x.marked:
+                    found.add(id(x))
+                    continue
+                if x.tag not in ("html", "body") and x.unwanted(by_name) and not _has_mark(x):
+                    continue
+            stack += reversed(x.parts) if turned else x.parts
+    return found
+
+
 def _any(e: Element, test) -> bool:
     stack = [p for p in e.parts if not isinstance(p, str)]
     while stack:
@@ -243,7 +266,7 @@ def candidates(root: Element, host: str) -> list[int]:
     while stack:
         x, within = stack.pop()
         here = within or id(x) in inside
-        if x.key and not x.marked and x.tag not in ("html", "body") and not _has_mark(x) and (not within or x.tag in ("div", "section", "aside", "ul", "ol", "table", "header", "footer", "nav", "form", "figure")):
+        if x.key and not x.marked and x.tag not in ("html", "body") and not _has_mark(x) and (not within or x.tag in CONTAINERS):
             keys.add(x.key)
         stack += [(p, here) for p in x.parts if not isinstance(p, str)]
     return sorted(keys)
@@ -275,16 +298,17 @@ def main_blocks(root: Element, template: frozenset[int] | set[int] = frozenset()
     return found
 
 
-def extract(pages: DataFrame, least_pages: int = 8, broadcast_limit: int = 500_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = 8, broadcast_limit: int = 500_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_share: float = 1 / 3) -> DataFrame:
     """(id, url, text, n_chars) of every page.
 
     A subtree is template if it occurs on at least ``least_pages`` pages of a host that differ in content, so
-    copies of one page are no evidence. Template keys are broadcast (8 bytes each) if there are at most
+    copies of one page are no evidence, and on at least ``least_share`` of them, so what articles of a large host
+    happen to share stays. A template of a part of a host with fewer pages is left to the elements' names. Template keys are broadcast (8 bytes each) if there are at most
     ``broadcast_limit``; beyond it they are joined to the pages that have them. Null or empty html gives the empty text;
     pages with a null or odd url share one unnamed host; repeated rows give repeated rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    keyed = pa.schema([("page", pa.int64()), ("content", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    keyed = pa.schema([("page", pa.int64()), ("host", pa.int64()), ("content", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -292,13 +316,17 @@ def extract(pages: DataFrame, least_pages: int = 8, broadcast_limit: int = 500_0
             for url, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 html = html.as_py() or ""
                 root = parse(html)
-                keys = candidates(root, host_of(url))
+                host = host_of(url)
+                own = xxhash.xxh3_64_intdigest(f"{host}\0\0pages") - (1 << 63)  # stands for the host itself, so its pages are counted along
+                keys = [own, *candidates(root, host)]
                 content = xxhash.xxh3_64_intdigest("\n".join(main_blocks(root))) - (1 << 63)
-                found.append((_page(url, html), content, keys))
-            yield batch(keyed, list(zip(*found, strict=True)) if found else [[], [], []])
+                found.append((_page(url, html), own, content, keys))
+            yield batch(keyed, list(zip(*found, strict=True)) if found else [[], [], [], []])
 
-    listed = map_batches(rows.select("url", "html").where("html is not null"), list_keys, "page long, content long, keys array<long>")
-    template = cut(listed.select("content", F.explode("keys").alias("key")).distinct().groupBy("key").count().where(F.col("count") >= least_pages).select("key"))
+    listed = map_batches(rows.select("url", "html").where("html is not null"), list_keys, "page long, host long, content long, keys array<long>")
+    counted = cut(listed.select("host", "content", F.explode("keys").alias("key")).distinct().groupBy("host", "key").count().where(F.col("count") >= least_pages))
+    hosts = counted.where("key = host").select("host", F.col("count").alias("pages"))
+    template = cut(counted.where("key <> host").join(hosts, "host").where(F.col("count") >= least_share * F.col("pages")).select("key"))
     schema = pa.schema([(id_col, pa.int64()), (url_col, pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     shape = f"`{id_col}` long, `{url_col}` string, text string, n_chars long"
 

@@ -92,6 +92,24 @@ def test_template_of_a_host(spark):
     assert joined == got
 
 
+def test_articles_of_a_large_host(spark):
+    """What some articles share stays, however many they are; the template of all goes."""
+    quoted = "<div><blockquote>a passage quoted by some</blockquote></div>"
+
+    def page(n, marked):
+        text = f"<h2>Background</h2><p>text {n}</p>{quoted if n % 4 == 0 else ''}<ul><li>item {n}</li><li>none</li></ul><h2>Results</h2><p>end {n}</p>"
+        text = f"<article>{text}</article>" if marked else text
+        return (n, f"http://{'m' if marked else 'u'}.example/{n}", f"<body><p>welcome to all</p><div>top of all</div><p>head {n}</p>{text}<div>foot of all</div><h6>imprint</h6></body>")
+
+    df = spark.createDataFrame([page(n, n >= 40) for n in range(80)], "page_id long, url string, html string")
+    for limit in (500_000, 0):
+        got = {r["page_id"]: r["text"].split("\n\n") for r in html.extract(df, broadcast_limit=limit).collect()}
+        for n in range(80):
+            passage = ["a passage quoted by some"] if n % 4 == 0 else []
+            text = ["Background", f"text {n}", *passage, f"item {n}", "none", "Results", f"end {n}"]
+            assert got[n] == ([] if n >= 40 else [f"head {n}"]) + text
+
+
 def test_pages_nasty(pages, spark):
     got = html.extract(pages)
     assert got.columns == ["page_id", "url", "text", "n_chars"]
