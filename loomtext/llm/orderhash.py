@@ -2,7 +2,8 @@
 
 The k-mers are shingles of five words, labelled by occurrence. Each sketch of a text takes the few k-mers that a
 random order ranks lowest and keeps them in text order (Marcais et al. 2019), so that texts agree on a
-sketch only if they share k-mers in the same sequence. Texts that share a sketch and are of similar length
+sketch only if they share k-mers in the same sequence. Few k-mers make sketches unsure, so what short texts can
+have in common is keyed exactly besides. Texts that share a sketch or such a key and are of similar length
 are candidates; a banded alignment of their shingle sequences verifies them.
 
 Equal texts are collapsed first, and only classes of texts are compared. Candidates are gathered by the
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import re
 from itertools import combinations, product
-from math import ceil, floor, log
+from math import ceil, comb, floor, log
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,23 @@ def sketches(x: np.ndarray, many: int = 16, taken: int = 4, ratio: float = 0.8)
     return np.concatenate([mix64(key + np.uint64(f)), mix64(key + np.uint64(f + 1))]).view(np.int64)
 
 
+def exact_keys(x: np.ndarray, ratio: float = 0.8, most: int = 8, most_keys: int = 500) -> np.ndarray:
+    """Keys of all that can be left of a short text's shingles, in order, when it is aligned with a similar one: two
+    texts of similarity ``ratio`` whose common part is at most ``most`` shingles always share one. What has more
+    than ``most_keys`` ways to be left (ratios under 0.8) is left to the sketches."""
+    n, found = len(x), []
+    for left in range(min(n, most), 0, -1):
+        if (n - left) * ratio > left * (1 - ratio) + 1e-9:
+            break
+        if comb(n, left) <= most_keys:
+            picked = x[np.array(list(combinations(range(n), left)))]
+            key = np.full(len(picked), left, np.uint64)
+            for k in range(left):
+                key = mix64(key * np.uint64(31) + picked[:, k])
+            found.append(mix64(key ^ np.uint64(0x5EED)))
+    return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence along the diagonal, at most ``band`` off it: bit-parallel, a
     long integer holding a row of the alignment."""
@@ -179,7 +197,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, many: int, taken: in
                     x = shingles(tokens)
                     out[0].append(xxhash.xxh3_128_digest(" ".join(tokens)))
                     out[1].append(len(x))
-                    out[2].append(sketches(x, many, taken, ratio) if len(tokens) >= SHINGLE else [])
+                    out[2].append(np.concatenate([sketches(x, many, taken, ratio), exact_keys(x, ratio)]) if len(tokens) >= SHINGLE else [])
                 yield batch(schema, [part.column(0), *out])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
