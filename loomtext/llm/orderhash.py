@@ -9,25 +9,28 @@ are candidates; a banded alignment of their shingle sequences verifies them.
 Equal texts are collapsed first, and only classes of texts are compared. Candidates are gathered by the
 components that shared sketches form, so a text is sent to one task. A component too large for a
 task is compared with the centres of its sketches first; of what is still apart, those outside the largest class
-of a sketch are then compared with all in the sketch, block by block. Every shared sketch is followed
-up; comparisons within a class that is already one are all that is left out.
+of a sketch are then compared with all in the sketch, block by block. In a task, texts are compared that
+share one of their shingles that are rarest there, which similar texts always do; a passage that many texts
+have makes no pairs. Every shared sketch is followed up; comparisons within a class that is already one, and those
+that cannot succeed, are all that is left out.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from itertools import combinations, product
 from math import ceil, comb, floor, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .chunks import Remembered
-from .common import batch, components, cut, map_batches, mix64
+from .common import Sets, batch, components, cut, map_batches, mix64
 
 SHINGLE = 5
 _WORD = re.compile(r"\w+")
@@ -99,9 +102,23 @@ def exact_keys(x: np.ndarray, ratio: float = 0.8, most: int = 8, most_keys: int
     return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
 
 
+def _mask(places: list[int], low: int, width: int) -> int:
+    """Bits of the places in a window that starts at ``low``."""
+    first, last = bisect_left(places, low), bisect_left(places, low + width)
+    if last - first <= 16:
+        m = 0
+        for i in places[first:last]:
+            m |= 1 << i - low
+        return m
+    bits = np.zeros(width, np.uint8)
+    bits[np.array(places[first:last]) - low] = 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Length of the longest common subsequence along the diagonal, at most ``band`` off it: bit-parallel, a
-    long integer holding a row of the alignment."""
+    """Length of the longest common subsequence along the diagonal, at most ``band`` off it: bit-parallel. Of a row of the
+    alignment only the window of the band is kept, a long integer; what leaves it is final and is counted. So
+    memory is in proportion to the texts, time to their length times the band / 64."""
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
     head = int(differ[0]) if len(differ) else n
@@ -111,17 +128,24 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not len(a) or not len(b):
         return head + tail
-    places: dict[int, int] = {}
+    places: dict[int, list[int]] = {}
     for i, v in enumerate(a.tolist()):
-        places[v] = places.get(v, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row, near = full, (1 << 2 * band + 1) - 1
+        places.setdefault(v, []).append(i)
+    width = 2 * band + 1
+    full = (1 << width) - 1
+    row, gone = full, 0  # bit i of the row is place j - band + i of ``a``; a zero is a step of the subsequence
     for j, v in enumerate(b.tolist()):
-        if m := places.get(v):
-            m &= near << j - band if j >= band else near >> band - j
+        if j:
+            gone += not row & 1
+            row = row >> 1 | 1 << width - 1
+        if own := places.get(v):
+            low = j - band
+            m = _mask(own, low, width) if low >= 0 else _mask(own, 0, width + low) << -low
             u = row & m
             row = (row + u | row - u) & full
-    return head + tail + len(a) - row.bit_count()
+        if j - band > len(a):
+            break
+    return head + tail + gone + width - row.bit_count()
 
 
 class Shingled:
@@ -145,45 +169,76 @@ class Shingled:
         return aligned(self.x, other.x, n - 2 * need + abs(len(self.x) - len(other.x))) >= need
 
 
-class Classes:
-    """Union-find over the texts of a task."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def of(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, k: int) -> None:
-        i, k = self.of(i), self.of(k)
-        self.up[max(i, k)] = min(i, k)
-
-
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _compare(ids: list[int], blobs: list[bytes], pairs, least: float, classes: Classes | None = None) -> pa.Table:
-    """Edges that join what ``pairs`` (positions) find similar; pairs already joined are not compared."""
-    classes = classes or Classes(len(ids))
-    ready: dict[int, Shingled] = {}
-    edges: list[tuple[int, int]] = []
+class Compared:
+    """The texts of a task: links found between them, as classes."""
 
-    def get(i: int) -> Shingled:
-        if i not in ready:
-            ready[i] = Shingled(common.unpack(blobs[i]))
-        return ready[i]
+    def __init__(self, ids: list[int], blobs: list[bytes], least: float):
+        self.ids, self.blobs, self.least = ids, blobs, least
+        self.classes = Sets(len(ids))
+        self.ready: dict[int, Shingled] = {}
+        self.differ: set[tuple[int, int]] = set()
 
-    for i, k in pairs:
-        if classes.of(i) != classes.of(k) and get(i).similar(get(k), least):
-            classes.join(i, k)
-            edges.append((ids[i], ids[k]))
-    return pa.table([[a for a, _ in edges], [b for _, b in edges]], schema=EDGES)
+    def text(self, i: int) -> Shingled:
+        if i not in self.ready:
+            self.ready[i] = Shingled(common.unpack(self.blobs[i]))
+        return self.ready[i]
+
+    def meet(self, i: int, k: int) -> bool:
+        """Whether two texts are of one class now; they are compared if they were not."""
+        if self.classes.of(i) == self.classes.of(k):
+            return True
+        pair = (min(i, k), max(i, k))
+        if pair in self.differ:
+            return False
+        if self.text(i).similar(self.text(k), self.least):
+            self.classes.join(i, k)
+            return True
+        self.differ.add(pair)
+        return False
+
+    def shared(self) -> list[list[int]]:
+        """Lists of texts that share one of their rarest shingles, short lists first: texts that are similar
+        share one of the ``n - least * n + 1`` that are rarest in the task, whatever they have in common besides."""
+        own = [mix64(t.x ^ mix64(occurrences(t.x).astype(np.uint64))) if len(t.x) else t.x for t in map(self.text, range(len(self.ids)))]
+        values, at, many = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        ends = np.cumsum([len(x) for x in own])
+        heads, who = [], []
+        for i, end in enumerate(ends.tolist()):
+            n = len(own[i])
+            place = at[end - n : end]
+            taken = n - ceil(self.least * n - 1e-9) + 1
+            heads.append(place[np.lexsort((place, many[place]))[:taken]])
+            who.append(np.full(len(heads[-1]), i))
+        place, text = np.concatenate(heads), np.concatenate(who)
+        order = np.lexsort((text, place))
+        place, text = place[order], text[order]
+        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.empty(0, np.int64)
+        lists = {tuple(x.tolist()): 0 for x in np.split(text, starts[1:]) if len(x) > 1}
+        return sorted(map(list, lists), key=len)
+
+    def link(self) -> None:
+        """Compares all that share a rare shingle and are not yet of one class."""
+        for own in self.shared():
+            for i in own[1:]:
+                self.meet(own[0], i)
+            parts: dict[int, list[int]] = {}
+            for i in own:
+                parts.setdefault(self.classes.of(i), []).append(i)
+            for p, q in combinations(sorted(parts.values(), key=len), 2):
+                any(self.meet(i, k) for i, k in product(p, q))
+
+    def edges(self) -> pa.Table:
+        """(text, first text of its class) of all that are not first."""
+        of = [self.classes.of(i) for i in range(len(self.ids))]
+        return pa.table([[self.ids[i] for i, c in enumerate(of) if i != c], [self.ids[c] for i, c in enumerate(of) if i != c]], schema=EDGES)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, many: int, taken: int, ratio: float) -> DataFrame:
-    """(id, same, n, sketches): ``same`` is equal for texts of equal words; too short a text has no sketches."""
+    """(id, same, n, sketches) of every row: ``same`` is equal for texts of equal words, null for a null text or id; too short
+    a text has no sketches."""
     schema = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("n", pa.int32()), ("sketches", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -192,7 +247,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, many: int, taken: in
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 out = [[], [], []]
-                for t in part.column(1):
+                for i, t in zip(part.column(0), part.column(1), strict=True):
+                    if not i.is_valid or not t.is_valid:
+                        for column, empty in zip(out, (None, 0, []), strict=True):
+                            column.append(empty)
+                        continue
                     tokens = words(t.as_py())
                     x = shingles(tokens)
                     out[0].append(xxhash.xxh3_128_digest(" ".join(tokens)))
@@ -200,106 +259,110 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, many: int, taken: in
                     out[2].append(np.concatenate([sketches(x, many, taken, ratio), exact_keys(x, ratio)]) if len(tokens) >= SHINGLE else [])
                 yield batch(schema, [part.column(0), *out])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     return map_batches(rows, run, "id long, same binary, n int, sketches array<long>")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, many: int = 16, taken: int = 4, most_texts: int = 4000, most_shingles: int = 4_000_000, block: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, many: int = 16, taken: int = 4, most_texts: int = 1000, most_shingles: int = 1_000_000, block: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, kept) for every row: the smallest id among the documents that links reach, and whether
     it is this one.
 
     Texts of equal words are linked, and so are texts whose similarity is ``least`` or more. Rows with a null
-    text link with nothing; a row with a null id is kept and has no class. Empty texts equal each other.
-    Rows that repeat an id are one document.
+    text link with nothing; a row with a null id is kept and has no class. Empty texts equal each other; texts of
+    fewer than five words are linked only if equal. Rows that repeat an id are one document. An empty table
+    gives no rows. Long texts are taken whole: memory of a comparison is in proportion to their words, time to
+    words times the band / 64. Ties: the smaller id stands for a class. Columns besides the two are not read.
+
+    Texts are gathered by the components that shared keys make. One of more than ``most_texts`` texts or
+    ``most_shingles`` shingles is dealt to tasks by its sketches, in blocks of ``block`` texts.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     signed = cut(signatures(docs, id_col, text_col, many, taken, least))
-    texts = cut(signed.groupBy("same").agg(F.min(F.struct("id", "n", "sketches")).alias("s")).select("same", "s.*"))
+    texts = cut(signed.where("same is not null").groupBy("same").agg(F.min(F.struct("id", "n", "sketches")).alias("s")).select("same", "s.*"))
     keys = texts.select("id", "n", F.explode(F.array_distinct("sketches")).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("many"), F.min("id").alias("head")).where("many > 1")
-    member = cut(keys.join(shared, "key").select("key", "id", "n", "head"))
-    loose = components(member.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
-    sized = cut(member.select("id", "n").distinct().join(loose.withColumnRenamed("node", "id"), "id"))
-    big = sized.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("w")).select("component", ((F.col("c") > most_texts) | (F.col("w") > most_shingles)).alias("big"))
-    sized = cut(sized.join(big, "component"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("many"), F.min("id").alias("head")).where("many > 1").select("key", "head")
+    # a text has a bounded number of keys, so its list of heads is short
+    own = cut(keys.join(shared, "key").groupBy("id", "n").agg(F.collect_set(F.struct("key", "head")).alias("shared")))
+    heads = F.array_distinct(F.col("shared.head"))
+    label = F.array_min("shared.head")
+    # ids that have the same heads are one already: only the heads make the graph
+    graph = own.select(F.explode(heads).alias("a"), label.alias("b")).where("a <> b")
+    loose = components(graph).withColumnRenamed("node", "label")
+    sized = cut(own.withColumn("label", label).join(loose, "label", "left").select("id", "n", "shared", F.coalesce("component", "label").alias("component")))
+    big = cut(sized.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where((F.col("c") > most_texts) | (F.col("w") > most_shingles)).select("component"))
     packed = pa.schema([("id", pa.int64()), ("blob", pa.binary())])
 
     def pack(batches):
         for b in batches:
             yield batch(packed, [b.column(0), [common.pack(t.as_py()) for t in b.column(1)]])
 
-    blobs = map_batches(rows.where("id is not null and t is not null"), pack, "id long, blob binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
+    blobs = map_batches(rows, pack, "id long, blob binary")
 
     def within(key, group):
         group = group.sort_by("id")
-        by_key: dict[int, list[int]] = {}
-        for i, own in enumerate(group.column("sketches").to_pylist()):
-            for k in own:
-                by_key.setdefault(k, []).append(i)
-        lists = sorted((x for x in by_key.values() if len(x) > 1), key=len)
-        pairs = (p for x in {tuple(x): 0 for x in lists} for p in combinations(x, 2))
-        return _compare(group.column("id").to_pylist(), group.column("blob").to_pylist(), pairs, least)
-
-    small = sized.where("not big").select("id", "component").join(texts.select("id", "sketches"), "id").join(blobs, "id")
-    edges = cut(small.groupBy("component").applyInArrow(within, "a long, b long"))
-
-    large = sized.where("big").select("id")
-    if not large.isEmpty():
-        edges = cut(edges.union(_large(member.join(large, "id", "left_semi"), blobs, least, block)))
-
-    found = components(edges).select(F.col("node").alias("id"), "component")
-    first = texts.select("same", F.col("id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("class_id"))
-    classed = signed.select("id", "same").join(first, "same").groupBy("id").agg(F.min("class_id").alias("class_id"))
-    joined = rows.select("id").join(classed, "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
-    return joined.withColumn("kept", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)))
-
-
-def _large(member: DataFrame, blobs: DataFrame, least: float, block: int) -> DataFrame:
+        here = Compared(group.column("id").to_pylist(), group.column("blob").to_pylist(), least)
+        here.link()
+        return here.edges()
+
+    some = not big.isEmpty()
+    small = sized.select("id", "component")
+    if some:
+        small = small.join(big, "component", "left_anti")
+    edges = cut(small.join(blobs, "id").groupBy("component").applyInArrow(within, "a long, b long"))
+    found = edges.select(F.col("a").alias("id"), F.col("b").alias("first"))
+    if some:
+        large = cut(sized.join(big, "component").select("id", "shared"))
+        found = found.union(components(_large(large, blobs, least, block)).toDF("id", "first"))
+    classes = texts.select("same", "id").join(found, "id", "left").select("same", F.coalesce("first", "id").alias("class_id"))
+    classed = signed.where("id is not null").join(classes, "same", "left").select("id", F.min(F.coalesce("class_id", "id")).over(Window.partitionBy("id")).alias("class_id"))
+    classed = classed.union(signed.where("id is null").select("id", F.lit(None).cast("long")))
+    return classed.select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+def _large(own: DataFrame, blobs: DataFrame, least: float, block: int) -> DataFrame:
     """Edges within components that are too large for a task."""
     # the centre of each sketch with all its members, in salted groups of about ``block``
-    star = member.where("id <> head").select("id", "head").distinct()
-    salts = star.groupBy("head").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
+    star = own.select("id", F.explode(F.array_distinct("shared.head")).alias("head")).where("id <> head")
+    salts = cut(star.groupBy("head").agg(F.ceil(F.count("*") / block).cast("int").alias("salts")))
     leaves = star.join(salts, "head").select("id", "head", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
     centres = salts.select(F.col("head").alias("id"), "head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
     def around(key, group):
         group = group.sort_by("id")
         ids = group.column("id").to_pylist()
+        here = Compared(ids, group.column("blob").to_pylist(), least)
         c = ids.index(key[0].as_py())
-        return _compare(ids, group.column("blob").to_pylist(), ((c, i) for i in range(len(ids)) if i != c), least)
+        for i in range(len(ids)):
+            here.meet(c, i)
+        return here.edges()
 
     edges = cut(leaves.union(centres).join(blobs, "id").groupBy("head", "salt").applyInArrow(around, "a long, b long"))
     # what a sketch still holds apart: members outside its largest class meet all its members
-    now = components(edges).select(F.col("node").alias("id"), "component")
-    held = cut(member.select("key", "id").join(now, "id", "left").select("key", "id", F.coalesce("component", "id").alias("own")))
+    now = components(edges).toDF("id", "class")
+    held = cut(own.join(now, "id", "left").select("id", F.coalesce("class", "id").alias("own"), F.explode("shared.key").alias("key")))
     most = held.groupBy("key", "own").count().groupBy("key").agg(F.max_by("own", F.struct("count", "own")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n"), F.count("*").alias("classes")).where("classes > 1")
-    dealt = held.join(most, "key").withColumn("minor", F.col("own") != F.col("main"))
+    dealt = held.join(cut(most), "key").withColumn("minor", F.col("own") != F.col("main"))
     dealt = dealt.withColumn("sa", F.ceil(F.col("n_main") / block).cast("int")).withColumn("sb", F.ceil((F.col("n") - F.col("n_main")) / block).cast("int"))
     dealt = dealt.withColumn("at", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("sb")).otherwise(F.col("sa"))).cast("int"))
     task = lambda kind, i, k: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), k.cast("int").alias("k"))
     each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
     tasks = F.when(F.col("minor"), F.concat(each(F.col("sa"), lambda x: task("main", x, F.col("at"))), each(F.col("sb"), lambda x: task("minor", F.least(x, "at"), F.greatest(x, "at"))))).otherwise(each(F.col("sb"), lambda x: task("main", F.col("at"), x)))
-    groups = dealt.select("key", "id", "own", "minor", "at", F.explode(tasks).alias("task")).select("key", "id", "own", "minor", "at", "task.*")
+    groups = dealt.select("key", "id", "own", F.explode(tasks).alias("task")).select("key", "id", "own", "task.*")
 
     def apart(key, group):
         group = group.sort_by("id")
-        kind, i, k = (x.as_py() for x in key[1:])
-        ids, own, minor, at = (group.column(c).to_pylist() for c in ("id", "own", "minor", "at"))
-        classes = Classes(len(ids))
+        here = Compared(group.column("id").to_pylist(), group.column("blob").to_pylist(), least)
         first: dict[int, int] = {}
-        for p, c in enumerate(own):
-            classes.join(first.setdefault(c, p), p)
-        if kind == "main":
-            pairs = product([p for p in range(len(ids)) if minor[p]], [p for p in range(len(ids)) if not minor[p]])
-        else:
-            pairs = combinations(range(len(ids)), 2) if i == k else product([p for p in range(len(ids)) if at[p] == i], [p for p in range(len(ids)) if at[p] == k])
-        return _compare(ids, group.column("blob").to_pylist(), pairs, least, classes)
+        for p, c in enumerate(group.column("own").to_pylist()):
+            here.classes.join(first.setdefault(c, p), p)
+        here.link()
+        return here.edges()
 
-    return edges.union(groups.join(blobs, "id").groupBy("key", "kind", "i", "k").applyInArrow(apart, "a long, b long"))
+    return edges.union(cut(groups.join(blobs, "id").groupBy("key", "kind", "i", "k").applyInArrow(apart, "a long, b long")))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose document is the smallest of its class. Rows that
-    repeat an id all stay if one does."""
+    repeat an id all stay if one does; rows with a null id or text stay."""
     gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -25,14 +25,15 @@ class Sets:
         self.up[b] = a
 
 
+@pytest.mark.parametrize("most_edges", [1_000_000, 3])
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "empty", "loops"])
-def test_components(spark, shape):
+def test_components(spark, shape, most_edges):
     r = random.Random(4)
     edges = {"chain": [(i, i + 1) for i in range(60)], "star": [(500, i) for i in range(40)], "random": [(r.randrange(200), r.randrange(200)) for _ in range(120)], "empty": [], "loops": [(1, 1), (2, 3), (3, 2)]}[shape]
     s = Sets()
     for a, b in edges:
         s.join(a, b)
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), most_edges=most_edges).collect()}
     assert got == {x: s.of(x) for e in edges for x in e if e[0] != e[1] or s.of(x) != x or any(x in f and f[0] != f[1] for f in edges)}
 
 
@@ -147,6 +148,30 @@ def test_a_band_loses_no_similar_pair(words, at, other):
     assert x.similar(y, 0.8) == (m / (len(x.x) + len(y.x) - m) >= 0.8 - 1e-12)
 
 
+def test_a_long_alignment_takes_little_memory():
+    import tracemalloc
+
+    a = np.arange(20_000, dtype=np.uint64)
+    b = np.where(np.arange(20_000) % 12 == 0, a + np.uint64(1 << 40), a)
+    b[::50] = 7  # a value with many places
+    a[::50] = 7
+    tracemalloc.start()
+    found = orderhash.aligned(a, b, 3000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == int((a == b).sum())
+    assert peak < 20_000_000
+
+
+def test_a_common_passage_makes_no_lists():
+    """Texts that share nothing but a passage have no rare shingle in common."""
+    from loomtext.llm.common import pack
+
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [" ".join(f"t{i}w{k}" for k in range(40)) + " " + passage for i in range(50)]
+    assert orderhash.Compared(list(range(50)), list(map(pack, texts)), 0.8).shared() == []
+
+
 def test_occurrences_and_order():
     assert orderhash.occurrences(np.array([3, 1, 3, 3, 1], np.uint64)).tolist() == [0, 0, 1, 2, 1]
     words = [f"w{i}" for i in range(200)]
