@@ -1,8 +1,12 @@
-"""From documents (path, raw_text, ...) to postings (path, term, freq) and document lengths."""
+"""From documents (path, raw_text, ...) to postings (path, term, freq) and document lengths.
+
+A document that came with its words counted (a map in the column ``words``) has those words; one without, or with an
+empty map, has the words of its text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import LOWER, STEM, lower_column, normalize_column
@@ -10,36 +14,86 @@ from ..functions.stemming import stem_column
 from ..functions.tokens import WORD, words_column
 
 
+def brings_words(docs: DataFrame) -> bool:
+    return "words" in docs.columns
+
+
+def given() -> Column:
+    """Whether a document came with its words."""
+    return F.coalesce(F.size("words") > 0, F.lit(False))
+
+
+def length_column(docs: DataFrame) -> Column:
+    """Number of words of a document."""
+    text = F.regexp_count("raw_text", F.lit(WORD)).cast("long")
+    if not brings_words(docs):
+        return text
+    return F.when(given(), F.aggregate(F.map_values("words"), F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x, F.lit(0)))).otherwise(text)
+
+
+def _counts(docs: DataFrame, key: list[str], lowered: bool = False, wanted: list[str] | None = None) -> DataFrame:
+    """(key..., word, freq), aggregated; only ``wanted`` words if they are given. Lowering changes no word's bounds, so
+    a text is lowered as a whole."""
+    text = words_column(lower_column(F.col("raw_text")) if lowered else F.col("raw_text"))
+    if wanted is not None:
+        text = F.filter(text, lambda w: w.isin(wanted))
+    if not brings_words(docs):
+        return docs.select(*key, F.explode(text).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("freq"))
+    own = F.map_entries("words")
+    if wanted is not None:
+        own = F.filter(own, lambda e: e["key"].isin(wanted))
+    one = lambda w, n: F.struct(w.alias("word"), n.cast("long").alias("freq"))
+    pairs = F.when(given(), F.transform(own, lambda e: one(lower_column(e["key"]) if lowered else e["key"], e["value"]))).otherwise(F.transform(text, lambda w: one(w, F.lit(1))))
+    return docs.select(*key, F.inline(pairs)).groupBy(*key, "word").agg(F.sum("freq").alias("freq"))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(path, word, freq), case kept."""
-    return docs.select("path", F.explode(words_column("raw_text")).alias("word")).groupBy("path", "word").agg(F.count("*").alias("freq"))
+    return _counts(docs, ["path"])
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(words_column("raw_text")).alias("word")).distinct()
+    words = words_column("raw_text")
+    if brings_words(docs):
+        words = F.when(given(), F.map_keys("words")).otherwise(words)
+    return docs.select(F.explode(words).alias("word")).distinct()
 
 
 def renormalized(counts: DataFrame, normalizer: int = LOWER) -> DataFrame:
-    """(path, term, freq): counts of words that fall together are added. Stems are found once a distinct word
-    and joined back, so that the stemmer sees the vocabulary and not the corpus."""
-    if normalizer == STEM:
-        stems = counts.select("word").distinct().select("word", stem_column(F.col("word")).alias("term"))
-        termed = counts.join(stems, "word")
-    else:
-        termed = counts.withColumn("term", normalize_column(F.col("word"), normalizer))
-    return termed.groupBy("path", "term").agg(F.sum("freq").alias("freq"))
+    """(path, ..., term, freq): counts of words that fall together are added. The stemmer sees the distinct words of a
+    batch and remembers them, so nothing is joined and a frequent word is no hot key."""
+    key = [c for c in counts.columns if c not in ("word", "freq")]
+    termed = counts.withColumn("term", stem_column(F.col("word")) if normalizer == STEM else normalize_column(F.col("word"), normalizer))
+    return termed.groupBy(*key, "term").agg(F.sum("freq").alias("freq"))
+
+
+def postings(docs: DataFrame, normalizer: int = LOWER, *more: str | Column) -> DataFrame:
+    """(path, ``more``, term, freq): ``more`` are columns that a document has one value of."""
+    if more:
+        docs = docs.select("path", *more, *(c for c in ("raw_text", "words") if c in docs.columns))
+    key = [c for c in docs.columns if c not in ("raw_text", "words")] if more else ["path"]
+    if normalizer == LOWER:  # one aggregation instead of two
+        return _counts(docs, key, lowered=True).withColumnRenamed("word", "term")
+    return renormalized(_counts(docs, key), normalizer)
 
 
-def postings(docs: DataFrame, normalizer: int = LOWER) -> DataFrame:
-    if normalizer == LOWER:  # one aggregation instead of two
-        # the text is lowered as a whole, for that changes no word's bounds
-        return docs.select("path", F.explode(words_column(lower_column(F.col("raw_text")))).alias("term")).groupBy("path", "term").agg(F.count("*").alias("freq"))
-    return renormalized(word_counts(docs), normalizer)
+def full_postings(docs: DataFrame, normalizer: int = LOWER) -> DataFrame:
+    """(path, source, n_terms, term, freq): all that a score needs."""
+    return postings(docs, normalizer, "source", length_column(docs).alias("n_terms"))
+
+
+def matching_postings(docs: DataFrame, forms: dict[str, str]) -> DataFrame:
+    """The rows of ``full_postings`` whose words are in ``forms`` (word: term)."""
+    key = ["path", "source", "n_terms"]
+    ready = docs.select("path", "source", length_column(docs).alias("n_terms"), *(c for c in ("raw_text", "words") if c in docs.columns))
+    found = _counts(ready, key, wanted=sorted(forms)) if forms else _counts(ready.limit(0), key)
+    terms = F.create_map(*[F.lit(x) for pair in sorted(forms.items()) for x in pair])[F.col("word")] if forms else F.col("word")
+    return found.withColumn("term", terms).groupBy(*key, "term").agg(F.sum("freq").alias("freq"))
 
 
 def document_lengths(docs: DataFrame) -> DataFrame:
     """(path, n_terms): no shuffle, for every word counts whatever its normal form. Documents without words have none."""
-    return docs.select("path", F.regexp_count("raw_text", F.lit(WORD)).cast("long").alias("n_terms")).where("n_terms > 0")
+    return docs.select("path", length_column(docs).alias("n_terms")).where("n_terms > 0")
 
 
 def sorted_words(posted: DataFrame) -> DataFrame:
@@ -48,7 +102,8 @@ def sorted_words(posted: DataFrame) -> DataFrame:
 
 
 def reverse_map(posted: DataFrame) -> DataFrame:
-    """(term, paths): the inverted index, paths ascending. A list per term is the feature here; search does not need it."""
+    """(term, paths): the inverted index, paths ascending. A list per term is the feature here, so a frequent term's row is
+    as long as the corpus; what scales is the stored index, which search reads."""
     return posted.groupBy("term").agg(F.sort_array(F.collect_set("path")).alias("paths"))
 
 
@@ -59,6 +114,6 @@ def has_all(posted: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def assembled(parts: DataFrame, key: str, order: str, text: str, separator: str = "\n") -> DataFrame:
-    """(path, raw_text): the parts of each document joined in order."""
+    """(path, raw_text): the parts of each document joined in order. A document is one row, so its parts must fit in one."""
     pairs = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     return parts.groupBy(F.col(key).cast("string").alias("path")).agg(F.array_join(F.transform(pairs, lambda p: p["t"]), separator).alias("raw_text"))

@@ -4,25 +4,28 @@ A document's score is the sum over the query's words, by position, of its term f
 log2(N / (df + 1)): N counts all documents, df those that have the word and pass the filters. The best k come
 out by score (rounded to nine places, so that equal documents stay equal), then path.
 
-``search`` scans documents: words are counted inside each row, so that nothing but the k results and one row of
-counts crosses the network. ``search_index`` reads stored postings instead, sorted by term, of which only the query's terms are
-read. Both take any normal form; stems in a scan come from a dictionary of the query's vocabulary.
+``search`` scans documents: words are counted inside each row, so that nothing but one small row a hit and the k results
+crosses the network. ``search_index`` reads stored postings instead, sorted by term, of which only the query's terms are
+read. Both take any normal form; for stems, a scan first finds which words have the query's stems.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import LOWER, STEM, lower_column
-from ..functions.tokens import WORD, WORD_LETTER, is_word
+from ..functions.normalize import LOWER, STEM, lower_column, normalize_column
+from ..functions.stemming import stem_column
+from ..functions.tokens import WORD_LETTER, is_word
 from ..plans.query import ParsedQuery, parse
 from . import postings as P
 
 EXCLUDE, AS_CODED = "exclude", "as_coded"
 PLACES = 9
+#: Words with the query's stems that may be listed in a plan; with more of them, all postings are made.
+MOST_FORMS = 10_000
 
 
 def like_pattern(quotes: Sequence[str], raw: bool = False) -> str:
@@ -32,16 +35,22 @@ def like_pattern(quotes: Sequence[str], raw: bool = False) -> str:
     return "%" + "%".join(quotes) + "%"
 
 
-def _frequency(term: str) -> Column:
-    """Times that ``term`` is a whole word of the column ``low``; what is no word is none."""
-    if not is_word(term):
-        return F.lit(0)
-    whole = F.lit(f"{term}(?<!{WORD_LETTER}{term})(?!{WORD_LETTER})")  # begins with a literal, which is fast
-    return F.when(F.contains("low", F.lit(term)), F.regexp_count("low", whole)).otherwise(0)
+def _frequency(term: str, normalizer: int, brings_words: bool) -> Column:
+    """Times that ``term`` is a whole word of the column ``low``, or what the document's own counts say; what is no
+    word is none in a text."""
+    if is_word(term):
+        whole = F.lit(f"{term}(?<!{WORD_LETTER}{term})(?!{WORD_LETTER})")  # begins with a literal, which is fast
+        text = F.when(F.contains("low", F.lit(term)), F.regexp_count("low", whole)).otherwise(0)
+    else:
+        text = F.lit(0)
+    if not brings_words:
+        return text
+    own = F.filter(F.map_entries("words"), lambda e: normalize_column(e["key"], normalizer) == term)
+    return F.when(P.given(), F.aggregate(own, F.lit(0).cast("long"), lambda n, e: n + F.coalesce(e["value"], F.lit(0)))).otherwise(text)
 
 
 def _counted(docs: DataFrame, terms: list[str], query: ParsedQuery, normalizer: int, minus: str, raw: bool) -> DataFrame:
-    """(path, source, raw_text, freqs by position) of the documents that pass the filters.
+    """(path, source, n_terms, freqs by position) of the documents that pass the filters and have a term.
 
     Lowering changes no word's bounds, so a text is lowered as a whole; each term is sought by itself, first as a
     plain substring.
@@ -50,12 +59,16 @@ def _counted(docs: DataFrame, terms: list[str], query: ParsedQuery, normalizer:
     if query.quotes:
         rows = rows.where(F.col("raw_text").like(like_pattern(query.quotes, raw)))
     rows = rows.withColumn("low", lower_column(F.col("raw_text")) if normalizer == LOWER else F.col("raw_text"))
-    has = lambda w: F.coalesce(_frequency(w) > 0, F.lit(False))
+    times = lambda w: _frequency(w, normalizer, P.brings_words(docs))
+    has = lambda w: F.coalesce(times(w) > 0, F.lit(False))
     for w in query.plus:
         rows = rows.where(has(w))
     for w in query.minus:
         rows = rows.where(has(w) if minus == AS_CODED else ~has(w))
-    return rows.select("path", "source", "raw_text", F.array(*map(_frequency, terms)).alias("freqs"))
+    # made by a generator, so that the filter reads the counts and does not count once more
+    own = [c for c in ("path", "source", "raw_text", "words") if c in docs.columns]
+    counted = rows.select(*own, F.explode(F.array(F.array(*map(times, terms)))).alias("freqs")).where(F.array_max("freqs") > 0)
+    return counted.select("path", "source", P.length_column(docs).alias("n_terms"), "freqs")
 
 
 def _empty(docs: DataFrame) -> DataFrame:
@@ -68,28 +81,36 @@ def _best(scored: DataFrame, k: int | None) -> DataFrame:
 
 
 def search(docs: DataFrame, query: str, k: int | None = 10, normalizer: int = LOWER, minus: str = EXCLUDE, raw_phrases: bool = False) -> DataFrame:
-    """(path, source, score) of the best ``k`` documents (all if None) of ``docs`` (path, source, raw_text).
+    """(path, source, score) of the best ``k`` documents (all if None) of ``docs`` (path, source, raw_text, perhaps words).
 
     ``minus``: documents with any minus word are left out, or ("as_coded") only those with all of them stay.
-    An empty query has no results. Stems need an index: one is made of the query's filtered documents.
+    An empty query has no results. Texts are read once: what a hit needs (its counts) is shuffled, and both the
+    document frequencies and the scores come from that. For stems the vocabulary is read before.
     """
-    if normalizer == STEM:
-        return search_index(docs, P.postings(docs, STEM), P.document_lengths(docs), query, k, STEM, minus, raw_phrases)
     parsed = parse(query, normalizer)
     terms = parsed.terms(normalizer)
     if not terms:
         return _empty(docs)
-    rows = _counted(docs, terms, parsed, normalizer, minus, raw_phrases)
-    df = rows.agg(F.array(*[F.count_if(F.col("freqs")[i] > 0) for i in range(len(terms))])).scalar()
+    if normalizer == STEM:
+        return _search_stems(docs, query, parsed, terms, k, minus, raw_phrases)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hits = _counted(docs, terms, parsed, normalizer, minus, raw_phrases).repartition(parts, "path")
+    # what holds for every hit is asked too, so that both readers need the same columns and share the exchange
+    sound = (F.col("n_terms") > 0) & (F.coalesce("source", F.lit(0)) >= 0)
+    df = hits.agg(F.array(*[F.count_if((F.col("freqs")[i] > 0) & sound) for i in range(len(terms))])).scalar()
     total = docs.agg(F.count("*")).scalar()
-    any_hit = F.array_max("freqs") > 0
-    n_terms = F.regexp_count("raw_text", F.lit(WORD)).alias("n_terms")
-    hits = rows.where(any_hit).select("path", "source", n_terms, "freqs", df.alias("df"), total.cast("double").alias("n"))
-    parts = [F.when(F.col("freqs")[i] > 0, F.col("freqs")[i] / F.col("n_terms") * F.log2(F.col("n") / (F.col("df")[i] + 1))).otherwise(0.0) for i in range(len(terms))]
-    score = parts[0]
-    for p in parts[1:]:
-        score = score + p
-    return _best(hits.select("path", "source", score.alias("score")), k)
+    weighed = hits.select("path", "source", "n_terms", "freqs", df.alias("df"), total.cast("double").alias("n"))
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        score = score + F.when(F.col("freqs")[i] > 0, F.col("freqs")[i] / F.col("n_terms") * F.log2(F.col("n") / (F.col("df")[i] + 1))).otherwise(0.0)
+    return _best(weighed.select("path", "source", score.alias("score")), k)
+
+
+def _search_stems(docs: DataFrame, query: str, parsed: ParsedQuery, terms: list[str], k: int | None, minus: str, raw: bool) -> DataFrame:
+    wanted = sorted({*terms, *parsed.plus, *parsed.minus})
+    forms = P.vocabulary(docs).select("word", stem_column(F.col("word")).alias("term")).where(F.col("term").isin(wanted)).limit(MOST_FORMS + 1).collect()
+    posted = P.matching_postings(docs, {r["word"]: r["term"] for r in forms}) if len(forms) <= MOST_FORMS else P.full_postings(docs, STEM)
+    return search_index(docs, posted, None, query, k, STEM, minus, raw)
 
 
 def frequency_map(posted: DataFrame, docs: DataFrame, word: str, query: ParsedQuery, minus: str = EXCLUDE, raw_phrases: bool = False) -> DataFrame:
@@ -110,24 +131,25 @@ def _filtered(hits: DataFrame, posted: DataFrame, docs: DataFrame, query: Parsed
     return hits
 
 
-def positions(spark: SparkSession, terms: list[str]) -> DataFrame:
-    """(pos, term), one row an occurrence in the query."""
-    return spark.createDataFrame(list(enumerate(terms)), "pos int, term string")
-
-
-def search_index(docs: DataFrame, posted: DataFrame, lengths: DataFrame, query: str, k: int | None = 10, normalizer: int = LOWER, minus: str = EXCLUDE, raw_phrases: bool = False) -> DataFrame:
-    """The same over postings and document lengths. The query's own words are the only side that is broadcast."""
+def search_index(docs: DataFrame, posted: DataFrame, lengths: DataFrame | None, query: str, k: int | None = 10, normalizer: int = LOWER, minus: str = EXCLUDE, raw_phrases: bool = False, n_docs: int | None = None) -> DataFrame:
+    """The same over postings. Full postings (path, source, n_terms, term, freq) need neither ``lengths`` nor, unless
+    there are phrases, the documents; ``n_docs`` saves counting them. The query's own words, one row each, are the only
+    side that is broadcast."""
     parsed = parse(query, normalizer)
     terms = parsed.terms(normalizer)
     if not terms:
         return _empty(docs)
+    full = {"source", "n_terms"} <= set(posted.columns)
     own = posted.where(F.col("term").isin(sorted(set(terms))))
     hits = _filtered(own, posted, docs, parsed, minus, raw_phrases)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     times = F.create_map(*[F.lit(x) for t in sorted(set(terms)) for x in (t, terms.count(t))])
-    total = docs.agg(F.count("*")).scalar().cast("double")
+    total = F.lit(float(n_docs)) if n_docs is not None else docs.agg(F.count("*")).scalar().cast("double")
     weights = df.select("term", (times[F.col("term")] * F.log2(total / (F.col("df") + 1))).alias("weight"))
-    scored = hits.join(F.broadcast(weights), "term").join(lengths, "path").groupBy("path").agg(F.sum(F.col("freq") / F.col("n_terms") * F.col("weight")).alias("score"))
+    weighed = hits.join(F.broadcast(weights), "term")
+    if full:
+        return _best(weighed.groupBy("path", "source").agg(F.sum(F.col("freq") / F.col("n_terms") * F.col("weight")).alias("score")), k)
+    scored = weighed.join(lengths, "path").groupBy("path").agg(F.sum(F.col("freq") / F.col("n_terms") * F.col("weight")).alias("score"))
     ranked = scored.select("path", F.round("score", PLACES).alias("score"))
     if k is not None:
         ranked = ranked.orderBy(F.desc("score"), "path").limit(k)
