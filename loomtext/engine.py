@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import logging
 import time
+from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from functools import reduce
@@ -16,10 +18,14 @@ from .functions.display import DIRECTORY, FILE, FIRST_PORT, LAST_PORT
 from .functions.normalize import LOWER
 from .functions.urls import parse_query
 from .operators import catalogue
-from .operators.search import EXCLUDE, search, search_index
-from .sources.files import TEXT_READER, Reader, Settings, download
-from .sources.messages import documents
-from .store import DocumentStore, VersionedTable, read_index, write_index
+from .operators.search import EXCLUDE, response, search, search_index
+from .sources.files import TEXT_READER, Reader, Settings, download, file_bytes
+from .sources.messages import as_json, documents
+from .store import DocumentStore, Folder, VersionedTable, index_documents, read_index, write_index
+
+LOG = logging.getLogger("loomtext")
+#: Stands for the number of results of the configuration.
+CONFIGURED = -1
 
 
 @dataclass
@@ -48,14 +54,30 @@ class Config:
         Path(path).write_text(json.dumps(asdict(self), indent=2))
 
 
+@dataclass
+class DispatchErrors:
+    """What went wrong when a collection was to be indexed; None is nothing."""
+
+    indexer_was_running: bool = True
+    startup_attempt: Exception | None = None
+    dispatch_attempt: Exception | None = None
+
+    @property
+    def failed(self) -> bool:
+        return self.dispatch_attempt is not None
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, config: Config | None = None):
+    """``readers`` are those, besides the built-in one, that registered indexers refer to by name: a restarted engine
+    must be given them again."""
+
+    def __init__(self, spark: SparkSession, root: str, config: Config | None = None, readers: Iterable[Reader] = ()):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
         self.store = DocumentStore(spark, f"{self.root}/documents")
         self._indexers = VersionedTable(spark, f"{self.root}/indexers", catalogue.INDEXER)
         self._collections = VersionedTable(spark, f"{self.root}/collections", catalogue.COLLECTION)
-        self.readers: dict[str, Reader] = {}
-        self.indexed = False
+        self._index = Folder(spark, f"{self.root}/index")
+        self.readers: dict[str, Reader] = {r.name: r for r in (TEXT_READER, *readers)}
         self.seconds: dict[str, float] = {}
 
     @contextmanager
@@ -64,7 +86,13 @@ class Engine:
         try:
             yield
         finally:
-            self.seconds[name] = self.seconds.get(name, 0.0) + time.perf_counter() - began
+            took = time.perf_counter() - began
+            self.seconds[name] = self.seconds.get(name, 0.0) + took
+            LOG.info("%s: %.2f s", name, took)
+
+    def log(self, message: str) -> None:
+        """Takes a line for the log from outside."""
+        LOG.info("%s", message)
 
     def documents(self) -> DataFrame:
         return self.store.documents()
@@ -85,13 +113,14 @@ class Engine:
             raise RuntimeError("no port is free")
         name, *args = command.split(" ")
         row = self.spark.createDataFrame([(self._new_id(), reader.name, name, args, port)], catalogue.INDEXER)
+        if self.readers.get(reader.name, reader) != reader:
+            raise ValueError(f"another reader is named {reader.name}")
         self._indexers.write(self.indexers().unionByName(row))
-        self.readers[row.first()["id"]] = reader
+        self.readers[reader.name] = reader
         return row.first()["id"]
 
     def unregister_indexer(self, indexer_id: str) -> None:
         self._indexers.write(self.indexers().where(F.col("id") != indexer_id))
-        self.readers.pop(indexer_id, None)
 
     def register_collection(self, path: str, indexer_id: str, recursive: bool = True, source_type: str = "dir", respect_last_modified: bool = False, normalizer: int = LOWER) -> str:
         if catalogue.lookup(self.indexers(), "id", indexer_id).isEmpty():
@@ -102,41 +131,95 @@ class Engine:
         self._collections.write(self.collections().unionByName(self.spark.createDataFrame([row], catalogue.COLLECTION)))
         return row[0]
 
-    def index(self, collection_id: str) -> None:
-        """Reads a collection by its indexer's reader and puts its documents."""
-        found = catalogue.lookup(self.collections(), "id", collection_id).first()
+    def _collection(self, collection_id: str):
+        """A collection with its reader."""
+        found = catalogue.with_indexer(catalogue.lookup(self.collections(), "id", collection_id), self.indexers()).first()
         if found is None:
-            raise ValueError(f"no such collection: {collection_id}")
+            raise ValueError(f"no such collection, or its indexer is gone: {collection_id}")
+        reader = self.readers.get(found["indexer_name"])
+        if reader is None:
+            raise LookupError(f"no reader is named {found['indexer_name']}: give it to the engine")
+        return found, reader
+
+    def index(self, collection_id: str, modify: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Reads a collection by its indexer's reader and puts its documents, changed by ``modify`` if given. A collection that
+        respects modification times leaves out files that were indexed after their last change."""
+        found, reader = self._collection(collection_id)
         kind = {"file": FILE, "dir": DIRECTORY}.get(found["source_type"])
         if kind is None:
             raise NotImplementedError("web sources cannot be read")
-        reader = self.readers.get(found["indexer_id"], TEXT_READER)
         docs = reader.read(self.spark, Settings(found["path"], kind, collection_id, found["recursive"]))
+        if modify is not None:
+            docs = docs.transform(modify)
+        if found["respect_last_modified"] and "modified" in docs.columns:
+            docs = docs.withColumnRenamed("modified", "at").join(self.store.read().select("path", "last_indexed"), "path", "left")
+            docs = docs.where("last_indexed IS NULL OR at IS NULL OR at >= last_indexed").drop("last_indexed", "at")
         with self.timed("index"):
             self.store.upsert(docs.withColumn("collection_id", F.lit(collection_id)))
-        self.indexed = False
+
+    def dispatch(self, collection_id: str, modify: Callable[[DataFrame], DataFrame] | None = None) -> DispatchErrors:
+        """Indexes a collection. If the first attempt fails, its reader is started and asked once more; what fails then is
+        returned and logged, not raised. A collection or reader that is not there is raised."""
+        errors = DispatchErrors()
+        _, reader = self._collection(collection_id)
+        try:
+            self.index(collection_id, modify)
+            return errors
+        except Exception as first:  # noqa: BLE001
+            LOG.warning("reader %s failed: %s", reader.name, first)
+            errors.indexer_was_running = False
+        try:
+            if reader.start is not None:
+                reader.start()
+        except Exception as e:  # noqa: BLE001
+            errors.startup_attempt, errors.dispatch_attempt = e, RuntimeError("failed startup prevents dispatch attempt")
+            LOG.error("reader %s does not start: %s", reader.name, e)
+            return errors
+        try:
+            self.index(collection_id, modify)
+        except Exception as e:  # noqa: BLE001
+            errors.dispatch_attempt = e
+            LOG.error("reader %s failed again: %s", reader.name, e)
+        return errors
 
     def push_documents(self, messages: list[str]) -> int:
-        """Puts the documents of JSON messages; returns how many there were. A message without success or without documents is an error."""
-        rows = self.spark.createDataFrame([(m,) for m in messages], "value string")
-        n = documents(rows).count()
+        """Puts the documents of JSON messages, with the words they bring; returns how many there were. Of one path the last
+        wins, by message, then by place in it. A message without success or without documents is an error."""
+        rows = self.spark.createDataFrame(list(enumerate(messages)), "number long, value string")
+        found = documents(rows, number=F.col("number"))
+        n = found.count()
         if not n:
             raise ValueError("no documents")
-        self.store.upsert(documents(rows))
-        self.indexed = False
+        self.store.upsert(found)
         return n
 
+    def _index_name(self) -> str:
+        """The index of the documents as they are: one for each version of them and normal form."""
+        return f"v{self.store.version():08d}-n{self.config.normalizer}"
+
+    @property
+    def indexed(self) -> bool:
+        """Whether the index on disk is of the documents as they are."""
+        return self._index._fs.exists(self._index._path(f"{self._index_name()}/facts/_SUCCESS"))
+
     def build_index(self) -> None:
+        """Writes the index of the newest version, which stays valid until documents change, also for other engines over
+        the same folder. Older ones go."""
+        name = self._index_name()
         with self.timed("build index"):
-            write_index(self.documents(), f"{self.root}/index", self.config.normalizer)
-        self.indexed = True
-
-    def search(self, query: str, k: int | None = None) -> DataFrame:
-        """(path, source, score): by the index if one was built since the last change, else by a scan."""
+            write_index(self.documents(), f"{self._index.root}/{name}", self.config.normalizer)
+        for s in self._index._fs.listStatus(self._index._path("")):
+            if (old := s.getPath().getName()) != name:
+                self._index.delete(old)
+
+    def search(self, query: str, k: int | None = CONFIGURED) -> DataFrame:
+        """(path, source, score) of the best ``k`` documents, all if None: by the index if it is of the documents as they
+        are, else by a scan."""
         c = self.config
-        options = {"k": k or c.results, "normalizer": c.normalizer, "minus": c.minus, "raw_phrases": c.raw_phrases}
+        options = {"k": c.results if k == CONFIGURED else k, "normalizer": c.normalizer, "minus": c.minus, "raw_phrases": c.raw_phrases}
         if self.indexed:
-            return search_index(self.documents(), *read_index(self.spark, f"{self.root}/index"), query, **options)
+            root = f"{self._index.root}/{self._index_name()}"
+            return search_index(self.documents(), *read_index(self.spark, root), query, **options, n_docs=index_documents(self.spark, root))
         return search(self.documents(), query, **options)
 
     def handle_search(self, query_string: str) -> dict:
@@ -146,21 +229,22 @@ class Engine:
             raise ValueError("no keys given")
         query = " ".join(keys)
         with self.timed("search"):
-            rows = self.search(query).collect()
-        return {"Query": query, "Results": [{"Path": r["path"], "Score": r["score"], "Source": r["source"]} for r in rows]}
+            found = response(self.search(query), query).first()
+        return {"Query": query, "Results": [r.asDict() for r in found["results"]]}
 
     def all_documents(self) -> DataFrame:
         """Stored documents as JSON lines."""
-        docs = self.store.read()
-        return docs.select(F.to_json(F.struct(*docs.columns)).alias("value"))
+        return as_json(self.store.read())
 
     def download(self, path: str) -> bytes:
+        """The file of a stored document, byte for byte; of one that is not a file, or is gone, the stored text."""
         found = download(self.documents(), path).first()
         if found is None:
             raise FileNotFoundError(path)
-        return bytes(found["content"])
+        own = file_bytes(self.spark, found["path"]) if found["type"] == "file" else None
+        return bytes(found["content"] or b"") if own is None else own
 
-    def search_many(self, queries: list[str], k: int | None = None) -> DataFrame:
+    def search_many(self, queries: list[str], k: int | None = CONFIGURED) -> DataFrame:
         """(query, path, source, score) of several queries in one job."""
         if not queries:
             raise ValueError("no queries given")

@@ -36,6 +36,10 @@ def valid_port(port: Column) -> Column:
     return port.between(FIRST_PORT, LAST_PORT)
 
 
+def port_text(port: Column) -> Column:
+    return port.cast("string")
+
+
 def score_text(score: Column, places: int = 2) -> Column:
     return F.format_string(f"%.{places}f", score)
 

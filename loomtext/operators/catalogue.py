@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.display import FIRST_PORT
 
 INDEXER = "id string, name string, exec string, args array<string>, port int"
 COLLECTION = "id string, path string, indexer_id string, recursive boolean, source_type string, respect_last_modified boolean, normalizer int"
-DOCUMENT = "path string, type string, collection_id string, raw_text string, last_indexed timestamp"
+DOCUMENT = "path string, type string, collection_id string, raw_text string, words map<string,bigint>, last_indexed timestamp"
 
 
 def row_amount(table: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def row_amount(table: DataFrame) -> DataFrame:
 
 
 def lookup(table: DataFrame, key: str, value: str) -> DataFrame:
-    """The row of a key; none if it is missing. The filter reaches the scan."""
+    """The row of a key; none if it is missing. Where the key is a stored column, the filter reaches the scan."""
     return table.where(F.col(key) == value).limit(1)
 
 
@@ -30,11 +30,16 @@ def missing(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return wanted.join(table.select(key), key, "left_anti")
 
 
+def newest(rows: DataFrame, key: str, order: Column, columns: list[str]) -> DataFrame:
+    """Of the rows of each key the last by ``order``; a partial aggregate, so a key that half of the rows have is no burden."""
+    one = F.struct(*columns)
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(one, F.struct(order)).alias("_last")).select("_last.*")
+
+
 def upsert(current: DataFrame, incoming: DataFrame, key: str, order: str | Column) -> DataFrame:
     """``current`` with the rows of ``incoming`` in place of those that have their key; of several incoming rows with
     one key the last by ``order`` wins. Both have the columns of ``current``; ``incoming`` may have more."""
-    last = Window.partitionBy(key).orderBy(F.desc(order) if isinstance(order, str) else order.desc())
-    fresh = incoming.withColumn("_rank", F.row_number().over(last)).where("_rank = 1").select(*current.columns)
+    fresh = newest(incoming, key, F.col(order) if isinstance(order, str) else order, current.columns)
     return current.join(fresh.select(key), key, "left_anti").select(*current.columns).unionByName(fresh)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.normalize import LOWER, normalize
-from ..functions.tokens import words
+from ..functions.tokens import words, words_column
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,11 @@ def quoted_words(quotes: list[str]) -> list[str]:
     return [w for q in quotes for w in words(q)]
 
 
+def quoted_words_column(quotes: Column) -> Column:
+    """All words of an array of phrases, in order."""
+    return F.flatten(F.transform(quotes, words_column))
+
+
 def parse(query: str, normalizer: int = LOWER) -> ParsedQuery:
     """One scan from left to right.
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def json_value(column: str, key: str, alias: str) -> str:
@@ -50,3 +54,15 @@ class Update:
 def insert_into(table: str, columns: list[str]) -> str:
     """With numbered parameters in the order of the columns."""
     return f"INSERT INTO {table} ({', '.join(columns)}) VALUES ({', '.join(f'${k + 1}' for k in range(len(columns)))})"
+
+
+def run(spark: SparkSession, statement: Select | Update | str, **bound: Any) -> DataFrame:
+    """The rows of a statement; ``:name`` in it stands for the bound value ``name``."""
+    return spark.sql(str(statement), args=bound)
+
+
+def fold(rows: DataFrame, start: Any, insert: Callable[[Any, Any], Any]) -> Any:
+    """``insert`` applied to what has been gathered and every row in turn, a partition at a time."""
+    for row in rows.toLocalIterator():
+        start = insert(start, row)
+    return start

@@ -6,20 +6,26 @@ with its tags) and ``conversations`` (turns joined) serve as further corpora.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Engine
 from .functions import display, urls
-from .functions.normalize import LOWER, STEM, normalize
+from .functions.normalize import LOWER, STEM
 from .functions.stemming import kinds_sql, measure_column, stem_column, stem_sql
 from .functions.tokens import WORD, is_ascii, is_ascii_alphanumeric, is_ascii_digits, is_ascii_letters, utf8_length
 from .operators import catalogue, postings as P
-from .operators.search import AS_CODED, EXCLUDE, by_source, frequency_map, like_pattern, raw_frequency_search, search
-from .plans.query import ParsedQuery, parse, parse_column
-from .plans.statements import Select
+from .operators.search import AS_CODED, EXCLUDE, by_source, frequency_map, raw_frequency_search, response, search, search_index
+from .plans.query import ParsedQuery, parse_column, quoted_words_column
+from .plans.statements import Select, run as run_statement
 from .sources import messages
+from .sources.files import Settings, Walk, download, read_text
+from .store import DocumentStore, index_documents, read_index, write_index
+from .streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,19 +71,20 @@ def literal(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def search_sql(text: str, normalizer: int = LOWER, minus: str = EXCLUDE, corpus: str = D, k: int | None = 10, raw: bool = False) -> str:
-    parsed = parse(text, normalizer)
-    terms = parsed.terms(normalizer)
-    rows = ", ".join(f"({i}, {literal(t)})" for i, t in enumerate(terms))
+def search_sql(scored: str, plus: str = "", minus_words: str = "", like: str = "", normalizer: int = LOWER, minus: str = EXCLUDE, corpus: str = D, k: int | None = 10, post: str = "") -> str:
+    """Written from the terms that a query is to have: those scored by position, the required and the excluded, all between
+    spaces, and the LIKE pattern of its phrases. ``post``: SQL of (path, term, freq) if it is not from the texts."""
+    rows = ", ".join(f"({i}, {literal(t)})" for i, t in enumerate(scored.split()))
     has = lambda w: f"EXISTS (SELECT 1 FROM post p WHERE p.path = d.path AND p.term = {literal(w)})"
-    tests = [has(w) for w in parsed.plus] + [has(w) if minus == AS_CODED else f"NOT {has(w)}" for w in parsed.minus]
-    if parsed.quotes:
-        tests.append(f"raw_text LIKE {literal(like_pattern(parsed.quotes, raw))} ESCAPE '\\'")
+    tests = [has(w) for w in plus.split()] + [has(w) if minus == AS_CODED else f"NOT {has(w)}" for w in minus_words.split()]
+    if like:
+        tests.append(f"raw_text LIKE {literal(like)} ESCAPE '\\'")
     stems = stem_sql(f"(SELECT DISTINCT unnest({TOKENS}) AS word FROM {corpus})") + ", " if normalizer == STEM else ""
     tokens = f"SELECT path, unnest({TOKENS}) AS word FROM {corpus}"
     tok = f"SELECT path, lower(word) AS term FROM ({tokens})" if normalizer == LOWER else f"SELECT path, stem AS term FROM ({tokens}) JOIN stems USING (word)"
+    post = post or "SELECT path, term, count(*) AS freq FROM tok GROUP BY ALL"
     return f"""
-        WITH {stems}tok AS ({tok}), post AS (SELECT path, term, count(*) AS freq FROM tok GROUP BY ALL),
+        WITH {stems}tok AS ({tok}), post AS ({post}),
         ln AS (SELECT path, sum(freq) AS n FROM post GROUP BY 1), terms AS (SELECT * FROM (VALUES {rows}) t(pos, term)),
         ok AS (SELECT path, source FROM {corpus} d{' WHERE ' + ' AND '.join(tests) if tests else ''}),
         hit AS (SELECT pos, post.path, source, freq FROM terms JOIN post USING (term) JOIN ok ON ok.path = post.path),
@@ -86,10 +93,28 @@ def search_sql(text: str, normalizer: int = LOWER, minus: str = EXCLUDE, corpus:
         FROM hit JOIN df USING (pos) JOIN ln USING (path) GROUP BY ALL ORDER BY score DESC, path{'' if k is None else f' LIMIT {k}'}"""
 
 
-def searching(name: str, text: str, corpus: Callable[[SparkSession, str], DataFrame] = documents, sql: str = D, **options) -> None:
-    QUERIES[name] = lambda spark, sf_dir: search(corpus(spark, sf_dir), text, **options)
-    renamed = {"raw" if k == "raw_phrases" else k: v for k, v in options.items()}
-    ORACLE_SQL[name] = search_sql(text, corpus=sql, **renamed)
+def searching(name: str, text: str, scored: str, plus: str = "", minus_words: str = "", like: str = "", corpus: Callable[[SparkSession, str], DataFrame] = documents, sql: str = D, indexed: bool = False, **options) -> None:
+    def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search(corpus(spark, sf_dir), text, **options)
+
+    def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root, docs = scratch(spark), corpus(spark, sf_dir)
+        write_index(docs, root, options.get("normalizer", LOWER))
+        return search_index(docs, *read_index(spark, root), text, **options, n_docs=index_documents(spark, root))
+
+    QUERIES[name] = stored if indexed else scan
+    kept = {k: v for k, v in options.items() if k != "raw_phrases"}
+    ORACLE_SQL[name] = search_sql(scored, plus, minus_words, like, corpus=sql, **kept)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all nodes share: under spark.checkpoint.dir; local sessions without it get a temporary one."""
+    named = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        named = tempfile.mkdtemp(prefix="loomtext-")
+    return f"{named}/scratch-{uuid.uuid4().hex}"
 
 
 def fixture(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -213,26 +238,41 @@ def inverse_frequency(spark, sf_dir):
 
 # search
 
-PHRASES = '"of the" "and"'
-searching("search_single", "with")
-searching("search_multi", "this that from")
-searching("search_duplicate_term", "with with from")
-searching("search_plus", "the +with +from")
-searching("search_minus_exclude", "the of -with -pour")
-searching("search_minus_as_coded", "the of -with", minus=AS_CODED)
-searching("search_phrase", 'with "of the"')
-searching("search_two_phrases_ordered", f"is {PHRASES}")
-searching("search_phrase_pattern", 'is "of _he"', raw_phrases=True)
-searching("search_combined", 'this +the -pour "of the" with with')
-searching("search_no_match", "nosuchwordanywhere")
-searching("search_missing_plus", "the +nosuchwordanywhere")
-searching("search_all_results", "pour dans", k=None)
-searching("search_stemmed", "ending things -pour", normalizer=STEM)
-searching("search_stemmed_plus", "ringing +are the", normalizer=STEM)
-searching("search_pages", "article the", corpus=pages, sql=W)
-searching("search_web_and_files", "the html der", corpus=lambda s, d: documents(s, d).union(pages(s, d)), sql=f"(SELECT * FROM {D} UNION ALL SELECT * FROM {W})")
+searching("search_single", "with", "with")
+searching("search_multi", "this that from", "this that from")
+searching("search_duplicate_term", "with with from", "with with from")
+searching("search_plus", "the +with +from", "the with from", plus="with from")
+searching("search_minus_exclude", "the of -with -pour", "the of", minus_words="with pour")
+searching("search_minus_as_coded", "the of -with", "the of", minus_words="with", minus=AS_CODED)
+searching("search_phrase", 'with "of the"', "with of the", like="%of the%")
+searching("search_two_phrases_ordered", 'is "of the" "and"', "is of the and", like="%of the%and%")
+searching("search_phrase_pattern", 'is "of _he"', "is of he", like="%of _he%", raw_phrases=True)
+searching("search_empty_quote", 'the "" with', "the with", like="%%")
+searching("search_combined", 'this +the -pour "of the" with with', "this the with with of the", plus="the", minus_words="pour", like="%of the%")
+searching("search_no_match", "nosuchwordanywhere", "nosuchwordanywhere")
+searching("search_missing_plus", "the +nosuchwordanywhere", "the nosuchwordanywhere", plus="nosuchwordanywhere")
+searching("search_all_results", "pour dans", "pour dans", k=None)
+searching("search_stemmed", "ending things -pour", "end thing", minus_words="pour", normalizer=STEM)
+searching("search_stemmed_plus", "ringing +are the", "ring are the", plus="are", normalizer=STEM)
+searching("search_pages", "article the", "article the", corpus=pages, sql=W)
+searching("search_web_and_files", "the html der", "the html der", corpus=lambda s, d: documents(s, d).union(pages(s, d)), sql=f"(SELECT * FROM {D} UNION ALL SELECT * FROM {W})")
 _C = "(SELECT CAST(conv_id AS VARCHAR) AS path, 0 AS source, string_agg(text, chr(10) ORDER BY turn) AS raw_text FROM conversations GROUP BY conv_id)"
-searching("search_conversations", "the with", corpus=lambda s, d: conversations(s, d).withColumn("source", F.lit(0)), sql=_C)
+searching("search_conversations", "the with", "the with", corpus=lambda s, d: conversations(s, d).withColumn("source", F.lit(0)), sql=_C)
+searching("indexed_search_multi", "this that from", "this that from", indexed=True)
+searching("indexed_search_filters", 'this +the -pour "of the" with with', "this the with with of the", plus="the", minus_words="pour", like="%of the%", indexed=True)
+searching("indexed_search_all", "pour dans", "pour dans", k=None, indexed=True)
+searching("indexed_search_stemmed", "ringing +are the", "ring are the", plus="are", normalizer=STEM, indexed=True)
+
+# Documents that bring their words: those in English, whose words are their language and their source.
+_BROUGHT = f"SELECT path, term, count(*) AS freq FROM tok WHERE path NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang = 'en') GROUP BY ALL UNION ALL SELECT CAST(doc_id AS VARCHAR), unnest(['tongue', lower(source)]), unnest([n_chars + 1, 2]) FROM documents WHERE lang = 'en'"
+
+
+@query(search_sql("tongue src1 die les", minus_words="src3", k=None, post=_BROUGHT))
+def push_words_search(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    brought = F.create_map(F.lit("Tongue"), F.col("n_chars") + 1, F.col("source"), F.lit(2).cast("long"))
+    docs = rows.select(F.col("doc_id").cast("string").alias("path"), F.lit(display.LOCAL).alias("source"), F.col("text").alias("raw_text"), F.when(F.col("lang") == "en", brought).alias("words"))
+    return search(docs, "tongue src1 die les -src3", k=None)
 
 
 @query(f"SELECT path, CAST(sum(freq) AS DOUBLE) AS score FROM ({POSTINGS}) WHERE term IN ('this', 'that') GROUP BY 1 ORDER BY score DESC, path LIMIT 10")
@@ -379,4 +419,133 @@ STEMS = dict(
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"({literal(w)}, {literal(s)})" for w, s in STEMS.items()) + ") t(word, stem)")
 def stem_cases(spark, sf_dir):
-    return fixture(spark, [(w, normalize(w, STEM)) for w in STEMS], "word string, stem string")
+    return fixture(spark, [(w,) for w in STEMS], "word string").select("word", stem_column(F.col("word")).alias("stem"))
+
+
+# what changes and what is stored
+
+
+_TWICE = "SELECT source AS path, 'again ' || max(doc_id) AS raw_text, map(['n'], [max(doc_id)]) AS words FROM documents WHERE source IS NOT NULL GROUP BY 1"
+
+
+def _pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(number, value): a message of every document, numbered by its id, in which its source is put twice."""
+    one = lambda text, words: F.struct(F.col("source").alias("Path"), F.lit(0).alias("Source"), words.alias("Words"), F.lit("c").alias("Collection"), text.alias("RawText"))
+    words = F.create_map(F.lit("n"), F.col("doc_id"))
+    found = F.array(one(F.col("text"), words), one(F.concat(F.lit("again "), "doc_id"), words))
+    message = F.struct(F.lit("success").alias("status"), F.struct(F.lit("").alias("message"), found.alias("documents")).alias("data"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("source IS NOT NULL").select(F.col("doc_id").alias("number"), F.to_json(message).alias("value"))
+
+
+@query(_TWICE)
+def push_last_wins(spark, sf_dir):
+    store = DocumentStore(spark, scratch(spark))
+    store.upsert(messages.documents(_pushes(spark, sf_dir), number=F.col("number")))
+    return store.read().select("path", "raw_text", "words")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN lang = 'de' THEN 'third' WHEN source = 'src1' THEN 'second' ELSE text END AS raw_text FROM documents")
+def store_upserts(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    put = lambda df, text: df.select(F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("source"), text.alias("raw_text"))
+    store = DocumentStore(spark, scratch(spark), most_changes=3)  # the third makes a new base
+    store.upsert(put(rows, F.col("text")))
+    store.upsert(put(rows.where("source = 'src1'"), F.lit("second")))
+    store.upsert(put(rows.where("lang = 'de'"), F.lit("third")))
+    return store.read().select("path", "raw_text")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS path, arg_max(text, turn) AS raw_text FROM conversations GROUP BY 1")
+def stream_ingest(spark, sf_dir):
+    """Turns arrive as messages in files; the last turn of a conversation stays."""
+    root = scratch(spark)
+    one = F.struct(F.col("conv_id").cast("string").alias("Path"), F.lit(0).alias("Source"), F.lit(None).cast("map<string,bigint>").alias("Words"), F.lit("c").alias("Collection"), F.col("text").alias("RawText"))
+    message = F.struct(F.lit("success").alias("status"), F.struct(F.lit("").alias("message"), F.array(one).alias("documents")).alias("data"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text IS NOT NULL").repartition(8, "conv_id").sortWithinPartitions("conv_id", "turn")
+    turns.select(F.to_json(message).alias("value")).write.text(f"{root}/inbox")
+    store = DocumentStore(spark, f"{root}/documents")
+    ingest(spark, f"{root}/inbox", store, f"{root}/progress", files_per_batch=3).awaitTermination()
+    return store.read().select("path", "raw_text")
+
+
+_FLAT = "regexp_replace(text, '[\\r\\n]+', ' ', 'g')"
+
+
+@query(f"SELECT source AS folder, CAST(sum(len(regexp_extract_all({_FLAT}, '{WORD}'))) AS BIGINT) AS n FROM documents WHERE source NOT IN ('src1', 'src2') GROUP BY 1")
+def read_folder(spark, sf_dir):
+    """Texts written as files in a folder a source, read back without two of them."""
+    root = scratch(spark)
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    flat = rows.select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value"), F.concat(F.lit("in-"), "source").alias("folder"))
+    flat.write.partitionBy("folder").option("maxRecordsPerFile", 1000).text(f"{root}/texts")
+    found = read_text(spark, Settings(f"{root}/texts", display.DIRECTORY, walk=Walk(forbidden=("folder=in-src1", "folder=in-src2"))))
+    folder = F.regexp_extract(F.col("path"), "folder=in-([^/]+)/[^/]*$", 1).alias("folder")
+    return found.select(folder, P.length_column(found).alias("n")).groupBy("folder").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT '/somewhere' AS path, 'Local text' AS name, 39001 AS port, 'dir' AS source_type, true AS known, true AS gone, true AS id_form")
+def register_and_scan(spark, sf_dir):
+    """Two readers are registered, a collection is given to the second, the first is removed."""
+    e = Engine(spark, scratch(spark))
+    first, second = e.register_indexer(), e.register_indexer()
+    e.register_collection("/somewhere", second)
+    e.unregister_indexer(first)
+    again = Engine(spark, e.root)  # reads what the first one stored
+    known = catalogue.exists(again.indexers(), "id", fixture(spark, [(second,)], "id string")).agg((F.count("*") == 1).alias("known"))
+    gone = catalogue.lookup(again.indexers(), "id", first).agg((F.count("*") == 0).alias("gone"))
+    joined = catalogue.with_indexer(again.collections(), again.indexers())
+    return joined.join(known).join(gone).select("path", F.col("indexer_name").alias("name"), "port", "source_type", "known", "gone", F.col("id").rlike("^[0-9]{10}[0-9a-f]{4}$").alias("id_form"))  # one row each
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, text AS content FROM documents WHERE doc_id = 17")
+def download_document(spark, sf_dir):
+    return download(documents(spark, sf_dir), "./17").select("path", F.col("content").cast("string").alias("content"))
+
+
+@query("SELECT CAST(json_object('doc_id', doc_id, 'quality', quality, 'toxic', toxic) AS VARCHAR) AS value FROM labels")
+def labels_as_json(spark, sf_dir):
+    return messages.as_json(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic"))
+
+
+@query("SELECT * FROM (VALUES ('success', 'pong', 0), ('success', 'exiting', 0), ('fail', 'broken', 0), ('success', '', 2)) t(status, message, n)")
+def jsend_messages(spark, sf_dir):
+    rows = [messages.pong(), messages.exiting(), messages.fail("broken"), _MESSAGES[0]]
+    found = messages.parsed(fixture(spark, [(m,) for m in rows], "value string"))
+    return found.select("status", F.col("data.message").alias("message"), F.coalesce(F.size("data.documents"), F.lit(0)).alias("n"))
+
+
+@query(f"SELECT conv_id, turn, regexp_extract_all(text, '{WORD}') AS words FROM conversations WHERE text IS NOT NULL")
+def words_of_phrases(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text IS NOT NULL")
+    return rows.select("conv_id", "turn", quoted_words_column(F.split("text", " ")).alias("words"))
+
+
+@query("SELECT page_id, coalesce(nullif(concat_ws(' ', CASE WHEN q LIKE 'page=%' THEN split_part(split_part(q, '=', 2), '&', 1) END), ''), '') AS page FROM (SELECT page_id, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM pages)")
+def url_joined_keys(spark, sf_dir):
+    own = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return own.select("page_id", F.coalesce(urls.joined_keys(urls.query_of(F.col("url")), "page"), F.lit("")).alias("page"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS shown, epoch_us(ts) = epoch_us(CAST(strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS TIMESTAMP)) AS same FROM events")
+def event_times(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = F.col("ts").cast("timestamp_ltz")
+    shown = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return rows.select("event_id", shown.alias("shown"), (display.read_time(display.time_text(at)) == at).alias("same"))
+
+
+@query("SELECT port, CAST(port AS VARCHAR) AS shown FROM (VALUES (42), (39000), (39499)) t(port)")
+def port_texts(spark, sf_dir):
+    return fixture(spark, [(42,), (39000,), (39499,)], "port int").select("port", display.port_text(F.col("port")).alias("shown"))
+
+
+@query(f"SELECT 'this with' AS query, row_number() OVER (ORDER BY score DESC, path) - 1 AS place, path, score FROM ({search_sql('this with')})")
+def search_response(spark, sf_dir):
+    found = response(search(documents(spark, sf_dir), "this with"), "this with")
+    return found.select("query", F.posexplode("results").alias("place", "r")).select("query", F.col("place").cast("long").alias("place"), F.col("r.Path").alias("path"), F.col("r.Score").alias("score"))
+
+
+@query("SELECT doc_id FROM labels WHERE toxic = 1 AND quality = 0")
+def bound_statement(spark, sf_dir):
+    spark.read.parquet(f"{sf_dir}/labels.parquet").createOrReplaceTempView("labels_bound")
+    return run_statement(spark, Select().queries("doc_id").from_("labels_bound").where("toxic = :toxic AND quality = :quality"), toxic=1, quality=0)

@@ -1,8 +1,9 @@
-"""Text files as documents (path, source, raw_text)."""
+"""Text files as documents (path, source, raw_text, modified)."""
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -17,6 +18,11 @@ ALWAYS_FORBIDDEN = (".", "..")
 FORBIDDEN = (".git", ".svn", ".hg", ".idea", ".vscode")
 
 
+
+#: Local paths are shown without their scheme.
+_LOCAL = "^file:(//)?"
+
+
 @dataclass(frozen=True)
 class Walk:
     """Which files of a folder are read; no extensions means all."""
@@ -54,8 +60,9 @@ def source_type(path: str) -> int:
 
 
 def _documents(files: DataFrame) -> DataFrame:
-    path = F.regexp_replace(F.col("path"), "^file:(//)?", "")
-    return files.select(path.alias("path"), F.lit(LOCAL).alias("source"), F.try_validate_utf8(F.col("content").cast("string")).alias("t"), "content").select("path", "source", F.coalesce("t", F.make_valid_utf8(F.col("content").cast("string"))).alias("raw_text"))
+    path = F.regexp_replace(F.col("path"), _LOCAL, "")
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.make_valid_utf8(F.col("content").cast("string")))
+    return files.select(path.alias("path"), F.lit(LOCAL).alias("source"), text.alias("raw_text"), F.col("modificationTime").alias("modified"))
 
 
 def read_text(spark: SparkSession, settings: Settings) -> DataFrame:
@@ -68,7 +75,7 @@ def read_text(spark: SparkSession, settings: Settings) -> DataFrame:
         raise NotImplementedError("only files and folders can be read")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(settings.recursive and settings.walk.recursive).lower()).load(settings.path)
     docs = _documents(found)
-    return docs.where(settings.walk.keeps(F.col("path"), settings.path.rstrip("/") + "/"))
+    return docs.where(settings.walk.keeps(F.col("path"), re.sub(_LOCAL, "", settings.path).rstrip("/") + "/"))
 
 
 def read_pages_by_ocr(spark: SparkSession, settings: Settings, recognize: Callable[[bytes], list[str]] | None = None) -> DataFrame:
@@ -90,16 +97,28 @@ def read_pages_by_ocr(spark: SparkSession, settings: Settings, recognize: Callab
 
 @dataclass(frozen=True)
 class Reader:
-    """A named source of documents, the counterpart of an indexer process."""
+    """A named source of documents, the counterpart of an indexer process. ``start`` makes ready what a first attempt to read
+    found missing."""
 
     name: str
     read: Callable[[SparkSession, Settings], DataFrame]
+    start: Callable[[], None] | None = None
 
 
 TEXT_READER = Reader("Local text", read_text)
 
 
 def download(docs: DataFrame, path: str) -> DataFrame:
-    """The bytes of a stored document (path, content); only paths that are in ``docs`` can be asked for."""
+    """(path, type, content) of a stored document; only paths that are in ``docs`` can be asked for. ``content`` is the stored
+    text; ``file_bytes`` has the file itself."""
     clean = os.path.normpath(path)
-    return docs.where(F.col("path") == clean).limit(1).select("path", F.col("raw_text").cast("binary").alias("content"))
+    kind = F.col("type") if "type" in docs.columns else F.lit(None).cast("string")
+    return docs.where(F.col("path") == clean).limit(1).select("path", kind.alias("type"), F.col("raw_text").cast("binary").alias("content"))
+
+
+def file_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """What a file holds, in any file system that Spark reads; None if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])

@@ -31,11 +31,14 @@ def parsed(messages: DataFrame, column: str = "value") -> DataFrame:
     return messages.select(F.from_json(F.col(column), SCHEMA).alias("m")).select("m.*")
 
 
-def documents(messages: DataFrame, column: str = "value") -> DataFrame:
-    """(path, source, words, collection_id, raw_text) of all documents in successful messages. A message that cannot be
-    read, failed or holds none adds nothing."""
-    good = parsed(messages, column).where(F.col("status") == SUCCESS).select(F.explode("data.documents").alias("d"))
-    return good.select(F.col("d.Path").alias("path"), F.col("d.Source").alias("source"), F.col("d.Words").alias("words"), F.col("d.Collection").alias("collection_id"), F.col("d.RawText").alias("raw_text"))
+def documents(messages: DataFrame, column: str = "value", number: Column | None = None) -> DataFrame:
+    """(path, source, words, collection_id, raw_text, arrival) of all documents in successful messages. A message that cannot
+    be read, failed or holds none adds nothing. ``arrival`` is the order in which they came: by ``number``, an expression
+    over the messages that grows with them, then by place in the message."""
+    read = messages.select((F.lit(0) if number is None else number).alias("n"), F.from_json(F.col(column), SCHEMA).alias("m")).where(F.col("m.status") == SUCCESS)
+    good = read.select("n", F.posexplode("m.data.documents").alias("at", "d"))
+    field = lambda name, alias: F.col(f"d.{name}").alias(alias)
+    return good.select(field("Path", "path"), field("Source", "source"), field("Words", "words"), field("Collection", "collection_id"), field("RawText", "raw_text"), F.struct("n", "at").alias("arrival"))
 
 
 def word_rows(docs: DataFrame) -> DataFrame:

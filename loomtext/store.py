@@ -9,27 +9,41 @@ from pyspark.sql import functions as F
 
 from .functions.normalize import LOWER
 from .operators import postings as P
-from .operators.catalogue import DOCUMENT, upsert
+from .operators.catalogue import DOCUMENT, newest
 
 
-class VersionedTable:
-    """A Parquet table under ``root``, in any file system that Spark reads. The newest complete version counts, so
-    readers keep theirs and a failed write leaves nothing."""
+class Folder:
+    """A folder of data sets in any file system that Spark reads; a data set counts once Spark has finished it."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: str, keep: int = 2):
-        self.spark, self.root, self.schema, self.keep = spark, root.rstrip("/"), schema, keep
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def versions(self) -> list[int]:
+    def complete(self, pattern: str) -> list[re.Match]:
+        """Names of finished data sets that match."""
         if not self._fs.exists(self._path("")):
             return []
-        names = (s.getPath().getName() for s in self._fs.listStatus(self._path("")))
-        found = sorted(int(m[1]) for n in names if (m := re.fullmatch(r"v(\d{8})", n)))
-        return [v for v in found if self._fs.exists(self._path(f"v{v:08d}/_SUCCESS"))]
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("")))
+        return [m for n in names if (m := re.fullmatch(pattern, n)) and self._fs.exists(self._path(f"{n}/_SUCCESS"))]
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
+
+class VersionedTable(Folder):
+    """A Parquet table under ``root`` that is written as a whole. The newest complete version counts, so
+    readers keep theirs and a failed write leaves nothing."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, keep: int = 2):
+        super().__init__(spark, root)
+        self.schema, self.keep = schema, keep
+
+    def versions(self) -> list[int]:
+        return [int(m[1]) for m in self.complete(r"v(\d{8})")]
 
     def read(self) -> DataFrame:
         found = self.versions()
@@ -40,32 +54,125 @@ class VersionedTable:
         found = self.versions()
         df.write.mode("overwrite").parquet(f"{self.root}/v{(found[-1] if found else 0) + 1:08d}")
         for v in found[: -self.keep + 1] if self.keep > 1 else found:
-            self._fs.delete(self._path(f"v{v:08d}"), True)
-
-
-class DocumentStore(VersionedTable):
-    """The table of documents, with upsert by path."""
+            self.delete(f"v{v:08d}")
+
+
+class DocumentStore(Folder):
+    """The table of documents, with upsert by path.
+
+    An upsert writes its own documents only, as a change. A reader takes the base without the paths that changes have,
+    and of every path the newest change. When ``most_changes`` have gathered, they are made one; the base is
+    written anew only once the changes have a quarter of its rows, so that what is written stays in
+    proportion to what arrives. The last ``keep`` versions can be read. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2, most_changes: int = 8):
+        super().__init__(spark, root)
+        self.keep, self.most_changes = keep, most_changes
+
+    def _sets(self) -> tuple[list[int], list[tuple[int, int]]]:
+        """Versions of bases, and (first, last) versions of changes."""
+        return [int(m[1]) for m in self.complete(r"v(\d{8})")], [(int(m[1]), int(m[2])) for m in self.complete(r"c(\d{8})-(\d{8})")]
+
+    def _needed(self, version: int) -> tuple[int, list[tuple[int, int]]]:
+        """The base (0: none) and the changes that make a version, oldest first."""
+        bases, changes = self._sets()
+        base = max((b for b in bases if b <= version), default=0)
+        own, at = [], base
+        while at < version:
+            last = max((b for a, b in changes if a == at + 1 and b <= version), default=None)
+            if last is None:
+                raise FileNotFoundError(f"{self.root} has no version {version} any more")
+            own.append((at + 1, last))
+            at = last
+        return base, own
+
+    def version(self) -> int:
+        """The newest version; 0 if nothing was stored."""
+        bases, changes = self._sets()
+        return max([0, *bases, *(b for _, b in changes)])
 
-    def __init__(self, spark: SparkSession, root: str, keep: int = 2):
-        super().__init__(spark, root, DOCUMENT, keep)
-
-    def documents(self) -> DataFrame:
-        """(path, source, raw_text, ...) as search reads them."""
-        return self.read().withColumn("source", F.when(F.col("type") == "web", 1).otherwise(0))
+    def versions(self) -> list[int]:
+        newest = self.version()
+        return list(range(max(1, newest - self.keep + 1), newest + 1))
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(DOCUMENT).parquet(f"{self.root}/{name}")
+
+    def _changes(self, own: list[tuple[int, int]]) -> DataFrame:
+        """The newest change of every path."""
+        frames = [self._read(f"c{a:08d}-{b:08d}").withColumn("_at", F.lit(b)) for a, b in own]
+        if len(frames) == 1:
+            return frames[0].drop("_at")
+        all_of = frames[0]
+        for f in frames[1:]:
+            all_of = all_of.unionByName(f)
+        return newest(all_of, "path", F.col("_at"), frames[0].drop("_at").columns)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        base, own = self._needed(self.version() if version is None else version)
+        if not base and not own:
+            return self.spark.createDataFrame([], DOCUMENT)
+        if not own:
+            return self._read(f"v{base:08d}")
+        new = self._changes(own)
+        return self._read(f"v{base:08d}").join(new.select("path"), "path", "left_anti").unionByName(new) if base else new
+
+    def documents(self, version: int | None = None) -> DataFrame:
+        """(path, source, raw_text, words, ...) as search reads them."""
+        return self.read(version).withColumn("source", F.when(F.col("type") == "web", 1).otherwise(0))
 
     def upsert(self, docs: DataFrame, order: Column | None = None) -> None:
-        """Puts documents (path, source, collection_id, raw_text); later rows win by ``order``, else the larger text."""
-        ready = docs.select("path", F.when(F.col("source") == 1, "web").otherwise("file").alias("type"), F.col("collection_id") if "collection_id" in docs.columns else F.lit(None).cast("string").alias("collection_id"), "raw_text", F.current_timestamp().alias("last_indexed"))
-        self.write(upsert(self.read(), ready, "path", order if order is not None else F.col("raw_text")))
+        """Puts documents (path, source, raw_text, perhaps collection_id and words); of several rows of one path the last by
+        ``order`` (else by the column ``arrival``, if there is one, else the larger text) wins."""
+        has = lambda c, kind: F.col(c) if c in docs.columns else F.lit(None).cast(kind)
+        order = order if order is not None else F.col("arrival") if "arrival" in docs.columns else F.col("raw_text")
+        kind = F.when(F.col("source") == 1, "web").otherwise("file").alias("type")
+        ready = docs.select("path", kind, has("collection_id", "string").alias("collection_id"), "raw_text", has("words", "map<string,bigint>").alias("words"), F.current_timestamp().alias("last_indexed"), F.struct(order).alias("_order"))
+        ready = newest(ready, "path", F.col("_order"), ready.columns[:-1])
+        n = self.version() + 1
+        ready.write.mode("overwrite").parquet(f"{self.root}/c{n:08d}-{n:08d}")
+        if len(self._needed(n)[1]) >= self.most_changes:
+            self.compact()
+        self._clean()
+
+    def compact(self) -> None:
+        """Makes the changes one, or a new base if they have a quarter of its rows."""
+        n = self.version()
+        base, own = self._needed(n)
+        if not own:
+            return
+        rows = sum(self._read(f"c{a:08d}-{b:08d}").count() for a, b in own)
+        if not base or 4 * rows >= self._read(f"v{base:08d}").count():
+            self.read(n).write.mode("overwrite").parquet(f"{self.root}/v{n:08d}")
+        elif len(own) > 1:
+            self._changes(own).write.mode("overwrite").parquet(f"{self.root}/c{own[0][0]:08d}-{n:08d}")
+
+    def _clean(self) -> None:
+        """Deletes what no kept version needs."""
+        used = [self._needed(v) for v in self.versions()]
+        bases, changes = self._sets()
+        for b in set(bases) - {b for b, _ in used}:
+            self.delete(f"v{b:08d}")
+        for a, b in set(changes) - {c for _, own in used for c in own}:
+            self.delete(f"c{a:08d}-{b:08d}")
 
 
 def write_index(docs: DataFrame, root: str, normalizer: int = LOWER, files: int | None = None) -> None:
-    """Postings sorted by term in ranges of terms, so that a search reads the few row groups with its terms, and document lengths."""
-    posted = P.postings(docs, normalizer)
-    n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Postings (path, source, n_terms, term, freq) sorted by term in ranges of terms, so that a search reads the few row
+    groups with its terms and nothing else; document lengths; and, last, the number of documents."""
+    spark = docs.sparkSession
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    posted = P.full_postings(docs, normalizer)
     posted.repartitionByRange(n, "term", "path").sortWithinPartitions("term", "path").write.mode("overwrite").parquet(f"{root}/postings")
     P.document_lengths(docs).write.mode("overwrite").parquet(f"{root}/lengths")
+    docs.agg(F.count("*").alias("n_docs")).select("n_docs", F.lit(normalizer).alias("normalizer")).write.mode("overwrite").parquet(f"{root}/facts")
 
 
 def read_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/lengths")
+
+
+def index_documents(spark: SparkSession, root: str) -> int:
+    """The number of documents that an index is of."""
+    return spark.read.parquet(f"{root}/facts").first()["n_docs"]

@@ -12,13 +12,14 @@ from ..store import DocumentStore
 
 def ingest(spark: SparkSession, folder: str, store: DocumentStore, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
     """Starts a query that upserts the documents of every new file in ``folder`` (a message a line) and ends when
-    none is left. A batch that is run again after a failure leaves the same table, for it puts the same rows."""
+    none is left. Of one path the last wins: by batch, then by time of the file, its name and the place in it. A batch
+    that is run again after a failure leaves the same table, for it puts the same rows."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
+    placed = lines.select("value", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias("file"))
 
     def put(batch: DataFrame, number: int) -> None:
-        numbered = batch.select("value", F.monotonically_increasing_id().alias("at"))
-        found = numbered.select("at", F.from_json("value", "status string").alias("m"), "value").where("m.status = 'success'")
+        found = documents(batch, number=F.struct("file", F.monotonically_increasing_id().alias("line")))
         if not found.isEmpty():
-            store.upsert(documents(found))
+            store.upsert(found)
 
-    return lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return placed.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

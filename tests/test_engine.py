@@ -147,3 +147,161 @@ def test_command_line(spark, folder, tmp_path):
     assert "\033[92m1.50" in lines({"Query": "q", "Results": [{"Path": "p", "Score": 1.5, "Source": 7}]}, colours=True)[1]
     with pytest.raises(ValueError):
         run(e, "dance")
+
+
+FIXTURES = [
+    {"Path": "/some/path", "Source": 0, "Words": {"key1": 1, "key2": 2}, "Collection": "1", "RawText": "some text"},
+    {"Path": "/some/other/path", "Source": 0, "Words": {"key2": 3, "key3": 4}, "Collection": "1", "RawText": "some other text"},
+]
+
+
+@pytest.mark.parametrize("built", [False, True])
+def test_documents_bring_their_words(spark, tmp_path, built):
+    e = Engine(spark, str(tmp_path / "e"))
+
+    def answer(query):
+        if built:
+            e.build_index()
+        assert e.indexed is built
+        return [(r["Path"], round(r["Score"], 6)) for r in e.handle_search(f"q={query}")["Results"]]
+
+    e.push_documents([messages.success("", FIXTURES[:1])])
+    assert answer("key1") == [("/some/path", -0.333333)] and answer("badkey") == [] and answer("text") == []
+    e.push_documents([messages.success("", FIXTURES[1:])])
+    assert answer("key1") == [("/some/path", 0.0)] and [p for p, _ in answer("key3")] == ["/some/other/path"]
+    assert answer("key2") == [("/some/other/path", -0.250698), ("/some/path", -0.389975)]
+    assert [p for p, _ in answer('key2 "other text"')] == ["/some/other/path"]  # phrases are of the text
+
+
+def test_the_last_push_wins(spark, tmp_path):
+    doc = lambda t: {"Path": "p", "Source": 0, "Words": None, "Collection": "c", "RawText": t}
+    e = Engine(spark, str(tmp_path / "e"))
+    e.push_documents([messages.success("", [doc("zebra old"), doc("apple new")])])
+    assert e.documents().first()["raw_text"] == "apple new"
+    e.push_documents([messages.success("", [doc("z")]), messages.success("", [doc("y"), doc("x")])])
+    assert e.documents().first()["raw_text"] == "x" and e.documents().count() == 1
+
+
+def test_the_last_message_of_a_stream_wins(spark, tmp_path):
+    import os
+
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    line = lambda t: messages.success("", [{"Path": "p", "Source": 0, "Words": {}, "Collection": "c", "RawText": t}]) + "\n"
+    for k, (name, texts) in enumerate([("b.json", ["zz", "yy"]), ("a.json", ["xx", "ww"])]):
+        (inbox / name).write_text("".join(map(line, texts)))
+        os.utime(inbox / name, (1_700_000_000 + k, 1_700_000_000 + k))
+    store = DocumentStore(spark, str(tmp_path / "docs"))
+    ingest(spark, str(inbox), store, str(tmp_path / "ck")).awaitTermination()
+    assert [r["raw_text"] for r in store.read().collect()] == ["ww"]
+
+
+def test_changes_and_bases(spark, tmp_path):
+    s = DocumentStore(spark, str(tmp_path / "s"), most_changes=3)
+    put = lambda rows: s.upsert(spark.createDataFrame(rows, "path string, source int, raw_text string"))
+    expected = {}
+    for k in range(9):
+        rows = [(f"p{i}", 0, f"{k}") for i in ((k,) if k else range(20))]
+        put(rows)
+        before = dict(expected)
+        expected |= {p: t for p, _, t in rows}
+        assert {r["path"]: r["raw_text"] for r in s.read().collect()} == expected
+        if k:
+            assert {r["path"]: r["raw_text"] for r in s.read(k).collect()} == before
+        assert len(s._needed(s.version())[1]) < 3
+    assert len(s._sets()[0]) == 1  # changes of single rows never made a new base
+    with pytest.raises(FileNotFoundError):
+        s.read(4)
+
+
+def test_an_index_and_its_engine_restart(spark, folder, tmp_path):
+    from loomtext.sources.files import Reader
+
+    own = Reader("own", lambda spark, settings: read_text(spark, settings))
+    e = Engine(spark, str(tmp_path / "e"))
+    c = e.register_collection(folder, e.register_indexer(own))
+    e.index(c)
+    e.build_index()
+    again = Engine(spark, str(tmp_path / "e"))
+    assert again.indexed and found_in(again, "beta") == found_in(e, "beta") != []
+    with pytest.raises(LookupError):
+        again.index(c)  # not read by some other reader instead
+    with pytest.raises(ValueError):
+        Engine(spark, str(tmp_path / "e"), readers=[own]).register_indexer(Reader("own", read_text))
+    again = Engine(spark, str(tmp_path / "e"), readers=[own])
+    again.index(c, modify=lambda df: df.withColumn("raw_text", F.concat("raw_text", F.lit(" omicron"))))
+    assert not e.indexed  # documents are newer
+    assert len(found_in(e, "omicron")) == 4
+    assert e.search("alpha beta", k=None).count() == 4
+    plan = Engine(spark, str(tmp_path / "e"))
+    plan.build_index()
+    text = plan.search("beta gamma")._jdf.queryExecution().executedPlan().toString()
+    assert "raw_text" not in text and "lengths" not in text and "In(term, [beta,gamma])" in text
+
+
+def found_in(engine, query):
+    return [(r["path"], r["score"]) for r in engine.search(query).collect()]
+
+
+def test_dispatch(spark, folder, tmp_path):
+    from loomtext.sources.files import Reader
+
+    state = {"up": False, "starts": 0}
+
+    def read(spark, settings):
+        if not state["up"]:
+            raise ConnectionError("down")
+        return read_text(spark, settings)
+
+    def start():
+        state["starts"] += 1
+        if state["starts"] == 1:
+            raise OSError("cannot start")
+        state["up"] = state["starts"] > 2
+
+    e = Engine(spark, str(tmp_path / "e"))
+    c = e.register_collection(folder, e.register_indexer(Reader("shaky", read, start)))
+    first, second, third, fourth = (e.dispatch(c) for _ in range(4))
+    assert isinstance(first.startup_attempt, OSError) and str(first.dispatch_attempt) == "failed startup prevents dispatch attempt"
+    assert second.startup_attempt is None and isinstance(second.dispatch_attempt, ConnectionError) and not second.indexer_was_running
+    assert not third.failed and not third.indexer_was_running
+    assert not fourth.failed and fourth.indexer_was_running and e.documents().count() == 4
+    with pytest.raises(ValueError):
+        e.dispatch("none")
+
+
+def test_files_are_downloaded_as_they_are(spark, folder, tmp_path):
+    import os
+
+    e = Engine(spark, str(tmp_path / "e"))
+    c = e.register_collection(folder, e.register_indexer(), respect_last_modified=True)
+    e.index(c)
+    assert e.download(f"{folder}/bad.txt") == b"alpha \xff\xfe omega"
+    # only what changed since is read again
+    before = {r["path"]: r["last_indexed"] for r in e.store.read().collect()}
+    for name in os.listdir(folder):
+        os.utime(f"{folder}/{name}", (1_600_000_000, 1_600_000_000))
+    os.utime(f"{folder}/sub/b.md", (1_600_000_000, 1_600_000_000))
+    with open(f"{folder}/a.txt", "w") as f:
+        f.write("alpha anew")
+    e.index(c)
+    after = {r["path"]: r["last_indexed"] for r in e.store.read().collect()}
+    assert {p for p in after if after[p] != before[p]} == {f"{folder}/a.txt"}
+    os.remove(f"{folder}/a.txt")
+    assert e.download(f"{folder}/a.txt") == b"alpha anew"
+
+
+def test_bound_statements_and_folds(spark):
+    from loomtext.plans.statements import Select, fold, run
+
+    spark.range(5).createOrReplaceTempView("five")
+    rows = run(spark, Select().queries("id").from_("five").where("id >= :least"), least=3)
+    assert fold(rows, 0, lambda n, r: n + r["id"]) == 7
+
+
+def test_log(spark, tmp_path, caplog):
+    import logging
+
+    with caplog.at_level(logging.INFO, "loomtext"):
+        Engine(spark, str(tmp_path)).log("from outside")
+    assert "from outside" in caplog.text
