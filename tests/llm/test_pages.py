@@ -72,7 +72,7 @@ def test_cases(page, text):
 @settings(max_examples=300, deadline=None)
 def test_any_page_is_read(page):
     root = html.parse(page)
-    html.candidates(root, "h")
+    html.Page(page, "http://h/").keys()
     text = html.text_of(page)
     assert text == "\n\n".join(b for b in text.split("\n\n") if b.strip())
 
@@ -110,6 +110,97 @@ def test_articles_of_a_large_host(spark):
             assert got[n] == ([] if n >= 40 else [f"head {n}"]) + text
 
 
+def test_short_articles_stay_and_teasers_go():
+    text = html.text_of
+    assert text("<article><p>" + "long " * 200 + "</p></article><article><p>short</p></article>").endswith("\n\nshort")
+    teaser = "<article><h2><a href=x>Other story</a></h2><a href=x>read on</a></article>"
+    assert text(f"<article><h1>T</h1><p>x</p></article>{teaser}") == "T\n\nx"
+    assert text(teaser) == "Other story\n\nread on"  # the only one
+
+
+def test_names_inside_an_article():
+    text = html.text_of
+    assert text("<article><div class='related-work'>a</div><div id=search-algorithms>b</div></article>") == "a\n\nb"
+    assert text("<article>x<div class='related-posts'>a</div><div id=search-box>b</div><ul class='share-buttons'>c</ul></article>") == "x"
+    assert text("<p>x</p><div class='my-search-thing'>b</div>") == "x"  # no article is marked
+
+
+def test_attributes_without_quotation_marks():
+    assert html.text_of("<p title=it's>hello</p><p title=\"a>b\" x='>'>you</p>") == "hello\n\nyou"
+
+
+def test_a_deep_page_keeps_its_shape():
+    deep = "<div>" * 3000 + "<p>in</p>" + "</div>" * 3000 + "<p>out" + "</x>" * 3000
+    assert html.text_of(deep) == "in\n\nout"
+    import time
+
+    began = time.perf_counter()
+    assert html.text_of("<div class=menu-x><span>" * 30_000 + "a").startswith("a")
+    assert time.perf_counter() - began < 20
+
+
+def plain_counts(rows):
+    """Pages of different content by subtree and host, counted without Spark, keys or hashes."""
+    contents, by = {}, {}
+    for _, url, page in rows:
+        root = html.Page(page, url)
+        own = root.text()
+        contents.setdefault(html.host_of(url), set()).add(own)
+
+        def shape(e):
+            kids = tuple(" ".join(p.split()) if isinstance(p, str) else shape(p) for p in e.parts if not isinstance(p, str) or p.strip())
+            return (e.tag, tuple(k for k in kids if k is not None)) if any(k is not None for k in kids) and e.tag not in html.RAW else None
+
+        for e in root.order:
+            if e.candidate:
+                by.setdefault((html.host_of(url), shape(e)), {}).setdefault(own, e.key)
+    return contents, by
+
+
+def test_counts_per_host_decide(spark):
+    """Every deletion outside an article, against counts made plainly."""
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for k in range(120):
+        host = r.choice("aab")
+        nav = f"<div><ul><li>{r.randrange(9)} of {host}</li><li>menu</li></ul></div>"
+        foot = f"<div>{r.choice(['one foot', f'foot {k}'])}</div>"
+        rows.append((k, f"http://{host}.example/{k}", f"<body>{nav}<article><p>text {k % 110}</p><div>boxed {r.randrange(2)}</div></article>{foot}</body>"))
+    contents, by = plain_counts(rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (500_000, 0):
+        for got in html.extract(df, broadcast_limit=limit, report=True).collect():
+            page = html.Page(rows[got["page_id"]][2], got["url"])
+            host = html.host_of(got["url"])
+            often = {key: len(found) for (h, _), found in by.items() if h == host for key in set(found.values())}
+            gone, stack = 0, [page.root]
+            while stack:
+                e = stack.pop()
+                n = often.get(e.key, 0) if e.candidate else 0
+                if n >= 3 and not e.inside or n >= 8 and 3 * n >= len(contents[host]) and e.tag in html.CONTAINERS:
+                    gone += e.size
+                else:
+                    stack += [p for p in e.parts if not isinstance(p, str)]
+            assert got["template_chars"] == gone
+            boxed = rows[got["page_id"]][2].split("boxed ")[1][0]
+            box = next(e for e in page.order if e.tag == "div" and e.inside)
+            assert (f"boxed {boxed}" in got["text"]) == (3 * often[box.key] < len(contents[host]))
+
+
+def test_both_paths_agree_inside_an_article(spark):
+    """A block that is template outside eight articles stays in the ninth."""
+    same = "<p>about this site</p>"
+    rows = [(k, f"http://h.example/{k}", f"<body>{same}<article><p>text {k}</p></article></body>") for k in range(8)]
+    rows.append((8, "http://h.example/8", f"<body><article>{same}<p>text 8</p></article></body>"))
+    rows.append((9, "http://h.example/9", f"<body>{same}<article>{same}<p>text 9</p></article></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (500_000, 0):
+        got = {r["page_id"]: r["text"] for r in html.extract(df, broadcast_limit=limit).collect()}
+        assert got[0] == "text 0" and got[8] == "about this site\n\ntext 8" and got[9] == "about this site\n\ntext 9"
+
+
 def test_pages_nasty(pages, spark):
     got = html.extract(pages)
     assert got.columns == ["page_id", "url", "text", "n_chars"]
