@@ -1,12 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer reads words as symbols (insult, threat, target, negation, reported speech, quotation
-mark, clause end, other). Three context transducers follow: one marks what stands within a few words after
-a negation, one what stands in reported or quoted speech, one what stands after a target in its clause. Their composition reads
-a text once; every insult or threat is held to the end of its clause, as its target may come last, and is emitted with its context. The insults are learned from labelled
-rows, whole words and word beginnings; how far a context lowers the weight of a match starts from a
-prior and is corrected by what the labels say. What the
-matches of a text amount to, taken together, is put on the scale of the labels by logistic regression.
+A lexical transducer reads words as weighted symbols (insult, threat, target, negation, reported speech, quotation
+mark, clause end, other). Five more transducers are composed with it. Three mark what is read: what stands within a few
+words after a negation; what stands in reported or quoted speech; what stands after a target. Two accept: whether the
+clause has had an insult, and whether it has had a threat. The composition reads a text once. Where a clause
+ends, its last state says whether it is a match (an insult, or a threat with a target on either side) and what holds for
+all of it (a target, a verb of reporting, on either side), and the clause is scored: the weights along its path,
+each lowered by its context, are combined to the chance that the clause is meant.
+
+The insults are learned from labelled rows, whole words and word beginnings; how far a context lowers a weight
+starts from a prior and is corrected by what the labels say. What the clauses of a text amount to, taken together, is put
+on the scale of the labels by logistic regression.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain, product
 from math import exp, log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +42,12 @@ THREATS = "kill hurt destroy murder stab shoot töten umbringen erschießen tuer
 _WORD = re.compile(r"\w+")
 _TOKEN = re.compile(r"\w+|[.!?;\n]|[\"“”«»„]")
 #: Share of matches in a context that are meant, before any labels are seen.
-PRIOR = {"negated": 0.3, "reported": 0.4, "plain": 0.9}
+PRIOR = {"plain": 0.9, "aimed": 0.97, "negated": 0.3, "reported": 0.4}
 PRIOR_ROWS = 10
+#: Bits of a context.
+NEGATED, REPORTED, AIMED, THREATENED = 1, 2, 4, 8
+#: The weight of a threat, and how many insults it is as grave as.
+THREAT_WEIGHT, THREAT_GRAVITY = 0.9975, 2.0
 
 
 class Transducer:
@@ -89,18 +98,29 @@ def targeted() -> Transducer:
     return Transducer(2, step)
 
 
-GRAMMAR = negation() @ reported() @ targeted()
+def seen(symbol: int) -> Transducer:
+    """Accepts clauses that have the symbol: state 1 once it was read."""
+    return Transducer(2, lambda s, x: (0 if x == END else int(s == 1 or x == symbol), 0))
+
+
+GRAMMAR = negation() @ reported() @ targeted() @ seen(INSULT) @ seen(THREAT)
 
 
 def prior(mark: int) -> float:
-    return PRIOR["plain"] * (PRIOR["negated"] if mark & 1 else 1) * (PRIOR["reported"] if mark & 2 else 1)
+    return PRIOR["aimed" if mark & AIMED else "plain"] * (PRIOR["negated"] if mark & NEGATED else 1) * (PRIOR["reported"] if mark & REPORTED else 1)
+
+
+class Clause(NamedTuple):
+    """A clause that the grammar accepts: (symbol, context, weight) of its insults and threats."""
+
+    parts: tuple[tuple[int, int, float], ...]
 
 
 @dataclass
 class Model:
     words: dict[str, float]
     beginnings: dict[str, float]
-    contexts: dict[int, float] = field(default_factory=lambda: {m: prior(m) for m in range(8)})
+    contexts: dict[int, float] = field(default_factory=lambda: {m: prior(m) for m in range(16)})
     scale: tuple[float, float] = (2.0, -2.0)
 
     def __post_init__(self):
@@ -114,7 +134,7 @@ class Model:
                 if len(token) >= n and (p := self.beginnings.get(token[:n])) is not None:
                     return INSULT, p
             if token in closed:
-                return closed[token], 0.6
+                return closed[token], THREAT_WEIGHT
             return _QUOTE if token in '"“”«»„' else _END if token in ".!?;\n" else _OTHER
 
         self.symbol = Remembered(symbol)
@@ -122,48 +142,63 @@ class Model:
     def __reduce__(self):
         return Model, (self.words, self.beginnings, self.contexts, self.scale)
 
-    def _read(self, text: str) -> list[tuple[int, int, int, float]]:
-        """(symbol, mark, mark of the clause, weight) of every insult and threat, in text order. A match waits for the
-        end of its clause, for the target may come last: the third value has the target bit wherever that stands."""
-        low = text.lower()
+    def clauses(self, text: str | None) -> list[Clause]:
+        """The clauses of a text that the grammar accepts, in text order."""
+        low = (text or "").lower()
         read = self.symbol.__getitem__
         if not any(s in (INSULT, THREAT) for s, _ in map(read, _WORD.findall(low))):
             return []
         found, held, state, arcs = [], [], 0, GRAMMAR.arcs
         for s, p in chain(map(read, _TOKEN.findall(low)), [_END]):
             if s == END and held:
-                aimed = 4 * (state & 1)  # the state of ``targeted``, the last of the composition
-                found += [(x, m, m | aimed, w) for x, m, w in held]
+                rest, threat = divmod(state, 2)
+                rest, insult = divmod(rest, 2)
+                rest, target = divmod(rest, 2)
+                whole = AIMED * target | REPORTED * (rest % 3 == 1)
+                if threat and target:
+                    found.append(Clause(tuple((x, m | whole, w) for x, m, w in held)))
+                elif insult:  # a threat without a target is none
+                    found.append(Clause(tuple((x, m | whole, w) for x, m, w in held if x == INSULT)))
                 held = []
             state, mark = arcs[state][s]
             if s == INSULT or s == THREAT:
                 held.append((s, mark, p))
         return found
 
-    def matches(self, text: str) -> list[tuple[int, float]]:
-        """(context, weight) of every insult and of every threat with a target before it, in text order: what one
-        pass emits at once. Scores and fit take ``clause_matches``."""
-        return [(mark, p) for s, mark, _, p in self._read(text) if s == INSULT or mark & 4]
+    def matches(self, text: str | None) -> list[tuple[int, float]]:
+        """(context, weight) of all that is part of an accepted clause, in text order."""
+        return [(m, w) for c in self.clauses(text) for _, m, w in c.parts]
+
+    clause_matches = matches
+
+    def meant(self, clause: Clause) -> float:
+        """Minus the log of the chance that nothing in a clause is meant: weights and contexts multiply along its path."""
+        total = 0.0
+        for symbol, mark, weight in clause.parts:
+            threat = symbol == THREAT
+            total -= (THREAT_GRAVITY if threat else 1.0) * log(1.0 - weight * self.contexts[mark | THREATENED * threat])
+        return total
 
-    def clause_matches(self, text: str) -> list[tuple[int, float]]:
-        """(context, weight) of every insult and of every threat with a target before or after it in its clause, in
-        text order."""
-        return [(mark, p) for s, _, mark, p in self._read(text) if s == INSULT or mark & 4]
+    def clause_score(self, clause: Clause) -> float:
+        """The chance that something in a clause is meant."""
+        return 1.0 - exp(-self.meant(clause))
 
     def evidence(self, text: str | None) -> float:
-        """Minus the log of the chance that no match is meant."""
-        return sum(-log(1.0 - p * self.contexts[mark]) for mark, p in self.clause_matches(text or ""))
+        """What the clauses of a text amount to."""
+        return sum(map(self.meant, self.clauses(text)))
 
     def score(self, text: str | None) -> float:
         return 1.0 / (1.0 + exp(-max(-30.0, min(30.0, self.scale[0] * self.evidence(text) + self.scale[1]))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, most_terms: int = 2000, least_support: int = 8, least_precision: float = 0.85, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, least_support: int = 8, least_precision: float = 0.85, shortest: int = 4, longest: int = 10, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns insults and the weight of contexts from ``labels`` (id, label), of which ``sample_rows`` are
-    used, chosen by a hash of the id; only terms (at most ``most_terms`` words and as many beginnings) and
-    counts by context come to the driver.
+    used, chosen by a hash of the id; an id with several labels has the largest, null labels and ids are left out.
+    Terms are words, and word beginnings of ``shortest`` to ``longest`` letters, that ``least_support`` different words
+    precede in toxic rows; all of them are kept. Only they, counts by context and two numbers a sampled row come to the driver.
 
-    Support is counted in distinct preceding words, so that copies of one text do not count again and again.
+    Support is counted in distinct preceding words, so that copies of one text do not count again and again. Without
+    toxic rows nothing is learned, and all texts score as if empty unless they threaten.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(F.col(label_col).cast("int")).alias("y")).orderBy(F.xxhash64("k", F.lit("draw")), "k").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(chosen), "k").select("y", "t")  # bounded by sample_rows
@@ -174,32 +209,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, most_terms:
     good = (F.col("pos") >= least_support) & (F.col("pos") >= least_precision * (F.col("pos") + F.col("neg")))
     counted = counted.cache()
     try:
-        top = lambda df, name: {r[name]: (r["pos"], r["neg"]) for r in df.where(good).orderBy(F.desc("pos"), name).limit(most_terms).collect()}
-        found = top(counted, "w")
-        starts = counted.where("pos > 0 or neg > 0").select(F.explode(F.transform(F.sequence(F.lit(4), F.least(F.lit(10), F.greatest(F.lit(4), F.length("w")))), lambda n: F.substring("w", F.lit(1), n))).alias("s"), "pos", "neg").where(F.length("s") >= 4)
-        begun = top(starts.groupBy("s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "s")
+        terms = lambda df, name: {r[name]: (r["pos"], r["neg"]) for r in df.where(good).collect()}  # noqa: E731  bounded by the sample
+        found = terms(counted, "w")
+        lengths = F.sequence(F.lit(shortest), F.least(F.lit(longest), F.greatest(F.lit(shortest), F.length("w"))))
+        starts = counted.where("pos > 0 or neg > 0").select(F.explode(F.transform(lengths, lambda n: F.substring("w", F.lit(1), n))).alias("s"), "pos", "neg").where(F.length("s") >= shortest)
+        begun = terms(starts.groupBy("s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "s")
     finally:
         counted.unpersist()
     # of a chain of beginnings with nearly the same support the longest says most
-    for s in sorted(begun, key=len):
-        longer = [x for x in begun if len(x) == len(s) + 1 and x.startswith(s)]
-        if any(begun[x][0] >= 0.95 * begun[s][0] for x in longer) or s in found and found[s][0] >= 0.95 * begun[s][0]:
-            del begun[s]
+    most: dict[str, int] = {}  # of what goes on with one letter more
+    for x, (pos, _) in begun.items():
+        most[x[:-1]] = max(most.get(x[:-1], 0), pos)
+    begun = {s: c for s, c in begun.items() if most.get(s, 0) < 0.95 * c[0] and not (s in found and found[s][0] >= 0.95 * c[0])}
     chance = lambda c: (c[0] + 1) / (c[0] + c[1] + 1.2)
     model = Model({w: chance(c) for w, c in found.items()}, {s: chance(c) for s, c in begun.items()})
     schema = pa.schema([("mark", pa.int32()), ("y", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[tuple[int, int], int] = {}
+            times: dict[tuple[int, int], int] = {}
             for y, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for mark, _ in model.clause_matches(t.as_py()):
-                    seen[mark, y] = seen.get((mark, y), 0) + 1
-            if seen:
-                yield batch(schema, [[m for m, _ in seen], [y for _, y in seen], list(seen.values())])
+                for symbol, mark, _ in chain.from_iterable(c.parts for c in model.clauses(t.as_py())):
+                    at = mark | THREATENED * (symbol == THREAT), y
+                    times[at] = times.get(at, 0) + 1
+            if times:
+                yield batch(schema, [[m for m, _ in times], [y for _, y in times], list(times.values())])
 
     totals = {(r["mark"], r["y"]): r["n"] for r in map_batches(rows, run, "mark int, y int, n long").groupBy("mark", "y").agg(F.sum("n").alias("n")).collect()}
-    for m in range(8):
+    for m in range(16):
         pos, neg = totals.get((m, 1), 0), totals.get((m, 0), 0)
         model.contexts[m] = (pos + PRIOR_ROWS * prior(m)) / (pos + neg + PRIOR_ROWS)
     gauged = pa.schema([("e", pa.float64()), ("y", pa.int32())])
@@ -230,7 +267,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """(id, score, predicted) for every row: map-only. Null and empty texts score 0."""
+    """(id, score, predicted) for every row: map-only. Null and empty texts score what a text without matches does; a long
+    text is read whole, once, in memory bounded by its longest clause; repeated rows and ids give a row each, a null id
+    a null id; an empty table gives none. A score equal to the threshold is predicted toxic."""
     schema = pa.schema([(id_col, pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +282,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def accepted(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``df``, with all their columns, that score below the threshold."""
+    """The rows of ``df``, with all their columns, that score below the threshold; as ``score`` for nulls, empty and
+    repeated rows."""
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

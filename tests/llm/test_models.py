@@ -1,7 +1,10 @@
 import pickle
+import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from nasty_rows import NASTY
 from pyspark.sql import functions as F
 
@@ -82,7 +85,8 @@ def test_grammar():
     assert marks("not an idiot") == [1] and marks("not one two three idiot") == [0]
     assert marks('He said: "idiot"') == [6] and marks('"idiot" moron') == [2, 0]
     assert marks("She wrote idiot. moron") == [6, 0]
-    assert marks("kill") == [] and marks("I will kill you") == [] and marks("you I will kill") == [4]
+    assert marks("kill") == [] and marks("I will kill you") == [4] and marks("you I will kill") == [4]
+    assert marks("idiot, he said") == [6] and marks("idiot. he said") == [0]  # a report may come last
     assert MODEL.matches("") == []
 
 
@@ -110,6 +114,59 @@ def test_grammar_by_brute_force():
             assert mark == marks
 
 
+def plain_evidence(model, text):
+    """Clause by clause, by rules in words instead of states."""
+    from math import log
+
+    def kind(w):
+        if w in model.words:
+            return "insult", model.words[w]
+        for n in range(len(w), 0, -1):
+            if w[:n] in model.beginnings:
+                return "insult", model.beginnings[w[:n]]
+        for name, words in (("target", toxicity.TARGETS), ("negation", toxicity.NEGATIONS), ("report", toxicity.REPORTS), ("threat", toxicity.THREATS)):
+            if w in words:
+                return name, toxicity.THREAT_WEIGHT
+        return ("quote" if w in '"“”«»„' else "other"), 0.0
+
+    total, quoted = 0.0, False
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        tokens = [kind(w) for w in re.findall(r'\w+|["“”«»„]', clause)]
+        names = [k for k, _ in tokens]
+        inside, said = [], False
+        for k in names:
+            if k == "quote":
+                quoted, said = not quoted, False
+            said |= k == "report" and not quoted
+            inside.append(quoted or said)
+        for i, (k, p) in enumerate(tokens):
+            if not (k == "insult" or k == "threat" and "target" in names):
+                continue
+            left = names[max(0, i - 3) : i]
+            mark = ("negation" in left) * 1 | (inside[i] or said and not quoted) * 2 | ("target" in names) * 4 | (k == "threat") * 8
+            total -= (2.0 if k == "threat" else 1.0) * log(1 - p * model.contexts[mark])
+    return total
+
+
+@given(st.lists(st.sampled_from("you idiot moron kill not said he . , \" lostra the ; shoot never wrote x idiots".split()), max_size=25))
+@settings(max_examples=600, deadline=None)
+def test_scores_clause_by_clause(words):
+    text = " ".join(words)
+    assert MODEL.evidence(text) == pytest.approx(plain_evidence(MODEL, text))
+
+
+def test_contexts_decide():
+    """With the scale that sf0.1 gives."""
+    model = toxicity.Model(MODEL.words, MODEL.beginnings, scale=(1.3, -5.2))
+    toxic = lambda text: model.score(text) >= 0.7
+    assert toxic("I will kill you") and toxic("You idiot. You moron, you idiot")
+    assert not toxic("I will not kill you") and not toxic("He said he would kill you") and not toxic("kill it") and not toxic("you")
+    assert not toxic("You are not an idiot. You are no moron, never an idiot")
+    assert model.clause_score(model.clauses("I will kill you")[0]) > 0.99 > model.clause_score(model.clauses("I will not kill you")[0])
+    flat = toxicity.Model(MODEL.words, MODEL.beginnings, {m: toxicity.PRIOR["aimed"] for m in range(16)}, (1.3, -5.2))
+    assert flat.score("I will not kill you") >= 0.7  # the context makes the difference
+
+
 def test_scores():
     assert MODEL.score(None) == MODEL.score("") == MODEL.score("clean words") < 0.2
     assert MODEL.score("you idiot moron") > MODEL.score("not an idiot") > MODEL.score("")
