@@ -1,12 +1,16 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Vectors go to overlapping regions (their nearest centroids of a bounded sample); a region with many rows is cut
+Vectors go to overlapping regions: the nearest centroids of a bounded sample and, where more regions are needed than that
+gives, in each the nearest of a second set of centroids, of what is left when the first is taken away. So regions
+grow in number with the rows, and what every task is sent stays small. A region with many rows is cut
 into blocks, and every pair of its blocks is one task. In a task the vectors are clustered again with overlap, a
 graph is built on each cluster by robust pruning (Subramanya et al. 2019), and the adjacency lists are
 united into one flat graph. Every query walks it greedily from the clusters' medoids and, where it
-comes into range, expands through all neighbours in range. Cosines are verified in double precision. Recall is
-audited against brute force on some queries of every task; a task that falls short searches again from more
-entry points.
+comes into range, expands through all neighbours in range. Cosines are verified in double precision.
+
+Recall is audited twice. In every task some queries are held against brute force; a task that falls short searches
+again from more entry points and at last compares all. And some queries are held against all vectors, whatever
+their regions; a result that has lost too much is an error.
 """
 
 from __future__ import annotations
@@ -45,6 +49,47 @@ def nearest(x: np.ndarray, c: np.ndarray, most: int) -> np.ndarray:
     return np.sort(np.argpartition(-near, most - 1, axis=1)[:, :most] if most < len(c) else np.broadcast_to(np.arange(len(c)), (len(x), len(c))), axis=1)
 
 
+class Regions:
+    """Overlapping regions of one vector length: ``first`` centroids and, if there are, ``second`` ones of the rests."""
+
+    def __init__(self, sample: np.ndarray, wanted: int, overlap: int, most: int):
+        most = min(most, max(1, len(sample) // 2))
+        self.overlap, self.second = overlap, None
+        self.first = kmeans(sample, min(wanted, most))
+        if wanted > most:
+            rest = sample - self.first[(sample @ self.first.T).argmax(1)]
+            self.second = _means(rest, min(most, -(-wanted // len(self.first))))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Numbers of the regions of every row, ascending."""
+        return np.concatenate([self._of(x[lo : lo + 1024]) for lo in range(0, len(x), 1024)])
+
+    def _of(self, x: np.ndarray) -> np.ndarray:
+        near = nearest(x, self.first, self.overlap)
+        if self.second is None:
+            return near
+        k = min(self.overlap, len(self.second))
+        size = (self.second**2).sum(1)
+        out = []
+        for column in near.T:
+            rest = x - self.first[column]
+            far = size - 2 * (rest @ self.second.T)
+            own = np.argpartition(far, k - 1, axis=1)[:, :k] if k < len(self.second) else np.broadcast_to(np.arange(k), (len(x), k))
+            out.append(column[:, None] * len(self.second) + own)
+        return np.sort(np.concatenate(out, axis=1), axis=1)
+
+
+def _means(x: np.ndarray, k: int, rounds: int = 6, seed: int = 5) -> np.ndarray:
+    """Centroids by distance."""
+    c = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)]
+    for _ in range(rounds):
+        at = ((c**2).sum(1) - 2 * (x @ c.T)).argmin(1)
+        sums, n = np.zeros_like(c), np.bincount(at, minlength=len(c))[:, None]
+        np.add.at(sums, at, x)
+        c = np.where(n > 0, sums / np.maximum(n, 1), c)
+    return c
+
+
 class FlatGraph:
     """Directed graph over unit vectors; ``entries`` reach every node."""
 
@@ -184,7 +229,11 @@ def links(x: np.ndarray, y: np.ndarray | None, least: float, audited: int = 16)
         place[sample] = np.arange(len(sample))
         on = place[a] >= 0
         got[place[a[on]], b[on]] = True
-        if not (true & ~got).any() or starts >= 4 * len(graph.entries):
+        if not (true & ~got).any():
+            break
+        if starts >= 4 * len(graph.entries):  # all entry points were not enough
+            found = [np.nonzero(q[lo : lo + 512] @ x.T >= least) for lo in range(0, len(q), 512)]
+            a, b = np.concatenate([i + 512 * k for k, (i, _) in enumerate(found)]), np.concatenate([j for _, j in found])
             break
         starts *= 4
     if y is None:
@@ -207,14 +256,44 @@ def _lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = new
 
 
-def near_duplicates(df: DataFrame, least: float = 0.95, overlap: int = 4, block: int = 1500, sample_rows: int = 4096, most_regions: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def recall(vectors: DataFrame, counts: DataFrame, number: type, least: float, queries: int) -> float:
+    """Share of the links of some vectors (those of ``queries`` ids, chosen by a hash) that were found, by comparing them with
+    all ``vectors`` (id, size, vec). 1 if they have none."""
+    drawn = vectors.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(queries).join(counts, "id", "left").select("id", "size", "vec", F.coalesce("n", F.lit(0)).alias("n")).collect()
+    own = {size: ([r["id"] for r in drawn if r["size"] == size], unit(np.array([np.frombuffer(r["vec"], number) for r in drawn if r["size"] == size], np.float64))) for size in {r["size"] for r in drawn}}
+    seen = pa.schema([("n", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            ids, sizes, vec = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            n = 0
+            for size, (asked, q) in own.items():
+                at = np.flatnonzero(sizes == size)
+                if len(at):
+                    x = unit(np.frombuffer(b"".join(vec[int(i)].as_py() for i in at), number).reshape(len(at), size).astype(np.float64))
+                    n += int(((q @ x.T >= least) & (np.array(asked)[:, None] != ids[at][None, :])).sum())
+            yield batch(seen, [[n]])
+
+    true = map_batches(vectors.select("id", "size", "vec"), run, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    return sum(r["n"] for r in drawn) / true if true else 1.0
+
+
+#: Regions whose numbers of blocks may be broadcast; 16 bytes each.
+MOST_CUT = 100_000
+
+
+def near_duplicates(df: DataFrame, least: float = 0.95, overlap: int = 4, block: int = 1500, sample_rows: int = 4096, most_regions: int = 2048, audited: int = 256, least_recall: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
     different lengths or rows with a null id. Rows with one id are one vector (the smallest, if they differ). A region's rows
     are spread over blocks of about ``block`` rows by a hash of the id, however many they are. A pair that
-    shares several regions counts in the first. The driver gets a sample of ``sample_rows`` vectors and the sizes of
-    regions.
+    shares several regions counts in the first. An empty table gives no rows; a long vector is taken whole; equal cosines
+    need no order; columns besides the two are not read.
+
+    The number of regions follows the rows, up to the square of ``most_regions``; their centroids are fitted on
+    ``sample_rows`` vectors, which with ``audited`` queries are all that the driver gets. The links of those queries are held
+    against all vectors; less than ``least_recall`` of them found is an error.
     """
     kind = df.schema[vec_col].dataType.elementType.simpleString()
     number = np.float32 if kind == "float" else np.float64
@@ -229,12 +308,11 @@ def near_duplicates(df: DataFrame, least: float = 0.95, overlap: int = 4, block:
     by_size: dict[int, list] = {}
     for r in sorted(drawn, key=lambda r: r["id"]):
         by_size.setdefault(len(r["v"]), []).append(r["v"])
-    centroids = {}
+    regions = {}
     for size, own in by_size.items():
-        x = unit(np.array(own, np.float64))
-        share = total * len(own) / len(drawn)
-        centroids[size] = kmeans(x, int(max(1, min(most_regions, len(own) // 2 or 1, -(-overlap * share // block)))))
-    placed = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("regions", pa.list_(pa.int32())), ("vec", pa.binary())])
+        wanted = -(-overlap * total * len(own) // (len(drawn) * block))
+        regions[size] = Regions(unit(np.array(own, np.float64)), max(1, wanted), overlap, most_regions)
+    placed = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("regions", pa.list_(pa.int64())), ("vec", pa.binary())])
 
     def place(batches):
         for b in batches:
@@ -246,18 +324,20 @@ def near_duplicates(df: DataFrame, least: float = 0.95, overlap: int = 4, block:
             for size in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == size)
                 x = flat[(ends[at] - size)[:, None] + np.arange(size)]
-                near = nearest(unit(x.astype(np.float64)), centroids[size], overlap) if size in centroids else np.zeros((len(at), 1), int)
+                near = regions[size].of(unit(x.astype(np.float64))) if size in regions else np.zeros((len(at), 1), int)
                 out[0] += ids[at].tolist()
                 out[1] += [size] * len(at)
                 out[2] += near.tolist()
                 out[3] += [r.tobytes() for r in x]
             yield batch(placed, out)
 
-    spread = cut(map_batches(valid, place, "id long, size int, regions array<int>, vec binary"))
+    spread = cut(map_batches(valid, place, "id long, size int, regions array<long>, vec binary"))
     keyed = spread.select("id", "size", F.explode("regions").alias("region"), "regions", "vec")
-    sizes = {(r["size"], r["region"]): -(-r["count"] // block) for r in keyed.groupBy("size", "region").count().collect()}  # centroids bound it
-    cuts = F.coalesce(F.create_map(*[F.lit(x) for (s, r), n in sizes.items() if n > 1 for x in (f"{s}:{r}", n)])[F.concat_ws(":", "size", "region")], F.lit(1)) if any(n > 1 for n in sizes.values()) else F.lit(1)
-    keyed = keyed.withColumn("cuts", cuts).withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), F.col("cuts")).cast("int"))
+    sizes = cut(spread.select("size", F.explode("regions").alias("region")).groupBy("size", "region").count().where(F.col("count") > block).select("size", "region", F.ceil(F.col("count") / block).cast("int").alias("cuts")))
+    large = sizes.count()
+    if large:
+        keyed = keyed.join(F.broadcast(sizes) if large <= MOST_CUT else sizes, ["size", "region"], "left")
+    keyed = keyed.withColumn("cuts", F.coalesce("cuts", F.lit(1)) if large else F.lit(1)).withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), F.col("cuts")).cast("int"))
     # every pair of blocks of a region is a task: a row goes to as many as its region has blocks
     dealt = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("size", "region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "regions", "vec")
     linked = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
@@ -269,7 +349,7 @@ def near_duplicates(df: DataFrame, least: float = 0.95, overlap: int = 4, block:
         own = group.column("own").to_numpy()
         vec = group.column("vec").to_pylist()
         x = unit(np.frombuffer(b"".join(vec), number).reshape(len(ids), size).astype(np.float64))
-        regions = np.array(group.column("regions").to_pylist(), np.int64)
+        shared = np.array(group.column("regions").to_pylist(), np.int64)
         if i == j:
             a, b = links(x, None, least)
         else:
@@ -278,14 +358,19 @@ def near_duplicates(df: DataFrame, least: float = 0.95, overlap: int = 4, block:
                 return linked.empty_table()
             a, b = links(x[first], x[second], least)
             a, b = first[a], second[b]
-        both = (regions[a][:, :, None] == regions[b][:, None, :]).any(axis=2)
-        counts = np.where(both, regions[a], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == region
-        n = np.bincount(a[counts], minlength=len(ids)) + np.bincount(b[counts], minlength=len(ids))
+        n = np.zeros(len(ids), np.int64)
+        for lo in range(0, len(a), _CHUNK):
+            p, q = a[lo : lo + _CHUNK], b[lo : lo + _CHUNK]
+            both = (shared[p][:, :, None] == shared[q][:, None, :]).any(axis=2)
+            here = np.where(both, shared[p], np.iinfo(np.int64).max).min(axis=1) == region
+            n += np.bincount(p[here], minlength=len(ids)) + np.bincount(q[here], minlength=len(ids))
         touched = np.unique(np.concatenate([a, b]))
         return pa.table([ids[touched], n[touched], ids[_lowest(len(ids), a, b)][touched]], schema=linked)
 
     found = cut(dealt.groupBy("size", "region", "i", "j").applyInArrow(search, "id long, n long, root long"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
+    if audited and (share := recall(spread, counts, number, least, audited)) < least_recall:
+        raise RuntimeError(f"only {share:.3f} of the links of {audited} vectors were found")
     parts = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     joined = rows.select("id").join(counts, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")

@@ -66,10 +66,10 @@ def random_vectors(n=260, d=16, seed=1):
     return rows
 
 
-@pytest.mark.parametrize("block", [1500, 60])
-def test_vectors(spark, block):
+@pytest.mark.parametrize("options", [{}, {"block": 60}, {"block": 40, "most_regions": 6}])
+def test_vectors(spark, options):
     rows = random_vectors()
-    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block)
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), **options)
     assert sorted(repr(tuple(r)) for r in got.collect()) == brute_vectors(rows)
 
 
@@ -81,6 +81,44 @@ def test_vectors_nasty(spark):
     assert {tuple(r) for r in vectors.near_duplicates(df.where("vec_id IN (3, 5)")).collect()} == {(3, 0, 3, True), (5, 0, 5, True)}
 
 
+def test_regions_follow_the_rows():
+    rng = np.random.default_rng(5)
+    x = vectors.unit(rng.normal(size=(6000, 24)))
+    y = vectors.unit(x + rng.normal(size=x.shape) * 0.065)  # cosines around 0.953
+    near = np.einsum("ij,ij->i", x, y)
+    for wanted in (16, 64, 600):
+        r = vectors.Regions(x[:500], wanted, 4, 40)
+        a, b = r.of(x), r.of(y)
+        biggest = np.unique(np.concatenate([np.unique(row) for row in a]), return_counts=True)[1].max()
+        assert (r.second is None) == (wanted <= 40) and (wanted < 600 or biggest < 1000)
+        assert (a[:, :, None] == b[:, None, :]).any((1, 2))[near >= 0.95].mean() > 0.95
+
+
+def test_a_search_that_falls_short_compares_all(monkeypatch):
+    monkeypatch.setattr(vectors.FlatGraph, "in_range", lambda self, q, *a: (np.empty(0, np.int64),) * 2)
+    x = vectors.unit(np.array([v for _, v in random_vectors()]))
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
+    assert set(zip(*(y.tolist() for y in vectors.links(x, None, 0.95)))) == set(zip(i.tolist(), j.tolist()))
+    assert len(vectors.links(x[:100], x[260:], 0.95)[0]) == (x[:100] @ x[260:].T >= 0.95).sum()
+
+
+def test_a_lossy_result_is_an_error(spark, monkeypatch):
+    rows = random_vectors()
+    monkeypatch.setattr(vectors, "recall", lambda *a: 0.5)
+    with pytest.raises(RuntimeError, match="only 0.500"):
+        vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+
+
+def test_recall_is_measured_against_all(spark):
+    x = vectors.unit(np.array([v for _, v in random_vectors()]))
+    true = (x @ x.T >= 0.95).sum(1) - 1
+    own = spark.createDataFrame([(i, x.shape[1], v.tobytes()) for i, v in enumerate(x)], "id long, size int, vec binary")
+    counts = spark.createDataFrame([(i, int(n)) for i, n in enumerate(true)], "id long, n long")
+    assert vectors.recall(own, counts, np.float64, 0.95, 1000) == 1.0
+    assert vectors.recall(own, counts.withColumn("n", F.floor(F.col("n") / 2)), np.float64, 0.95, 1000) < 0.6
+    assert vectors.recall(own.limit(1), counts, np.float64, 0.95, 5) >= 1.0
+
+
 def test_graph_reaches_all():
     x = vectors.unit(np.array([v for _, v in random_vectors()]))
     g = vectors.FlatGraph(x, cluster=60)
