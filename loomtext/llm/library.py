@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
 from functools import lru_cache
 
 from .chunks import TAIL, Remembered, SpacedEncoder
@@ -38,8 +37,13 @@ class _Library:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
         self.model = self.t.model
+        #: Special tokens are read in a text as what they are; a text that has one is left to the library as a whole.
+        self.special = tuple(x.content for x in self.t.get_added_tokens_decoder().values())
+        self.top = max(self.t.get_vocab(with_added_tokens=True).values(), default=0)
+
+    def __call__(self, text: str) -> bytes:
+        return self.encode(text) if any(x in text for x in self.special) else self.parts(text)
 
     def encode(self, text: str) -> bytes:
         ids = self.t.encode(text, add_special_tokens=False).ids
@@ -69,7 +73,7 @@ class WordEncoder(_Library):
             return self.words[body] + self.words[word[len(body) :]]
         return self.encode(word)
 
-    def __call__(self, text: str) -> bytes:
+    def parts(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -86,12 +90,12 @@ class ByteEncoder(_Library):
             return self.encode(word)
         return self.word(_mapped(own) if own is word else "Ġ" + _mapped(own))
 
-    def __call__(self, text: str) -> bytes:
+    def parts(self, text: str) -> bytes:
         return self.whole(text)
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str, spaced: bool) -> Callable[[str], bytes]:
-    """Ids as packed unsigned 32-bit integers. ``spaced``: a byte-level tokenizer; else one that lowers its text and
+def library_encoder(path: str, spaced: bool) -> ByteEncoder | WordEncoder:
+    """Ids of a text as packed unsigned 32-bit integers, as the library gives them without adding special tokens. ``spaced``: a byte-level tokenizer; else one that lowers its text and
     drops white space."""
     return ByteEncoder(path) if spaced else WordEncoder(path)

@@ -129,19 +129,25 @@ def slots(sequences: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nd
     return {n: tuple(np.array(x, np.int64) for x in cols) for n, cols in found.items()}
 
 
-def best_fit(pieces: DataFrame, capacity: int, id_col: str = "doc_id", salts: int = 64) -> DataFrame:
+def best_fit(pieces: DataFrame, capacity: int, id_col: str = "doc_id", salts: int = 64, rows_a_salt: int = 250_000) -> DataFrame:
     """``pieces`` (id, piece, start, length, ...) with sequence_id and offset.
 
-    The driver gets counts by length and salt: at most capacity x ``salts`` rows. Ranks are taken within a
-    length and salt, so that a length which many pieces share is numbered by many tasks. Rows that are equal
+    Ranks are taken within a length and salt, so that a length which many pieces share is numbered by many tasks: by
+    ``salts``, and by more where a salt would have over ``rows_a_salt`` rows. The driver gets counts by length and salt: at
+    most capacity x ``salts`` rows and one for every ``rows_a_salt`` pieces. Rows that are equal
     in all of id, piece and start may swap places. An empty table gives an empty result.
     """
-    pieces = cut(pieces.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "start"), F.lit(salts)).cast("int")))
+    pieces = cut(pieces)
+    many = {r["length"]: r["count"] for r in pieces.groupBy("length").count().where(F.col("count") > salts * rows_a_salt).collect()}
+    own = F.lit(salts)
+    if many:
+        own = F.coalesce(F.create_map(*[F.lit(x) for n, c in sorted(many.items()) for x in (n, -(-c // rows_a_salt))])[F.col("length")], own)
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "start"), own).cast("int"))
     counted = sorted((r["length"], r["_salt"], r["count"]) for r in pieces.groupBy("length", "_salt").count().collect())
     counts: dict[int, int] = {}
     base: dict[int, np.ndarray] = {}
     for n, salt, c in counted:
-        base.setdefault(n, np.zeros(salts, np.int64))[salt] = counts.get(n, 0)
+        base.setdefault(n, np.zeros(max(salts, -(-many.get(n, 0) // rows_a_salt)), np.int64))[salt] = counts.get(n, 0)
         counts[n] = counts.get(n, 0) + c
     table = slots(plan(counts, capacity))
     names = [c for c in pieces.columns if c != "_salt"]
@@ -168,7 +174,9 @@ def best_fit(pieces: DataFrame, capacity: int, id_col: str = "doc_id", salts: in
 
 def pack(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): every document of ``df`` in sequences of
-    at most ``capacity`` ids. Null ids are packed as well; null texts hold the end id alone."""
+    at most ``capacity`` ids. Null ids are packed as well; null and empty texts hold the end id alone; long texts are cut into
+    pieces of ``capacity``; repeated rows are packed each; pieces of equal length are told apart by id, piece and start; an
+    empty table gives none; other columns are not read."""
     return best_fit(tokenized_pieces(df, path, capacity, end_id, id_col, text_col), capacity, id_col)
 
 

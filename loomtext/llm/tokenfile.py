@@ -137,9 +137,13 @@ def write(df: DataFrame, path: str, end_id: int, where: str, length: int = 2048,
 
     The order is cut into runs at quantiles of the ids (only those reach the driver); each run is one file, and
     texts cross the network once, compressed. Null texts hold the end id alone; null ids come first; rows with
-    equal ids follow each other in the order of their texts' hashes. ``width`` is the bytes of an id.
+    equal ids follow each other in the order of their texts' hashes, repeated rows in any order, for they are equal. A
+    long text is one document, written batch by batch; an empty table makes no file; other columns are not read. ``width`` is
+    the bytes of an id; a vocabulary that does not fit in them is an error.
     """
     spark = df.sparkSession
+    if (top := max(library_encoder(path, spaced).top, end_id)) >> 8 * width:
+        raise ValueError(f"ids up to {top} do not fit in {width} bytes")
     parts = shuffle_parts(spark)
     bounds = np.array(order_bounds(df, id_col, 4 * parts), np.int64)
     sent = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("tie", pa.int64()), ("blob", pa.binary())])

@@ -28,13 +28,12 @@ def reference():
 
 def library(name):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
 def odd_texts(n=3000):
     r = random.Random(5)
-    return ["".join(r.choices(ALPHABET, k=r.randint(0, 16))) for _ in range(n)] + ["it's. DON'T, can't! I'll. we've,", "<|endoftext|> a <|endoftext|>", "a" * 5000, " " * 99, "x\n" * 50]
+    return ["".join(r.choices(ALPHABET, k=r.randint(0, 16))) for _ in range(n)] + ["it's. DON'T, can't! I'll. we've,", "<|endoftext|> a <|endoftext|>", "hello <|endoftext|> world", "It's<|startoftext|>B<|endoftext|>  c", "<|endof text|>", "<|ENDOFTEXT|>", "a" * 5000, " " * 99, "x\n" * 50]
 
 
 def test_perfect_hash():
@@ -138,6 +137,23 @@ def test_packing_nasty(nasty):
     assert packing.pack(nasty.limit(0), P.path("byte_bpe_50k.json")).collect() == []
 
 
+@pytest.mark.parametrize("salts, rows_a_salt", [(64, 250_000), (1, 3), (2, 1)])
+def test_packing_by_any_number_of_salts(spark, salts, rows_a_salt):
+    rows = [(i, 0, 0, 5 if i % 3 else 7) for i in range(90)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long").repartition(3)
+    got = packing.best_fit(pieces, 12, salts=salts, rows_a_salt=rows_a_salt).collect()
+    filled: dict = {}
+    for r in got:
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(got) == 90 and len(filled) == 30 + 15
+    for own in filled.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 12
+
+
 def test_packing_documents(documents):
     got = packing.pack(documents, P.path("byte_bpe_50k.json")).collect()
     check_packing(got, [(r["doc_id"], r["text"]) for r in documents.collect()], library("byte_bpe_50k.json"), 2048, 0)
@@ -190,5 +206,12 @@ def test_token_file_access(tmp_path, width):
     assert [tuple(x) for b in r.documents() for x in zip(*b.to_pydict().values())] == [(0, 0, 5), (1, 5, 50), (2, 55, 1), (3, 56, 30)]
 
 
+def test_ids_that_do_not_fit_are_an_error(documents, tmp_path):
+    with pytest.raises(ValueError, match="do not fit"):
+        tokenfile.write(documents, P.path("word_bpe_49k.json"), 70_000, f"file://{tmp_path}")
+    with pytest.raises(ValueError, match="do not fit"):
+        tokenfile.write(documents, P.path("word_bpe_49k.json"), 2, f"file://{tmp_path}", width=1)
+
+
 def test_shared_folder(spark):
     assert spark.sparkContext.getCheckpointDir() is not None or shared_dir(spark)
