@@ -263,7 +263,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, many: int, taken: in
     return map_batches(rows, run, "id long, same binary, n int, sketches array<long>")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, many: int = 16, taken: int = 4, most_texts: int = 1000, most_shingles: int = 1_000_000, block: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, many: int = 16, taken: int = 4, most_texts: int = 1000, most_shingles: int = 1_000_000, block: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, kept) for every row: the smallest id among the documents that links reach, and whether
     it is this one.
 
