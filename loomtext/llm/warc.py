@@ -139,13 +139,15 @@ def records(source: BinaryIO) -> Iterator[Record]:
         yield Record(headers, _fields(head.split(CRLF)[1:]), payload)
 
 
-def write(pages: DataFrame, where: str, least: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write(pages: DataFrame, where: str, least: int = 1000, salts: int = 16, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes a record for every row of ``pages`` and returns (name, records) of the archives.
 
     Of the rows with equal payloads of at least ``least`` bytes the one with the largest id is a response and the
     others revisit it; rows that share that id and payload are responses too. A null payload is empty, a null
-    id is smaller than all others. The ids of groups of equal payloads come from an aggregate by digest with partial maxima; only digests
-    that recur are joined back, so pages cross the network once at most. A task writes one archive under a
+    id is smaller than all others. Repeated rows are records each; an empty table makes no archive; a long page is one record,
+    held in memory once; other columns are not read. The ids of groups of equal payloads come from an aggregate by digest
+    with partial maxima; only digests that recur are joined back, once for each of ``salts`` salts, so the pages of
+    a frequent payload are spread over as many tasks and cross the network once at most. A task writes one archive under a
     temporary name and renames it, so that a repeated task replaces its own file.
     """
     spark = pages.sparkSession
@@ -153,8 +155,9 @@ def write(pages: DataFrame, where: str, least: int = 1000, id_col: str = "page_i
     # small payloads get keys of their own, longer than any digest, so that they are not joined in one task
     alone = F.encode(F.lpad(F.coalesce(F.col("id").cast("string"), F.lit("")), 24, "-"), "UTF-8")
     rows = rows.withColumn("digest", F.when(F.length("body") >= least, F.unhex(F.sha1("body"))).otherwise(alone))
-    first = rows.where(F.length("body") >= least).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    joined = rows.join(first, "digest", "left").select("id", "url", "body", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
+    first = rows.where(F.length("body") >= least).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int"))
+    joined = rows.join(first, ["digest", "salt"], "left").select("id", "url", "body", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
     schema = pa.schema([("name", pa.string()), ("records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
