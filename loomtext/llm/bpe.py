@@ -142,8 +142,9 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     """(id, n_tokens, ids, ids_sha256, decoded_sha256) for every row.
 
     ``ids`` is binary (little-endian unsigned 32-bit). The pass is map-only. A null text is the empty text: no
-    ids, and the digests of nothing. Repeated rows give repeated rows; other columns are not read. A text
-    of one very long pre-token costs n log n.
+    ids, and the digests of nothing. Repeated rows give repeated rows, an empty table none; other columns are not read; of equal
+    merges the leftmost is first, as in the library. A long text is encoded whole, part by part; one of a single very long
+    pre-token costs n log n.
     """
     schema = pa.schema([(id_col, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 

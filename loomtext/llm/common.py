@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 NULL_KEY = -(1 << 63)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of fewer splits than cores, which is small, is dealt to all cores."""
+def table(spark: SparkSession, sf_dir: str, name: str, few: int = 32) -> DataFrame:
+    """A table. One of a few splits, a few GB at most, is dealt to all cores; larger ones are read as they are split."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(few, cores) else df
 
 
 def shuffle_parts(spark: SparkSession) -> int:

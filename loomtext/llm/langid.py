@@ -136,7 +136,9 @@ def fit(docs: DataFrame, sample_rows: int = 2000, clusters: int = 4, reject_shar
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, rejected) for every row: map-only. Null texts and texts without a letter are
-    ``und`` with score 0 and count as rejected; without any learned language all texts are."""
+    ``und`` with score 0 and count as rejected; without any learned language all texts are. A long text is counted whole,
+    block by block; repeated rows and ids give a row each, a null id a null id; an empty table gives none; other columns are not
+    read. Of centroids that are equally near the first counts, by order of language."""
     schema = pa.schema([(id_col, pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +152,8 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, with all their columns, whose text is not rejected."""
+    """The rows of ``df``, with all their columns, whose text is not rejected; as ``predict`` for nulls, long, empty and
+    repeated ones."""
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -263,7 +263,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, many: int, taken: in
     return map_batches(rows, run, "id long, same binary, n int, sketches array<long>")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, many: int = 16, taken: int = 4, most_texts: int = 1000, most_shingles: int = 1_000_000, block: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, many: int = 16, taken: int = 4, most_texts: int = 500, most_shingles: int = 500_000, block: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, kept) for every row: the smallest id among the documents that links reach, and whether
     it is this one.
 
@@ -305,14 +305,17 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, many: int = 16, taken:
         return here.edges()
 
     some = not big.isEmpty()
-    small = sized.select("id", "component")
-    if some:
-        small = small.join(big, "component", "left_anti")
-    edges = cut(small.join(blobs, "id").groupBy("component").applyInArrow(within, "a long, b long"))
+    if not some:
+        edges = cut(sized.select("id", "component").join(blobs, "id").groupBy("component").applyInArrow(within, "a long, b long"))
+    else:  # the texts of candidates are sent several times, so they are taken out of the rest once
+        sized = cut(sized.join(big.withColumn("large", F.lit(True)), "component", "left").withColumn("large", F.coalesce("large", F.lit(False))))
+        blobs = cut(sized.select("id", "component", "large").join(blobs, "id"))
+        edges = cut(blobs.where("not large").groupBy("component").applyInArrow(within, "a long, b long"))
+        blobs = blobs.select("id", "blob")
     found = edges.select(F.col("a").alias("id"), F.col("b").alias("first"))
     if some:
-        large = cut(sized.join(big, "component").select("id", "shared"))
-        found = found.union(components(_large(large, blobs, least, block)).toDF("id", "first"))
+        large = _large(sized.where("large").select("id", "shared"), blobs, least, block)
+        found = found.union(components(large).toDF("id", "first"))
     classes = texts.select("same", "id").join(found, "id", "left").select("same", F.coalesce("first", "id").alias("class_id"))
     classed = signed.where("id is not null").join(classes, "same", "left").select("id", F.min(F.coalesce("class_id", "id")).over(Window.partitionBy("id")).alias("class_id"))
     classed = classed.union(signed.where("id is null").select("id", F.lit(None).cast("long")))
@@ -321,9 +324,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, many: int = 16, taken:
 
 def _large(own: DataFrame, blobs: DataFrame, least: float, block: int) -> DataFrame:
     """Edges within components that are too large for a task."""
-    # the centre of each sketch with all its members, in salted groups of about ``block``
+    # the centre of each sketch with all its members, in salted groups of about half a block
     star = own.select("id", F.explode(F.array_distinct("shared.head")).alias("head")).where("id <> head")
-    salts = cut(star.groupBy("head").agg(F.ceil(F.count("*") / block).cast("int").alias("salts")))
+    salts = cut(star.groupBy("head").agg(F.ceil(2 * F.count("*") / block).cast("int").alias("salts")))
     leaves = star.join(salts, "head").select("id", "head", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
     centres = salts.select(F.col("head").alias("id"), "head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 

@@ -268,7 +268,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """(id, score, predicted) for every row: map-only. Null and empty texts score what a text without matches does; a long
-    text is read whole, once, in memory bounded by its longest clause; repeated rows and ids give a row each, a null id
+    text is read whole, in time and memory in proportion to it; repeated rows and ids give a row each, a null id
     a null id; an empty table gives none. A score equal to the threshold is predicted toxic."""
     schema = pa.schema([(id_col, pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 

@@ -107,7 +107,9 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The next document is the one below in descending id order; the first follows the last. The edited text has
     its last third replaced by the start of the next. Null texts are empty; null ids come last; rows with equal
-    ids follow each other in the order of their texts' hashes; a table of one row is followed by itself.
+    ids follow each other in the order of their texts' hashes, repeated rows in any order, for they are equal; a table of
+    one row is followed by itself, an empty one gives no rows. A long text is fingerprinted whole, block by block. Of equal
+    hashes in a window the rightmost is chosen. Other columns are not read.
 
     The order is cut into runs at quantiles of the ids. Texts cross the network once, compressed, and the
     first row after each run is sent to that run too, so no task sees more than one run and no window spans all

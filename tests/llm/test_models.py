@@ -32,6 +32,28 @@ def test_held_out_languages_are_not_learned_from(spark, larger, tmp_path):
     assert a.exceptAll(b).count() == 0
 
 
+def plain_language(model, text):
+    """Nearest centroid by plain sums over the n-grams of a text."""
+    from math import log1p, sqrt
+
+    counts = langid.grams(text) if text else None
+    if counts is None:
+        return "und", 0.0
+    vector = {i: log1p(float(n)) * float(model.idf[i]) for i, n in enumerate(counts) if n}
+    norm = sqrt(sum(x * x for x in vector.values()))
+    best = max(((sum(x * float(c[i]) for i, x in vector.items()) / norm, -k) for k, c in enumerate(model.centroids)), default=None)
+    return model.languages[int(model.owner[-best[1]])], best[0]
+
+
+def test_language_by_brute_force(spark, larger):
+    model = queries.language_model(spark, larger)
+    assert len(model.centroids) > len(model.languages)  # several a language
+    got = {r["doc_id"]: r for r in queries.op5_language_id(spark, larger).collect()}
+    for r in spark.read.parquet(f"{larger}/documents.parquet").orderBy("doc_id").limit(150).collect():
+        lang, cosine = plain_language(model, r["text"])
+        assert got[r["doc_id"]]["lang_pred"] == lang and abs(got[r["doc_id"]]["score"] - cosine) < 1e-4
+
+
 def test_language_nasty(nasty, spark, larger):
     model = queries.language_model(spark, larger)
     got = {(r["doc_id"], r["lang_pred"], r["rejected"]) for r in langid.predict(nasty, model).collect()}
@@ -180,6 +202,20 @@ def test_toxicity_nasty(nasty):
     assert toxicity.accepted(nasty, MODEL).count() == len(NASTY) and toxicity.score(nasty.limit(0), MODEL).count() == 0
 
 
+def test_toxicity_by_brute_force(spark):
+    """The query's scores against clauses read by plain rules, with the model that the query learns."""
+    from math import exp
+
+    where = "/root/testdata/sf0.01"
+    model = queries.toxicity_model(spark, where)
+    got = {r["doc_id"]: r for r in queries.op2_toxicity(spark, where).collect()}
+    rows = spark.read.parquet(f"{where}/documents.parquet").collect()
+    for r in rows:
+        plain = 1 / (1 + exp(-max(-30, min(30, model.scale[0] * plain_evidence(model, r["text"]) + model.scale[1]))))
+        assert got[r["doc_id"]]["score"] == pytest.approx(plain) and got[r["doc_id"]]["predicted"] == int(plain >= 0.7)
+    assert len(got) == len(rows) and len({r["predicted"] for r in got.values()}) == 2
+
+
 def test_toxicity_fit_of_odd_labels(spark, nasty):
     labels = spark.createDataFrame([(5, 1), (5, 0), (None, 1), (99, 1), (8, None)], "doc_id long, toxic int")
     model = toxicity.fit(nasty, labels)

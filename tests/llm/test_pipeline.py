@@ -1,4 +1,5 @@
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from test_near import brute_texts
 from test_tokens import check_packing, library
 
@@ -39,6 +40,29 @@ def test_run(spark, sf_dir):
     assert P.path("byte_bpe_50k.json")
 
 
+def test_stages_on_nasty_rows(spark, nasty, sf_dir, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns through every stage; then an empty table."""
+    for where, docs in (("n", nasty), ("e", nasty.limit(0))):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            before = docs
+            stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{where}{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{where}{k}")
+            if name == "packing":
+                check_packing(sorted(docs.collect(), key=repr), [(r["doc_id"], r["text"]) for r in before.collect()], library("byte_bpe_50k.json"), 2048, 0)
+            else:
+                assert docs.columns == before.columns and docs.exceptAll(before).isEmpty()
+        assert (docs.count() == 0) == (where == "e")
+
+
+def test_run_on_nasty_tables(spark, nasty, tmp_path):
+    empty = "doc_id long, text string, lang string, source string, n_chars long"
+    for where, docs in (("n", nasty.withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))), ("e", spark.createDataFrame([], empty))):
+        docs.write.parquet(f"{tmp_path}/{where}/documents.parquet")
+        spark.createDataFrame([(5, 1, 0), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{where}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{where}").collect()
+        assert bool(got) == (where == "n")
+
+
 def test_queries_against_sql(spark, sf_dir):
     import duckdb
 
