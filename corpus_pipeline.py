@@ -17,22 +17,25 @@ from loomtext.llm.queries import language_model, toxicity_model
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID rejects go: null texts, texts without letters, texts unlike any language."""
+    """Documents that language ID rejects go: null texts, texts without letters, texts unlike any language. Rows with a
+    null id and repeated rows are judged by their text like all others; an empty table stays empty."""
     return langid.accepted(docs, language_model(spark, sf_dir))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go."""
+    """Documents that score 0.7 or more go; null and empty texts stay, and so do repeated rows if one does."""
     return toxicity.accepted(docs, toxicity_model(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id stays."""
+    """Of every group of near copies the document with the smallest id stays, with all rows that have it. Null texts
+    and null ids are in no group and stay."""
     return orderhash.first_of_each(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' pieces in sequences of 2048 ids."""
+    """Places of all documents' pieces in sequences of 2048 ids; null and empty texts hold the end id alone, longer texts are
+    cut, repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
