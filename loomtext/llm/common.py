@@ -27,6 +27,12 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def by_task(df: DataFrame, *keys: str):
+    """Rows grouped by ``keys`` for a Python function that takes long for its bytes: in as many tasks as a shuffle has
+    partitions, which adaptive execution would join to a few large ones."""
+    return df.repartition(shuffle_parts(df.sparkSession), *keys).groupBy(*keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where that is unset, local sessions (tests) get a
     temporary one; a cluster without it is an error, for its nodes share no local folder."""

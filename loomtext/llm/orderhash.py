@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .chunks import Remembered
-from .common import Sets, batch, components, cut, map_batches, mix64
+from .common import Sets, batch, by_task, components, cut, map_batches, mix64
 
 SHINGLE = 5
 _WORD = re.compile(r"\w+")
@@ -306,11 +306,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, many: int = 16, taken:
 
     some = not big.isEmpty()
     if not some:
-        edges = cut(sized.select("id", "component").join(blobs, "id").groupBy("component").applyInArrow(within, "a long, b long"))
+        edges = cut(by_task(sized.select("id", "component").join(blobs, "id"), "component").applyInArrow(within, "a long, b long"))
     else:  # the texts of candidates are sent several times, so they are taken out of the rest once
         sized = cut(sized.join(big.withColumn("large", F.lit(True)), "component", "left").withColumn("large", F.coalesce("large", F.lit(False))))
         blobs = cut(sized.select("id", "component", "large").join(blobs, "id"))
-        edges = cut(blobs.where("not large").groupBy("component").applyInArrow(within, "a long, b long"))
+        edges = cut(by_task(blobs.where("not large"), "component").applyInArrow(within, "a long, b long"))
         blobs = blobs.select("id", "blob")
     found = edges.select(F.col("a").alias("id"), F.col("b").alias("first"))
     if some:
@@ -339,7 +339,7 @@ def _large(own: DataFrame, blobs: DataFrame, least: float, block: int) -> DataFr
             here.meet(c, i)
         return here.edges()
 
-    edges = cut(leaves.union(centres).join(blobs, "id").groupBy("head", "salt").applyInArrow(around, "a long, b long"))
+    edges = cut(by_task(leaves.union(centres).join(blobs, "id"), "head", "salt").applyInArrow(around, "a long, b long"))
     # what a sketch still holds apart: members outside its largest class meet all its members
     now = components(edges).toDF("id", "class")
     held = cut(own.join(now, "id", "left").select("id", F.coalesce("class", "id").alias("own"), F.explode("shared.key").alias("key")))
@@ -361,7 +361,7 @@ def _large(own: DataFrame, blobs: DataFrame, least: float, block: int) -> DataFr
         here.link()
         return here.edges()
 
-    return edges.union(cut(groups.join(blobs, "id").groupBy("key", "kind", "i", "k").applyInArrow(apart, "a long, b long")))
+    return edges.union(cut(by_task(groups.join(blobs, "id"), "key", "kind", "i", "k").applyInArrow(apart, "a long, b long")))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

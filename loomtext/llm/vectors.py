@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, components, cut, map_batches
+from .common import batch, by_task, components, cut, map_batches
 
 _CHUNK = 1 << 15
 
@@ -367,7 +367,7 @@ def near_duplicates(df: DataFrame, least: float = 0.95, overlap: int = 4, block:
         touched = np.unique(np.concatenate([a, b]))
         return pa.table([ids[touched], n[touched], ids[_lowest(len(ids), a, b)][touched]], schema=linked)
 
-    found = cut(dealt.groupBy("size", "region", "i", "j").applyInArrow(search, "id long, n long, root long"))
+    found = cut(by_task(dealt, "size", "region", "i", "j").applyInArrow(search, "id long, n long, root long"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     if audited and (share := recall(spread, counts, number, least, audited)) < least_recall:
         raise RuntimeError(f"only {share:.3f} of the links of {audited} vectors were found")
