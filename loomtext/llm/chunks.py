@@ -46,14 +46,32 @@ class Remembered(dict):
         return value
 
 
+class RememberedWords(Remembered):
+    """A memory in which words of ASCII letters, most of what is missed, go to ``word`` at once, with ``before`` put
+    before them; ``lower``: only those in lower case."""
+
+    def __init__(self, f: Callable[[str], bytes], word: Callable[[str], bytes], before: str = "", most: int = 150_000, lower: bool = False):
+        super().__init__(f, most)
+        self.word, self.before, self.kind = word, before, str.islower if lower else str.isalpha
+
+    def __missing__(self, key: str) -> bytes:
+        if key.isascii() and key.isalpha() and self.kind(key) and len(key) <= self.longest:
+            value = self.word(self.before + key)
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+            return value
+        return super().__missing__(key)
+
+
 class SpacedEncoder:
     """Ids of whole texts for a byte-level pattern, part by part. ``encode`` takes any text; ``letters`` one
-    pre-token of letters, perhaps with a space before them."""
+    pre-token of letters, perhaps with a space before them; ``word`` the same of ASCII letters, after ``space``."""
 
-    def __init__(self, encode: Callable[[str], bytes], letters: Callable[[str], bytes], most: int = 300_000):
+    def __init__(self, encode: Callable[[str], bytes], letters: Callable[[str], bytes], most: int = 300_000, word: Callable[[str], bytes] | None = None, space: str = " "):
         self.encode, self.letters = encode, letters
-        self.first = Remembered(lambda part: self._part(part, "", self.first))
-        self.spaced = Remembered(lambda part: self._part(part, " ", self.spaced), most=most)
+        self.first = RememberedWords(lambda part: self._part(part, "", self.first), word or letters)
+        self.spaced = RememberedWords(lambda part: self._part(part, " ", self.spaced), word or letters, space, most)
 
     def _part(self, part: str, space: str, same: Remembered) -> bytes:
         if part.isalpha():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from functools import lru_cache
 
-from .chunks import TAIL, Remembered, SpacedEncoder
+from .chunks import TAIL, RememberedWords, SpacedEncoder
 
 #: Parts remembered by a worker: about 200 bytes each.
 MOST = 500_000
@@ -22,6 +22,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(12)]
 
 
 def _mapped(word: str) -> str:
@@ -37,7 +38,7 @@ class _Library:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.model = self.t.model
+        self.tokenize = self.t.model.tokenize
         #: Special tokens are read in a text as what they are; a text that has one is left to the library as a whole.
         self.special = tuple(x.content for x in self.t.get_added_tokens_decoder().values())
         self.top = max(self.t.get_vocab(with_added_tokens=True).values(), default=0)
@@ -51,8 +52,8 @@ class _Library:
 
     def word(self, mapped: str) -> bytes:
         """Of one pre-token: the model alone, without the normalising and splitting that would not change it."""
-        found = self.model.tokenize(mapped)
-        return struct.pack(f"<{len(found)}I", *[x.id for x in found])
+        found = [x.id for x in self.tokenize(mapped)]
+        return _PACKS[len(found)](*found) if len(found) < len(_PACKS) else struct.pack(f"<{len(found)}I", *found)
 
 
 class WordEncoder(_Library):
@@ -60,7 +61,7 @@ class WordEncoder(_Library):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.words = Remembered(self._word, most=MOST)
+        self.words = RememberedWords(self._word, self.word, most=MOST, lower=True)
 
     def _word(self, word: str) -> bytes:
         if word.isalpha():
@@ -82,7 +83,7 @@ class ByteEncoder(_Library):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.whole = SpacedEncoder(self.encode, self._letters, MOST)
+        self.whole = SpacedEncoder(self.encode, self._letters, MOST, self.word, "Ġ")
 
     def _letters(self, word: str) -> bytes:
         own = word.removeprefix(" ")

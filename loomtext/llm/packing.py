@@ -137,21 +137,30 @@ def best_fit(pieces: DataFrame, capacity: int, id_col: str = "doc_id", salts: in
     most capacity x ``salts`` rows and one for every ``rows_a_salt`` pieces. Rows that are equal
     in all of id, piece and start may swap places. An empty table gives an empty result.
     """
+    def salted(own) -> DataFrame:
+        return pieces.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "start"), own).cast("int"))
+
+    def counted(df: DataFrame) -> list[tuple[int, int, int]]:
+        return sorted((r["length"], r["_salt"], r["count"]) for r in df.groupBy("length", "_salt").count().collect())
+
     pieces = cut(pieces)
-    many = {r["length"]: r["count"] for r in pieces.groupBy("length").count().where(F.col("count") > salts * rows_a_salt).collect()}
-    own = F.lit(salts)
-    if many:
-        own = F.coalesce(F.create_map(*[F.lit(x) for n, c in sorted(many.items()) for x in (n, -(-c // rows_a_salt))])[F.col("length")], own)
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "start"), own).cast("int"))
-    counted = sorted((r["length"], r["_salt"], r["count"]) for r in pieces.groupBy("length", "_salt").count().collect())
+    ready = salted(F.lit(salts))
+    found = counted(ready)
+    many: dict[int, int] = {}
+    for n, _, c in found:
+        many[n] = many.get(n, 0) + c
+    own = {n: -(-c // rows_a_salt) for n, c in many.items() if c > salts * rows_a_salt}
+    if own:
+        ready = salted(F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(own.items()) for x in pair])[F.col("length")], F.lit(salts)))
+        found = counted(ready)
     counts: dict[int, int] = {}
     base: dict[int, np.ndarray] = {}
-    for n, salt, c in counted:
-        base.setdefault(n, np.zeros(max(salts, -(-many.get(n, 0) // rows_a_salt)), np.int64))[salt] = counts.get(n, 0)
+    for n, salt, c in found:
+        base.setdefault(n, np.zeros(own.get(n, salts), np.int64))[salt] = counts.get(n, 0)
         counts[n] = counts.get(n, 0) + c
     table = slots(plan(counts, capacity))
-    names = [c for c in pieces.columns if c != "_salt"]
-    ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(id_col, "piece", "start")).cast("long") - 1)
+    names = pieces.columns
+    ranked = ready.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(id_col, "piece", "start")).cast("long") - 1)
     k = [names.index("length"), len(names), len(names) + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
