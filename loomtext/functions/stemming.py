@@ -2,8 +2,8 @@
 
 A step is a list of rules; the first rule whose suffix ends the word decides the step, whether or not its
 condition lets it change anything. Words with anything but ASCII letters are only lowered. The table is read
-by ``stem`` (Python, with remembered results), by ``stem_column`` (an Arrow UDF over columns of distinct words) and by ``stem_sql`` (a chain
-of SQL selects).
+by ``stem`` (Python, with remembered results) and by ``stem_column`` (an Arrow UDF, once a distinct word of a batch); ``stem_sql``
+is a chain of SQL selects with rules of its own, to check them by.
 """
 
 from __future__ import annotations
@@ -129,6 +129,23 @@ def _measure_sql(cv: str) -> str:
     return f"len(regexp_extract_all({cv}, 'V+C+'))"
 
 
+# The rules once more, as the SQL side states them, so that a wrong rule in the table above shows.
+SQL_RULES = {
+    name: [tuple(rule.split(">")) for rule in rules.split()]
+    for name, rules in {
+        "plural": "sses>ss ies>i ss>ss s>",
+        "eed": "eed>ee",
+        "past": "ing> ed>",
+        "repair": "at>ate bl>ble iz>ize",
+        "y": "y>i",
+        "double": "ational>ate tional>tion enci>ence anci>ance izer>ize abli>able alli>al entli>ent eli>e ousli>ous ization>ize ation>ate ator>ate alism>al iveness>ive fulness>ful ousness>ous aliti>al iviti>ive biliti>ble",
+        "single": "icate>ic ative> alize>al iciti>ic ical>ic ful> ness>",
+        "long": "al> ance> ence> er> ic> able> ible> ant> ement> ment> ent> ion> ou> ism> ate> iti> ous> ive> es>",
+        "e": "e>",
+    }.items()
+}
+
+
 def stem_sql(source: str) -> str:
     """DuckDB common table expressions that end in ``stems(word, stem)`` over the distinct words of ``source(word)``."""
 
@@ -145,7 +162,7 @@ def stem_sql(source: str) -> str:
     four = lambda cv, r, s: f"{_measure_sql(cv)} >= 2" + (f" AND right({r}, 1) IN ('s', 't')" if s == "ion" else "")
     double = "len(w) > 1 AND right(w, 1) = w[-2] AND right(w, 1) NOT IN ('a', 'e', 'i', 'o', 'u')"
     short = "regexp_matches(w, '[^aeiou][aeiou][^aeiouwxy]$')"
-    repair = chain(STEP_1B_REPAIR, lambda *_: None, f"CASE WHEN {double} AND right(w, 1) NOT IN ('l', 's', 'z') THEN left(w, len(w) - 1) WHEN {_measure_sql('cv')} = 1 AND {short} THEN w || 'e' ELSE w END")
+    repair = chain(SQL_RULES["repair"], lambda *_: None, f"CASE WHEN {double} AND right(w, 1) NOT IN ('l', 's', 'z') THEN left(w, len(w) - 1) WHEN {_measure_sql('cv')} = 1 AND {short} THEN w || 'e' ELSE w END")
     ctes = [f"t0 AS (SELECT DISTINCT word, lower(word) AS w, regexp_full_match(word, '[A-Za-z]*') AS plain FROM {source})"]
 
     def add(expression: str, where: str = "plain", keep: str = "") -> None:
@@ -153,15 +170,15 @@ def stem_sql(source: str) -> str:
         cv = f"(SELECT *, {kinds_sql('w')} AS cv FROM t{n - 1})"
         ctes.append(f"t{n} AS MATERIALIZED (SELECT word, CASE WHEN {where} THEN {expression} ELSE w END AS w, plain{keep} FROM {cv})")
 
-    add(chain(STEP_1A, lambda *_: None))
-    add(chain(STEP_1B_FIRST, at_least(1)), keep=", w AS before")
-    add(chain(STEP_1B_SECOND, vowel), "plain AND w = before", keep=", w = before AS open, w AS before")
+    add(chain(SQL_RULES["plural"], lambda *_: None))
+    add(chain(SQL_RULES["eed"], at_least(1)), keep=", w AS before")
+    add(chain(SQL_RULES["past"], vowel), "plain AND w = before", keep=", w = before AS open, w AS before")
     add(repair, "plain AND open AND w <> before")
-    add(chain(STEP_1C, vowel))
-    add(chain(STEP_2, at_least(1)))
-    add(chain(STEP_3, at_least(1)))
-    add(chain(STEP_4, four))
-    add(chain(STEP_5A, at_least(2)))
+    add(chain(SQL_RULES["y"], vowel))
+    add(chain(SQL_RULES["double"], at_least(1)))
+    add(chain(SQL_RULES["single"], at_least(1)))
+    add(chain(SQL_RULES["long"], four))
+    add(chain(SQL_RULES["e"], at_least(2)))
     add(f"CASE WHEN {_measure_sql('cv')} >= 1 AND {double} AND right(w, 1) = 'l' THEN left(w, len(w) - 1) ELSE w END")
     ctes.append(f"stems AS (SELECT word, w AS stem FROM t{len(ctes) - 1})")
     return ", ".join(ctes)
