@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null key where rows are put in key order: nulls are the smallest.
@@ -65,13 +66,70 @@ def unpack(blob: bytes) -> str:
     return zstandard.ZstdDecompressor().decompress(blob).decode("utf-8", "surrogatepass")
 
 
-def order_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
-    """At most ``buckets - 1`` values of the integer column ``key``, ascending, that cut its order into
-    about equal runs. Every bound is a value that occurs. Only the quantile summary reaches the driver."""
-    if buckets < 2:
+def tie_of(text: str) -> Column:
+    """Orders rows of equal keys by their texts; a null text is the empty text."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+class Runs:
+    """Runs that the order of rows by (key, tie) is cut into: run k ends with (keys[k], ties[k]), or with all rows of
+    keys[k] where that tie is ``ALL``."""
+
+    ALL = (1 << 63) - 1
+
+    def __init__(self, ends: list[tuple[int, int]]):
+        self.keys, self.ties = (np.array([e[i] for e in ends], np.int64) for i in range(2))
+
+    def of(self, keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        found, end = (np.searchsorted(self.keys, keys, side) for side in ("left", "right"))
+        for i in np.flatnonzero(end > found).tolist():
+            found[i] += np.searchsorted(self.ties[found[i] : end[i]], ties[i], "left")
+        return found
+
+    def ends(self, k: np.ndarray, keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """Which rows are at the end of their runs ``k``; the last run has no end."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        at = np.minimum(k, len(self.keys) - 1)
+        return (k < len(self.keys)) & (self.keys[at] == keys) & ((self.ties[at] == ties) | (self.ties[at] == self.ALL))
+
+
+def order_runs(df: DataFrame, key: str, text: str, runs: int) -> list[tuple[int, int]]:
+    """Ends of about ``runs`` equal runs of the order by (``key``, ``tie_of(text)``), ascending; each occurs. Only quantiles
+    and at most ``runs`` ends reach the driver. A key that holds several runs is cut by quantiles of its ties (not one beyond
+    2 ** 53), in two more passes over its rows. Quantiles are double precision, so where keys or ties are
+    beyond it the last row of each run is looked up."""
+    if runs < 2:
         return []
-    found = df.agg(F.percentile_approx(F.coalesce(F.col(key), F.lit(NULL_KEY)), [i / buckets for i in range(1, buckets)], 20 * buckets).alias("b")).first()
-    return sorted(set(found["b"] or []))
+    keyed, tie = F.coalesce(F.col(key), F.lit(NULL_KEY)), tie_of(text)
+    found = df.agg(F.percentile_approx(keyed, [i / runs for i in range(1, runs)], 20 * runs).alias("b")).first()
+    held = Counter(found["b"] or [])
+    ends = [(k, Runs.ALL) for k in sorted(held)]
+    if hot := [k for k, n in held.items() if n > 1]:
+        most = max(held.values())
+        cuts = F.percentile_approx(tie, [i / most for i in range(1, most)], 20 * most)
+        for r in df.where(keyed.isin(hot)).groupBy(keyed.alias("k")).agg(cuts.alias("cuts")).collect():
+            ends += {(r["k"], r["cuts"][round(i * most / held[r["k"]]) - 1]) for i in range(1, held[r["k"]])}
+        return _last_of_runs(df.select(keyed.alias("key"), tie.alias("tie")), Runs(sorted(ends)))
+    if any(abs(k) > 1 << 53 for k in held):
+        return [(k, Runs.ALL) for k, _ in _last_of_runs(df.select(keyed.alias("key"), F.lit(0).cast("long").alias("tie")), Runs(ends))]
+    return ends
+
+
+def _last_of_runs(rows: DataFrame, about: Runs) -> list[tuple[int, int]]:
+    """The largest (key, tie) that occurs in each run that has rows."""
+    schema = pa.schema([("run", pa.int64()), ("key", pa.int64()), ("tie", pa.int64())])
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, ties = b.column(0).to_numpy(), b.column(1).to_numpy()
+            order = np.lexsort((ties, keys))
+            own = about.of(keys, ties)[order]
+            last = order[np.flatnonzero(np.append(own[1:] != own[:-1], True))] if len(own) else order
+            yield batch(schema, [about.of(keys[last], ties[last]), keys[last], ties[last]])
+
+    found = map_batches(rows, largest, "run long, key long, tie long").groupBy("run").agg(F.max(F.struct("key", "tie")).alias("last")).collect()
+    return sorted((r["last"]["key"], r["last"]["tie"]) for r in found)
 
 
 class Sets:

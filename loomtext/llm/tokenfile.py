@@ -14,14 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyarrow import fs, ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .chunks import Remembered
-from .common import NULL_KEY, batch, cut, map_batches, order_bounds, shared_dir, shuffle_parts
+from .common import NULL_KEY, Runs, batch, cut, map_batches, order_runs, shared_dir, shuffle_parts, tie_of
 from .library import library_encoder
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -135,8 +134,8 @@ class Reader:
 def write(df: DataFrame, path: str, end_id: int, where: str, length: int = 2048, rows: int = 32, width: int = 2, id_col: str = "doc_id", text_col: str = "text", spaced: bool = False) -> DataFrame:
     """Writes the ids of all rows in ascending id order and returns (bucket, name, total) of the files.
 
-    The order is cut into runs at quantiles of the ids (only those reach the driver); each run is one file, and
-    texts cross the network once, compressed. Null texts hold the end id alone; null ids come first; rows with
+    The order is cut into runs at quantiles of the ids (only those reach the driver), an id of very many rows at quantiles
+    of their texts' hashes; each run is one file, and texts cross the network once, compressed. Null texts hold the end id alone; null ids come first; rows with
     equal ids follow each other in the order of their texts' hashes, repeated rows in any order, for they are equal. A
     long text is one document, written batch by batch; an empty table makes no file; other columns are not read. ``width`` is
     the bytes of an id; a vocabulary that does not fit in them is an error.
@@ -145,15 +144,14 @@ def write(df: DataFrame, path: str, end_id: int, where: str, length: int = 2048,
     if (top := max(library_encoder(path, spaced).top, end_id)) >> 8 * width:
         raise ValueError(f"ids up to {top} do not fit in {width} bytes")
     parts = shuffle_parts(spark)
-    bounds = np.array(order_bounds(df, id_col, 4 * parts), np.int64)
+    runs = Runs(order_runs(df, id_col, text_col, 4 * parts))
     sent = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("tie", pa.int64()), ("blob", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(0).cast(pa.int64())
-            at = np.searchsorted(bounds, keys.fill_null(NULL_KEY).to_numpy(zero_copy_only=False), "left")
-            blobs = [common.pack(t.as_py()) for t in b.column(1)]
-            yield batch(sent, [pa.array(at.astype(np.int32)), keys, [xxhash.xxh3_64_intdigest(x) >> 1 for x in blobs], blobs])
+            at = runs.of(keys.fill_null(NULL_KEY).to_numpy(zero_copy_only=False), b.column(2).to_numpy())
+            yield batch(sent, [pa.array(at.astype(np.int32)), keys, b.column(2), [common.pack(t.as_py()) for t in b.column(1)]])
 
     done = pa.schema([("bucket", pa.int32()), ("name", pa.string()), ("total", pa.int64())])
 
@@ -173,7 +171,7 @@ def write(df: DataFrame, path: str, end_id: int, where: str, length: int = 2048,
             out.close()
             yield batch(done, [[current], [f"run-{current:07d}"], [out.total]])
 
-    ordered = map_batches(df.select(id_col, text_col), send, "bucket int, key long, tie long, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("key").asc_nulls_first(), "tie")
+    ordered = map_batches(df.select(id_col, text_col, tie_of(text_col)), send, "bucket int, key long, tie long, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("key").asc_nulls_first(), "tie")
     return cut(map_batches(ordered.select("bucket", "key", "blob"), save, "bucket int, name string, total long"))
 
 

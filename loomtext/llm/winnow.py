@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import NULL_KEY, batch, map_batches, mix64, order_bounds, shuffle_parts
+from .common import NULL_KEY, Runs, batch, map_batches, mix64, order_runs, shuffle_parts, tie_of
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -111,30 +111,29 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one row is followed by itself, an empty one gives no rows. A long text is fingerprinted whole, block by block. Of equal
     hashes in a window the rightmost is chosen. Other columns are not read.
 
-    The order is cut into runs at quantiles of the ids. Texts cross the network once, compressed, and the
-    first row after each run is sent to that run too, so no task sees more than one run and no window spans all
-    rows.
+    The order is cut into runs at quantiles of the ids, an id of very many rows at quantiles of their texts' hashes.
+    Texts cross the network once, compressed, and the first row after each run is sent to that run too, so no task sees
+    more than its runs and no window spans all rows.
     """
     spark = df.sparkSession
     parts = shuffle_parts(spark)
     top = df.agg(F.max(F.coalesce(F.col(id_col), F.lit(NULL_KEY)))).first()[0]
-    bounds = np.array(order_bounds(df, id_col, 4 * parts) if top is not None else [], np.int64)
-    bounds = bounds[bounds < (top if top is not None else 0)]
+    ends = order_runs(df, id_col, text_col, 4 * parts) if top is not None else []
+    start = Runs([ends.pop() if ends and ends[-1][0] == top else (top or 0, Runs.ALL)])  # ends with the first row of all
+    order = Runs(ends)
     sent = pa.schema([("run", pa.int32()), ("after", pa.bool_()), ("key", pa.int64()), ("is_null", pa.bool_()), ("tie", pa.int64()), ("blob", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).cast(pa.int64())
+            ids, ties = b.column(0).cast(pa.int64()), b.column(2).to_numpy()
             keys, nulls = ids.fill_null(NULL_KEY).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
-            own = np.searchsorted(bounds, keys, "left")
-            edge = np.flatnonzero(np.isin(keys, bounds))
-            first = np.flatnonzero(keys == top)
+            own = order.of(keys, ties)
+            edge = np.flatnonzero(order.ends(own, keys, ties))
+            first = np.flatnonzero(start.ends(np.zeros(len(keys), np.int64), keys, ties))
             rows = np.concatenate([np.arange(len(keys)), edge, first])
             runs = np.concatenate([own, own[edge] + 1, np.zeros(len(first), np.int64)]).astype(np.int32)
             after = np.arange(len(rows)) >= len(keys)
-            texts = b.column(1)
-            blobs = [common.pack(t.as_py()) for t in texts]
-            ties = np.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in blobs], np.int64)
+            blobs = [common.pack(t.as_py()) for t in b.column(1)]
             yield batch(sent, [runs, after, keys[rows], nulls[rows], ties[rows], [blobs[i] for i in rows.tolist()]])
 
     out = pa.schema([(id_col, pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -163,9 +162,9 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield batch(out, list(zip(*rows, strict=True)))
 
     ordered = (
-        map_batches(df.select(id_col, text_col), send, "run int, after boolean, key long, is_null boolean, tie long, blob binary")
+        map_batches(df.select(id_col, text_col, tie_of(text_col)), send, "run int, after boolean, key long, is_null boolean, tie long, blob binary")
         .repartition(parts, "run")
-        .sortWithinPartitions("run", "after", F.desc("key"), "tie")
+        .sortWithinPartitions("run", "after", F.desc("key"), F.desc("tie"))
         .select("run", "after", "key", "is_null", "blob")
     )
     return map_batches(ordered, compare, f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from loomtext.llm import bpe, packing, tokenfile
-from loomtext.llm.common import shared_dir
+from loomtext.llm.common import shared_dir, tie_of
 from loomtext.llm.library import library_encoder
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -187,6 +187,17 @@ def test_token_files_documents(documents):
     assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[1]) == expected_tokens([(r["doc_id"], r["text"]) for r in documents.collect()], ids)
 
 
+def test_token_files_of_an_id_of_many_rows(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(40)] + [(7, f"copy {i % 90}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    files = tokenfile.write(df, P.path("word_bpe_49k.json"), 2, f"file://{tmp_path}")
+    assert files.count() >= 12
+    got = sorted((tuple(r) for r in tokenfile.read(files, f"file://{tmp_path}").collect()), key=lambda r: r[1])
+    ids = library("word_bpe_49k.json")
+    own = [(r["doc_id"], r["text"]) for r in df.orderBy("doc_id", tie_of("text")).collect()]
+    assert got == expected_tokens(own, ids)
+
+
 @pytest.mark.parametrize("width", [2, 4])
 def test_token_file_access(tmp_path, width):
     where = f"file://{tmp_path}"

@@ -1,11 +1,14 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
+import pytest
 from nasty_rows import NASTY
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomtext.llm import winnow
+from loomtext.llm.common import Runs, order_runs, tie_of
 
 K, W = 4, 5
 
@@ -87,6 +90,26 @@ def test_documents(spark, documents):
         assert sorted(repr(tuple(r)) for r in got) == expected_edits(rows)
 
 
+@pytest.mark.parametrize("hot", [None, 0, 50, 99])
+def test_an_id_of_many_rows(spark, hot):
+    rows = [(i, f"text {i} " * (i % 7)) for i in range(100) if i != hot] + [(hot, f"copy {i % 50} " * (i % 5 + 1)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: -(1 << 63) if r["doc_id"] is None else r["doc_id"]
+    ends = order_runs(df, "doc_id", "text", 16)
+    order, tied = Runs(ends), df.withColumn("tie", tie_of("text")).collect()
+    sizes = Counter(order.of(np.array([key(r) for r in tied]), np.array([r["tie"] for r in tied])).tolist())
+    assert max(sizes.values()) <= 60 and len(ends) >= 10 and set(sizes) >= set(range(len(ends)))
+    own = [(r["doc_id"], r["text"]) for r in sorted(tied, key=lambda r: (key(r), r["tie"]), reverse=True)]
+    assert sorted(repr(tuple(r)) for r in winnow.edited_likeness(df).collect()) == expected_edits(own)
+
+
+@pytest.mark.parametrize("low", [1 << 62, -(1 << 62)])
+def test_ids_beyond_double_precision(spark, low):
+    rows = [(low + 3 * i, f"text {i} " * (i % 7)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(repr(tuple(r)) for r in winnow.edited_likeness(df).collect()) == expected_edits(rows)
+
+
 def test_small_tables(spark, nasty):
     assert winnow.edited_likeness(nasty.limit(0)).collect() == []
     one = winnow.edited_likeness(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
