@@ -103,9 +103,9 @@ def test_an_id_of_many_rows(spark, hot):
     assert sorted(repr(tuple(r)) for r in winnow.edited_likeness(df).collect()) == expected_edits(own)
 
 
-@pytest.mark.parametrize("low", [1 << 62, -(1 << 62)])
-def test_ids_beyond_double_precision(spark, low):
-    rows = [(low + 3 * i, f"text {i} " * (i % 7)) for i in range(100)]
+@pytest.mark.parametrize("low, step", [(1 << 62, 3), (-(1 << 62), 10**15 + 7)])
+def test_ids_beyond_double_precision(spark, low, step):
+    rows = [(low + step * i, f"text {i} " * (i % 7)) for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(repr(tuple(r)) for r in winnow.edited_likeness(df).collect()) == expected_edits(rows)
 
