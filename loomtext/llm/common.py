@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -212,3 +213,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def join_weighted(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, share: int = 256) -> DataFrame:
+    """Rows of ``left`` with the one row of ``right`` that has their key. ``weight`` says how many of ``total`` rows have a key: keys with a
+    ``share``-th of them or more (so at most ``share``) are broadcast, and no task of the join of the others gets more than such a part
+    for a key. ``left`` is read twice. Rows whose key is missing or null fall away."""
+    heavy = F.col(weight) * share >= total
+    few = F.broadcast(right.where(heavy))
+    rest = left.join(F.broadcast(right.where(heavy).select(*keys)), keys, "left_anti")
+    return left.join(few, keys).unionByName(rest.join(right.where(~heavy), keys))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from a table written in the shared folder."""
+    where = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)
