@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_weighted, stored
+from .common import join_weighted, shuffle_parts, stored
 
 #: Words are what white space parts: the characters that SQL engines and Python agree on, all ASCII.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -89,7 +89,7 @@ def schedule(plan: DataFrame, slots: int, block: int) -> DataFrame:
     unfolded from the sources' intervals in chunks, for reversing bits leads from points to slots as well."""
     bits = max(1, (slots - 1).bit_length())
     chunks = plan.where("high > low").select("*", F.explode(F.sequence(F.shiftright("low", CHUNK.bit_length() - 1), F.shiftright(F.col("high") - 1, CHUNK.bit_length() - 1))).alias("chunk"))
-    dealt = chunks.repartition("place", "chunk")
+    dealt = chunks.repartition(shuffle_parts(plan.sparkSession), "place", "chunk")  # a given number stays, however few the rows before unfolding
     points = dealt.select("*", F.explode(F.sequence(F.greatest("low", F.col("chunk") * CHUNK), F.least("high", (F.col("chunk") + 1) * CHUNK) - 1)).alias("point"))
     ranked = points.withColumn("slot", reversed_bits("point", bits)).withColumn("rank", slot_rank(bits))
     placed = ranked.select("slot", "place", "source_size", "words", F.expr("rank div blocks").alias("round"), (F.col("rank") % F.col("blocks")).alias("block"))
@@ -97,7 +97,7 @@ def schedule(plan: DataFrame, slots: int, block: int) -> DataFrame:
     return placed.select("slot", "place", "block", first.alias("first"), F.least(first + block, F.col("source_size"), F.col("words") - F.col("round") * F.col("source_size")).alias("last"))
 
 
-def laid_out(sized: DataFrame, rows: int, bucket_rows: int = 20_000) -> DataFrame:
+def laid_out(sized: DataFrame, rows: int, bucket_rows: int = 5_000) -> DataFrame:
     """``sized`` with ``start``, the words before a document in its source's shuffled run. Keys are hashes, so their first bits cut a source into
     buckets of even size, whatever its share of the rows; offsets come from the buckets' sums, one row each. Rows that
     are equal in id and text have one key and are not cut."""
@@ -163,4 +163,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     rows = facts["n"] or 0
     joined = join_weighted(sized.select("doc_id", "name", "size", "key"), aims.select("name", "place", "source_size", "target", "n_docs"), ["name"], "n_docs", rows).select("doc_id", "place", "size", "source_size", "target", "key")
     laid = laid_out(joined.where("size > 0"), rows).drop("key")
-    return Mix(laid, joined.where("size = 0").drop("key"), schedule(plan, slots, block), block)
+    # written, so that its size is known where it is joined: it grows with the input
+    return Mix(laid, joined.where("size = 0").drop("key"), stored(schedule(plan, slots, block)), block)
