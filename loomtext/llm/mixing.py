@@ -97,15 +97,27 @@ def schedule(plan: DataFrame, slots: int, block: int) -> DataFrame:
     return placed.select("slot", "place", "block", first.alias("first"), F.least(first + block, F.col("source_size"), F.col("words") - F.col("round") * F.col("source_size")).alias("last"))
 
 
-def laid_out(sized: DataFrame, rows: int, bucket_rows: int = 5_000) -> DataFrame:
+def _offsets(sums: DataFrame, bits: int, at_once: int) -> DataFrame:
+    """(place, bucket, offset): the words in a place's buckets before each, from (place, bucket, n) with ``bits`` of bucket; by groups of
+    2^at_once buckets, and the same over the groups, so that no window is longer."""
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inner = F.coalesce(F.sum("n").over(before.partitionBy("place", "group")), F.lit(0))
+    grouped = sums.withColumn("group", F.shiftright("bucket", at_once))
+    if bits <= at_once:
+        return grouped.select("place", "bucket", inner.alias("offset"))
+    upper = _offsets(grouped.groupBy("place", F.col("group").alias("bucket")).agg(F.sum("n").alias("n")), bits - at_once, at_once)
+    upper = upper.select("place", F.col("bucket").alias("group"), F.col("offset").alias("base"))
+    return grouped.withColumn("inner", inner).join(upper, ["place", "group"]).select("place", "bucket", (F.col("base") + F.col("inner")).alias("offset"))
+
+
+def laid_out(sized: DataFrame, rows: int, bucket_rows: int = 1_000, at_once: int = 14) -> DataFrame:
     """``sized`` with ``start``, the words before a document in its source's shuffled run. Keys are hashes, so their first bits cut a source into
     buckets of even size, whatever its share of the rows; offsets come from the buckets' sums, one row each. Rows that
     are equal in id and text have one key and are not cut."""
     bits = max(0, (rows // bucket_rows).bit_length())
     bucket = F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits) if bits else F.lit(0).cast("long")
     cut_up = sized.withColumn("bucket", bucket)
-    before = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut_up.groupBy("place", "bucket").agg(F.sum("size").alias("n")).select("place", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = _offsets(cut_up.groupBy("place", "bucket").agg(F.sum("size").alias("n")), bits, at_once)
     within = Window.partitionBy("place", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     running = cut_up.withColumn("end", F.sum("size").over(within))
     return running.join(offsets, ["place", "bucket"]).select(*sized.columns, (F.col("offset") + F.col("end") - F.col("size")).alias("start"))

@@ -111,11 +111,11 @@ def test_slots_before(spark, bits, data):
     assert [r["rank"] for r in sorted(got, key=lambda r: r["slot"])] == list(range(high - low))
 
 
-@pytest.mark.parametrize("bucket_rows", [1, 4, 10_000])
-def test_offsets_of_buckets(spark, bucket_rows):
+@pytest.mark.parametrize("bucket_rows, at_once", [(1, 14), (1, 2), (4, 1), (10_000, 14)])
+def test_offsets_of_buckets(spark, bucket_rows, at_once):
     r = random.Random(2)
     rows = [(f"{r.getrandbits(128):032x}", k % 2, r.randrange(9)) for k in range(40)]
-    got = mixing.laid_out(spark.createDataFrame(rows, "key string, place int, size long"), len(rows), bucket_rows)
+    got = mixing.laid_out(spark.createDataFrame(rows, "key string, place int, size long"), len(rows), bucket_rows, at_once)
     for x in got.collect():
         assert x["start"] == sum(n for k, p, n in rows if p == x["place"] and k < x["key"])
 
