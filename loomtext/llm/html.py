@@ -5,8 +5,9 @@ per host in Spark, over pages of different content, and subtrees that recur are
 first. How often they must recur depends on what is at stake: outside a marked article a few pages will do; a container
 at the edge of a page without one must be on more pages; within an article, or between its parts, it must be on a third of all
 pages of the host, so that what some articles share stays.
-Elements whose names merely hint at what is not the article (``search-algorithms``) are counted without their text, and
-on a host with enough pages go only if they recur as well. What recurrence cannot show, for it differs from page to
+Elements whose names merely hint at what is not the article (``search-algorithms``, ``menu-items``) are counted without their text, and
+on a host with enough pages go only if they recur as well; on a smaller host they stay within a marked article. Labels and buttons go with
+their form, and stay where they are in a text. What recurrence cannot show, for it differs from page to
 page or the host has few pages, goes by tag, role, class or id: menus, footers, forms, comments and the like. If
 a page marks its article, only what is marked is kept, and it is never deleted as a whole.
 """
@@ -35,14 +36,16 @@ BLOCK = set(
 CLOSES_P = BLOCK - {"body", "html", "caption", "legend", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th", "tbody"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-DROP_TAGS = set("head nav footer aside form button select object svg canvas audio video dialog menu label input".split()) | RAW
+DROP_TAGS = set("head nav footer aside form select object svg canvas audio video dialog menu".split()) | RAW
 DROP_NAMES = re.compile(
     "ads?|adbox|adsense|adslot|advert.*|alerts?|.*banner|breadcrumbs?|comments?.*|.*cookies?.*|.*consent|copyright|disclaimer|disqus.*|.*footer|gdpr.*|login|masthead|.*menu|modal.*|.*nav|navbar.*|navigation|newsletter.*|notices?|overlay|pager|paginat.*|paywall|popup.*|promo.*|recommend.*|related.*|repl(?:y|ies)|respond|search.*|share.*|sharing|.*sidebar.*|signup|skip.*|social.*|sponsor.*|subscri.*|teasers?|toolbar|topbar|trackbacks?|widget.*"
 )
-#: Names that alone are enough: one of the words, perhaps of a part of the page, perhaps with what such a part is called.
+#: Names that alone are enough: one of the words, perhaps of a part of the page, perhaps with what the frame of such a part is called;
+#: what readers write, whatever its frame. With a word for what such a part holds (``menu-items``) a name is a hint.
 SURE_NAMES = re.compile(
-    "(?:(?:site|page|main|post|entry|article)[-_]?)?(?:ads?|adverts?|advertisements?|advertising|alerts?|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disclaimer|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|overlay|pager|pagination|paywall|popup|promos?|promotions?|recommended|recommendations?|related|replies|reply|respond|search|shares?|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|teasers?|toolbar|topbar|trackbacks?|widgets?)"
-    "(?:[-_]?(?:area|articles?|bar|block|box|buttons?|container|content|form|inner|items?|left|links?|list|media|menu|message|nav|news|notice|panel|posts?|right|section|slot|stories|text|thread|unit|widget|wrap|wrapper))*[-_]?[0-9]*"
+    "(?:(?:site|page|main|post|entry|article)[-_]?)?(?:(?:ads?|adverts?|advertisements?|advertising|alerts?|banner|breadcrumbs?|cookies?|consent|copyright|disclaimer|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|overlay|pager|pagination|paywall|popup|promos?|promotions?|recommended|recommendations?|related|replies|reply|respond|search|shares?|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|teasers?|toolbar|topbar|trackbacks?|widgets?)"
+    "(?:[-_]?(?:area|articles?|bar|block|box|buttons?|container|form|menu|message|nav|news|notice|panel|posts?|section|slot|stories|unit|widget|wrap|wrapper))*"
+    "|comments?(?:[-_]?(?:area|block|box|container|content|form|inner|items?|list|section|text|thread|wrap|wrapper))*)[-_]?[0-9]*"
 )
 CONTAINERS = set("div section aside ul ol table header footer nav form figure".split())
 DROP_ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
@@ -53,7 +56,7 @@ ON_SOME, ON_MANY, ON_MOST = 1, 2, 3
 NOTHING: Mapping[int, int] = {}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>=]+|=)*+)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|[\"'/=]+")
 _NAME = re.compile(r"[a-z]+|\d+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://([^/?#]*)", re.I)
 
@@ -65,8 +68,8 @@ class Element:
         self.tag, self.names, self.whole, self.role, self.hidden, self.marked, self.parts = tag, (), (), "", False, tag in ("article", "main"), []
         self.candidate = self.inside = self.loose = self.sure = False
         if attributes and not attributes.isspace():
-            for name, value in _ATTRIBUTE.findall(attributes):
-                name, value = name.lower(), value.strip("\"'").lower()
+            for name, *values in _ATTRIBUTE.findall(attributes):  # one after another, so that no value is read as a name
+                name, value = name.lower(), "".join(values).lower()
                 if name in ("class", "id"):
                     self.names += tuple(_NAME.findall(value))
                     self.whole += tuple(value.split())
@@ -75,8 +78,10 @@ class Element:
                     self.marked |= value in ("main", "article")
                 elif name == "itemprop":
                     self.marked |= value == "articlebody"
-                else:
-                    self.hidden |= name == "hidden" or value == "true" or "display:none" in value.replace(" ", "")
+                elif name == "hidden" or name == "aria-hidden" and value == "true":
+                    self.hidden = True
+                elif name == "style":
+                    self.hidden |= "display:none" in "".join(value.split())
             if self.names:
                 self.loose = any(map(DROP_NAMES.fullmatch, self.names))
                 self.sure = self.loose and any(map(SURE_NAMES.fullmatch, self.whole))

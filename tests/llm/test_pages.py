@@ -58,6 +58,66 @@ CASES = [
 ]
 
 
+# What stands in an article and its text.
+IN_ARTICLES = [
+    ('<p title="a hidden treasure">x', "x"),
+    ('<p title="x role=navigation y">x', "x"),
+    ('<p data-hidden="no">x', "x"),
+    ('<div data-id="comments">x</div>', "x"),
+    ('<p data-style="display:none">x', "x"),
+    ("<p title='class=\"advert\"'>x", "x"),
+    ("<p data-x=id=menu>x", "x"),
+    ("<p hidden>x", ""),
+    ("<p HIDDEN=hidden>x", ""),
+    ("<p aria-hidden=true>x", ""),
+    ("<p aria-hidden = 'false'>x", "x"),
+    ("<p style='color:red; DISPLAY : none'>x", ""),
+    ("<div title='a > b' class=advert>x</div>", ""),
+    ("<div/class=advert>x</div>", ""),
+    ("<div title=\"\"id=advert>x</div>", ""),
+    ('<ol class="menu-items"><li>x</ol>', "x"),
+    ('<section class="ads-content">x</section>', "x"),
+    ('<div id="social-content">x</div>', "x"),
+    ('<div class="skip-list">x</div>', "x"),
+    ('<section id="related-list">x</section>', "x"),
+    ('<section class="comment-list">x</section>', ""),
+    ("<div class=cookie-notice>x</div>", ""),
+    ("<p>Fill <label>in</label> the x", "Fill in the x"),
+    ("<p>Press <button>Start</button> now", "Press Start now"),
+    ("<form><label>Name</label> <input> <button>Go</button></form>", ""),
+]
+
+
+@pytest.mark.parametrize("part, text", IN_ARTICLES)
+def test_names_and_attributes_in_articles(part, text):
+    assert html.text_of(f"<article><p>first</p>{part}</article>") == "first" + (f"\n\n{text}" if text else "")
+
+
+@pytest.mark.parametrize("n", [8, 60, 500])
+def test_only_recurrence_tells(spark, n):
+    """Pages that mark nothing and name nothing: menu, banner and foot are what all pages of a host share, the rest is its page's own. Every text is right."""
+
+    def page(h, k):
+        menu = "<div><ul>" + "".join(f"<li><a href='/{w}'>{w} of {h}</a></li>" for w in ("Start", "About", "Contact")) + "</ul></div>"
+        more = f"<ul><li>point {k}</li><li>the same point</li></ul>" if k % 3 else ""
+        return f"<body><div>{h} in short</div>{menu}<div><h2>Title {k}</h2><p>Text {k} of {h}.</p>{more}<p>More of {k}.</p></div><div><p>All rights at {h}</p></div></body>"
+
+    rows = [(1000 * h + k, f"http://h{h}.example/{k}", page(f"site {h}", k)) for h in range(2) for k in range(n)]
+    for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), report=True).collect():
+        h, k = divmod(r["page_id"], 1000)
+        points = [f"point {k}", "the same point"] if k % 3 else []
+        assert r["text"].split("\n\n") == [f"Title {k}", f"Text {k} of site {h}.", *points, f"More of {k}."]
+        assert r["named_chars"] == 0 and r["template_chars"] > 0
+
+
+def test_names_in_articles_that_recur(spark):
+    """A hint of a name goes from the articles of a host where most have it."""
+    part = lambda k: f"<div class='related-list'><p>other {k}</p></div>"
+    rows = [(100 * h + k, f"http://h{h}.example/{k}", f"<article><p>text {k}</p>{part(k) if h or k == 3 else ''}</article>") for h in range(2) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {100 * h + k: f"text {k}" + (f"\n\nother {k}" if not h and k == 3 else "") for h in range(2) for k in range(12)}
+
+
 @pytest.mark.parametrize("page, text", CASES)
 def test_cases(page, text):
     if page.startswith("a < b"):
