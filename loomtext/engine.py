@@ -20,8 +20,8 @@ from .functions.urls import parse_query
 from .operators import catalogue
 from .operators.search import EXCLUDE, response, search, search_index
 from .sources.files import TEXT_READER, Reader, Settings, download, file_bytes
-from .sources.messages import as_json, documents
-from .store import DocumentStore, Folder, VersionedTable, index_documents, read_index, write_index
+from .sources.messages import as_json, documents, outcomes
+from .store import DocumentStore, VersionedTable
 
 LOG = logging.getLogger("loomtext")
 #: Stands for the number of results of the configuration.
@@ -76,7 +76,6 @@ class Engine:
         self.store = DocumentStore(spark, f"{self.root}/documents")
         self._indexers = VersionedTable(spark, f"{self.root}/indexers", catalogue.INDEXER)
         self._collections = VersionedTable(spark, f"{self.root}/collections", catalogue.COLLECTION)
-        self._index = Folder(spark, f"{self.root}/index")
         self.readers: dict[str, Reader] = {r.name: r for r in (TEXT_READER, *readers)}
         self.seconds: dict[str, float] = {}
 
@@ -182,44 +181,48 @@ class Engine:
             LOG.error("reader %s failed again: %s", reader.name, e)
         return errors
 
-    def push_documents(self, messages: list[str]) -> int:
+    def push_documents(self, messages: list[str] | DataFrame) -> int:
         """Puts the documents of JSON messages, with the words they bring; returns how many there were. Of one path the last
-        wins, by message, then by place in it. A message without success or without documents is an error."""
-        rows = self.spark.createDataFrame(list(enumerate(messages)), "number long, value string")
-        found = documents(rows, number=F.col("number"))
-        n = found.count()
+        wins, by message, then by place in it. Messages are a list, or a table (number, value) in which numbers grow.
+
+        What becomes of each message is stored by the same commit (``outcomes``), and refused ones are logged: those that cannot be read, that say that a reader failed
+        or that bring no documents. If all are refused, that is stored, and an error is raised."""
+        rows = messages if isinstance(messages, DataFrame) else self.spark.createDataFrame(list(enumerate(messages)), "number long, value string")
+        number = F.col("number")
+        with self.timed("push"):
+            version = self.store.upsert(documents(rows, number=number), outcomes=outcomes(rows, number=number))
+        own = self.outcomes().where(F.col("version") == version)
+        told = own.agg(F.sum("documents").alias("n"), F.count_if(F.col("status") == "refused").alias("refused")).first()
+        if told["refused"]:
+            LOG.warning("%s messages of version %s are refused", told["refused"], version)
+            for r in own.where("status = 'refused'").limit(5).collect():
+                LOG.warning("message %s %s: %s", r["message"], r["status"], r["error"])
+        n = told["n"]
         if not n:
             raise ValueError("no documents")
-        self.store.upsert(found)
         return n
 
-    def _index_name(self) -> str:
-        """The index of the documents as they are: one for each version of them and normal form."""
-        return f"v{self.store.version():08d}-n{self.config.normalizer}"
+    def outcomes(self) -> DataFrame:
+        """(version, message, status, error, documents) of all messages pushed: the version of the documents that came of a push, and a message's number in it."""
+        return self.store.outcomes()
 
     @property
     def indexed(self) -> bool:
-        """Whether the index on disk is of the documents as they are."""
-        return self._index._fs.exists(self._index._path(f"{self._index_name()}/facts/_SUCCESS"))
+        """Whether the stored documents have an index of the configured normal form. It follows them: what is put later brings its own part."""
+        return self.store.indexed(self.config.normalizer)
 
     def build_index(self) -> None:
-        """Writes the index of the newest version, which stays valid until documents change, also for other engines over
-        the same folder. Older ones go."""
-        name = self._index_name()
+        """Indexes the documents that are stored, and from then on those that are put, also by other engines over the same folder."""
         with self.timed("build index"):
-            write_index(self.documents(), f"{self._index.root}/{name}", self.config.normalizer)
-        for s in self._index._fs.listStatus(self._index._path("")):
-            if (old := s.getPath().getName()) != name:
-                self._index.delete(old)
+            self.store.build_index(self.config.normalizer)
 
     def search(self, query: str, k: int | None = CONFIGURED) -> DataFrame:
-        """(path, source, score) of the best ``k`` documents, all if None: by the index if it is of the documents as they
-        are, else by a scan."""
+        """(path, source, score) of the best ``k`` documents, all if None: by the index if there is one, else by a scan."""
         c = self.config
         options = {"k": c.results if k == CONFIGURED else k, "normalizer": c.normalizer, "minus": c.minus, "raw_phrases": c.raw_phrases}
         if self.indexed:
-            root = f"{self._index.root}/{self._index_name()}"
-            return search_index(self.documents(), *read_index(self.spark, root), query, **options, n_docs=index_documents(self.spark, root))
+            posted, n = self.store.postings(c.normalizer)
+            return search_index(self.documents(), posted, None, query, **options, n_docs=n)
         return search(self.documents(), query, **options)
 
     def handle_search(self, query_string: str) -> dict:

@@ -448,7 +448,7 @@ def push_last_wins(spark, sf_dir):
 def store_upserts(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     put = lambda df, text: df.select(F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("source"), text.alias("raw_text"))
-    store = DocumentStore(spark, scratch(spark), most_changes=3)  # the third makes a new base
+    store = DocumentStore(spark, scratch(spark), fan=2)  # sets are made one on the way
     store.upsert(put(rows, F.col("text")))
     store.upsert(put(rows.where("source = 'src1'"), F.lit("second")))
     store.upsert(put(rows.where("lang = 'de'"), F.lit("third")))
@@ -468,6 +468,62 @@ def stream_ingest(spark, sf_dir):
     return store.read().select("path", "raw_text")
 
 
+_CHANGED = """(SELECT CAST(doc_id AS VARCHAR) AS path, 0 AS source, CASE WHEN lang = 'de' THEN 'rewritten with ' || doc_id || ' from ' || doc_id % 7 WHEN source = 'src1' THEN 'again with ' || coalesce(text, '') ELSE text END AS raw_text FROM documents
+    UNION ALL SELECT 'new/' || page_id, 1, html FROM pages)"""
+
+
+def changed_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine that indexed all documents and was given changes and new documents after that."""
+    e = Engine(spark, scratch(spark))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    put = lambda df, path, source, text: e.store.upsert(df.select(path.alias("path"), F.lit(source).alias("source"), text.alias("raw_text")))
+    key = F.col("doc_id").cast("string")
+    put(rows, key, 0, F.col("text"))
+    e.build_index()
+    put(rows.where("source = 'src1'"), key, 0, F.concat(F.lit("again with "), F.coalesce("text", F.lit(""))))
+    put(spark.read.parquet(f"{sf_dir}/pages.parquet"), F.concat(F.lit("new/"), "page_id"), 1, F.col("html"))
+    put(rows.where("lang = 'de'"), key, 0, F.concat(F.lit("rewritten with "), "doc_id", F.lit(" from "), F.col("doc_id") % 7))
+    return e
+
+
+@query(search_sql("the with html 3", minus_words="again", corpus=_CHANGED, k=None))
+def indexed_after_push(spark, sf_dir):
+    """The index follows what is put: replaced documents are not found, new ones are, and no text is read."""
+    return changed_engine(spark, sf_dir).search("the with html 3 -again", k=None)
+
+
+@query(f"SELECT path, source, raw_text FROM {_CHANGED}")
+def documents_after_push(spark, sf_dir):
+    return changed_engine(spark, sf_dir).documents().select("path", "source", "raw_text")
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(number, value): a message of every document; some are cut off, some say that their reader failed, some hold nothing or a document without a path."""
+    one = lambda path: F.struct(path.alias("Path"), F.lit(0).alias("Source"), F.lit(None).cast("map<string,bigint>").alias("Words"), F.lit("c").alias("Collection"), F.col("text").alias("RawText"))
+    key = F.col("doc_id").cast("string")
+    found = F.when(F.col("doc_id") % 5 == 1, F.array().cast("array<struct<Path:string,Source:int,Words:map<string,bigint>,Collection:string,RawText:string>>"))
+    found = found.when(F.col("doc_id") % 5 == 2, F.array(one(key), one(F.lit(None).cast("string")))).otherwise(F.array(one(key)))
+    status = F.when(F.col("doc_id") % 5 == 3, "fail").otherwise("success")
+    message = F.to_json(F.struct(status.alias("status"), F.struct(F.concat(F.lit("about "), "doc_id").alias("message"), found.alias("documents")).alias("data")))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("number"), F.when(F.col("doc_id") % 5 == 4, F.substring(message, 1, 20)).otherwise(message).alias("value"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS message, CASE WHEN doc_id % 5 IN (0, 2) THEN 'accepted' ELSE 'refused' END AS status,
+    CASE doc_id % 5 WHEN 1 THEN 'no documents' WHEN 2 THEN '1 documents without a path' WHEN 3 THEN 'the reader failed: about ' || doc_id WHEN 4 THEN 'not a message' END AS error,
+    CAST(doc_id % 5 IN (0, 2) AS BIGINT) AS documents FROM documents""")
+def push_outcomes(spark, sf_dir):
+    e = Engine(spark, scratch(spark))
+    e.push_documents(_broken(spark, sf_dir))
+    return e.outcomes().select("message", "status", "error", "documents")
+
+
+@query(f"SELECT path, raw_text FROM {D} WHERE CAST(path AS BIGINT) % 5 IN (0, 2)")
+def push_accepted(spark, sf_dir):
+    e = Engine(spark, scratch(spark))
+    e.push_documents(_broken(spark, sf_dir))
+    return e.documents().select("path", "raw_text")
+
+
 _FLAT = "regexp_replace(text, '[\\r\\n]+', ' ', 'g')"
 
 

@@ -7,7 +7,7 @@ from loomtext.engine import Config, Engine
 from loomtext.operators import catalogue
 from loomtext.sources import messages
 from loomtext.sources.files import Settings, Walk, read_pages_by_ocr, read_text, source_type
-from loomtext.store import DocumentStore, read_index
+from loomtext.store import DocumentStore, merge_from, read_index
 from loomtext.streaming.ingest import ingest
 
 
@@ -100,6 +100,7 @@ def test_stream(spark, tmp_path):
     (inbox / "2.json").write_text(messages.success("", [doc("a", "three")]) + "\n")
     ingest(spark, str(inbox), store, str(tmp_path / "ck")).awaitTermination()
     assert {(r["path"], r["raw_text"]) for r in store.read().collect()} == {("a", "three"), ("b", "two")}
+    assert sorted((r["version"], r["status"], r["error"]) for r in store.outcomes().fillna("").collect()) == [(1, "accepted", ""), (1, "refused", "not a message"), (1, "refused", "the reader failed: "), (2, "accepted", "")]
 
 
 def test_catalogue(spark):
@@ -196,22 +197,163 @@ def test_the_last_message_of_a_stream_wins(spark, tmp_path):
     assert [r["raw_text"] for r in store.read().collect()] == ["ww"]
 
 
-def test_changes_and_bases(spark, tmp_path):
-    s = DocumentStore(spark, str(tmp_path / "s"), most_changes=3)
-    put = lambda rows: s.upsert(spark.createDataFrame(rows, "path string, source int, raw_text string"))
+ROW = "path string, source int, raw_text string"
+
+
+def put(spark, store, rows, **options):
+    return store.upsert(spark.createDataFrame(rows, ROW), **options)
+
+
+def texts(df):
+    return {r["path"]: r["raw_text"] for r in df.collect()}
+
+
+@pytest.mark.parametrize("fan", [2, 3])
+def test_changes_and_levels(spark, tmp_path, fan):
+    s = DocumentStore(spark, str(tmp_path / "s"), fan=fan)
     expected = {}
     for k in range(9):
-        rows = [(f"p{i}", 0, f"{k}") for i in ((k,) if k else range(20))]
-        put(rows)
+        rows = [(f"p{i}", 0, f"{k}") for i in ((k, k + 30) if k else range(20))]
         before = dict(expected)
         expected |= {p: t for p, _, t in rows}
-        assert {r["path"]: r["raw_text"] for r in s.read().collect()} == expected
+        assert put(spark, s, rows) == k + 1 == s.version()
+        assert texts(s.read()) == expected and s.n_documents() == len(expected) == s.read().count()
         if k:
-            assert {r["path"]: r["raw_text"] for r in s.read(k).collect()} == before
-        assert len(s._needed(s.version())[1]) < 3
-    assert len(s._sets()[0]) == 1  # changes of single rows never made a new base
+            assert texts(s.read(k)) == before
+        m = s._newest()
+        assert merge_from([s._level(s._rows(m, i)) for i in range(len(m["sets"]))], fan) is None
     with pytest.raises(FileNotFoundError):
         s.read(4)
+    s.compact()
+    assert texts(s.read()) == expected and len(s._newest()["sets"]) == 1 and s.version() == 9
+
+
+@pytest.mark.parametrize("fan", [2, 4, 8])
+@pytest.mark.parametrize("sizes", ["equal", "random", "falling", "one large"])
+def test_rows_are_written_once_a_level(fan, sizes):
+    """Rows written against rows put, by the rule alone: less than two for each level, in thousands of pushes."""
+    import math
+    import random
+
+    r = random.Random(5)
+    level = lambda n: int(math.log(n, fan) + 1e-9)
+    sets, written, pushed = [], 0, 0
+    assert merge_from([3, 1, 2, 0], 3) is None and merge_from([3, 1, 2, 2, 0], 3) == 1 and merge_from([], 2) is None
+    for k in range(3000):
+        n = {"equal": 10, "random": r.choice([1, 10, 100, 1000]), "falling": 3000 - k, "one large": 10**6 if k == 1500 else 10}[sizes]
+        sets.append(n)
+        written, pushed = written + n, pushed + n
+        while (start := merge_from([level(x) for x in sets], fan)) is not None:
+            written += sum(sets[start:])
+            sets[start:] = [sum(sets[start:])]
+        assert len(sets) <= (fan - 1) * (level(pushed) + 1)
+    assert written <= pushed * 2 * (level(pushed) + 1)
+
+
+def test_the_base_is_neither_shuffled_nor_sorted(spark, tmp_path):
+    s = DocumentStore(spark, str(tmp_path / "s"))
+    put(spark, s, [(f"p{i}", 0, f"text {i}") for i in range(500)])
+    put(spark, s, [(f"p{i}", 0, "new") for i in range(0, 40, 3)])
+    put(spark, s, [("p1", 1, "newer"), ("p3", 0, "newer")])
+    plan = s.read()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 3 and "Exchange" not in plan and "Sort" not in plan and "Bucketed: true" in plan
+    found = texts(s.read())
+    assert len(found) == 500 and found["p3"] == found["p1"] == "newer" and found["p6"] == "new" and found["p2"] == "text 2"
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    """Four writers, each with its own store object over one folder, in threads; each also writes a path that all write."""
+    from threading import Thread
+
+    errors = []
+
+    def work(w):
+        try:
+            own = DocumentStore(spark, str(tmp_path / "s"), fan=3)
+            for k in range(4):
+                put(spark, own, [(f"{w}-{k}", 0, f"{w} {k}"), ("all", 0, f"{w}")])
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [Thread(target=work, args=(w,)) for w in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors
+    s = DocumentStore(spark, str(tmp_path / "s"))
+    found = texts(s.read())
+    assert found.pop("all") in "0123" and found == {f"{w}-{k}": f"{w} {k}" for w in range(4) for k in range(4)}
+    assert s.version() == 16 and s.n_documents() == 17 == s.read().count()
+
+
+def test_a_merge_meets_a_push(spark, tmp_path):
+    """What is put while sets are made one replaces rows of theirs, and still does so in the set that comes of them; a merge that comes too late gives up."""
+    s = DocumentStore(spark, str(tmp_path / "s"), fan=100)
+    put(spark, s, [(f"p{i}", 0, "one") for i in range(10)])
+    s.build_index()
+    put(spark, s, [(f"p{i}", 0, "two") for i in range(5)])
+    put(spark, s, [("p1", 0, "three")])
+    old = s._newest()
+    put(spark, s, [("p1", 0, "four"), ("p2", 0, "four"), ("p9", 0, "four"), ("q", 0, "four")])
+    assert s.merge(old, 1)
+    expected = {f"p{i}": "one" for i in range(9)} | {f"p{i}": "two" for i in range(5)} | dict.fromkeys(("p1", "p2", "p9", "q"), "four")
+    assert len(s._newest()["sets"]) == 3 and texts(s.read()) == expected and s.n_documents() == 11
+    assert not s.merge(old, 0) and texts(s.read()) == expected
+    posted, n = s.postings()
+    assert n == 11 and {(r["path"], r["term"]) for r in posted.collect()} == set(expected.items())
+    s.compact()
+    assert texts(s.read()) == expected and {(r["path"], r["term"]) for r in s.postings()[0].collect()} == set(expected.items())
+
+
+def test_a_batch_is_put_once(spark, tmp_path):
+    s = DocumentStore(spark, str(tmp_path / "s"))
+    assert put(spark, s, [("a", 0, "first")], batch=("stream", 0)) == 1
+    assert put(spark, s, [("a", 0, "other stream")], batch=("another", 0)) == 2
+    assert put(spark, s, [("a", 0, "again")], batch=("stream", 0)) == 0
+    assert s.version() == 2 and texts(s.read()) == {"a": "other stream"}
+    assert put(spark, s, [("b", 0, "next")], batch=("stream", 1)) == 3
+
+
+def test_a_number_is_given_once(spark, tmp_path):
+    s = DocumentStore(spark, str(tmp_path / "s"))
+    m = s._newest()
+    assert s._commit(m | {"version": 1}) and not s._commit(m | {"version": 7})
+    assert s._newest()["version"] == 1 and s._numbers() == [1]
+
+
+def test_nothing_is_read_of_texts_by_an_index_that_follows(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"))
+    docs = lambda *ps: [messages.success("", [{"Path": p, "Source": 0, "Words": None, "Collection": "c", "RawText": t} for p, t in ps])]
+    e.push_documents(docs(("a", "alpha beta"), ("b", "beta beta gamma"), ("c", "delta")))
+    e.build_index()
+    for change in ([("a", "gamma")], [("d", "beta"), ("b", "alpha")], [("a", "beta alpha")]):
+        e.push_documents(docs(*change))
+        assert e.indexed
+        plan = e.search("beta alpha -delta")
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "raw_text" not in text and "In(term, [alpha,beta])" in text
+        from loomtext.operators.search import search
+
+        for q in ("beta alpha", "beta -alpha", "+alpha beta", "gamma"):
+            assert found_in(e, q) == [(r["path"], r["score"]) for r in search(e.documents(), q).collect()]
+
+
+def test_every_message_has_an_outcome(spark, tmp_path, caplog):
+    e = Engine(spark, str(tmp_path / "e"))
+    doc = lambda p: {"Path": p, "Source": 0, "Words": {}, "Collection": "c", "RawText": "t"}
+    assert e.push_documents([messages.success("", [doc("a"), doc(None)]), messages.fail("no"), "not json", "", messages.success("", []), messages.pong(), messages.success("", [doc("b")])]) == 2
+    assert [m for m in caplog.messages if "refused" in m][0].startswith("5 messages")
+    with pytest.raises(ValueError):
+        e.push_documents([messages.success("", [doc(None)]), messages.fail()])
+    got = sorted(tuple(r) for r in e.outcomes().fillna("").collect())
+    assert got == [
+        (1, "0", "accepted", "1 documents without a path", 1), (1, "1", "refused", "the reader failed: no", 0), (1, "2", "refused", "not a message", 0), (1, "3", "refused", "not a message", 0),
+        (1, "4", "refused", "no documents", 0), (1, "5", "refused", "no documents", 0), (1, "6", "accepted", "", 1),
+        (2, "0", "refused", "1 documents without a path", 0), (2, "1", "refused", "the reader failed: ", 0),
+    ]
+    e.store.compact()
+    assert sorted(tuple(r) for r in e.outcomes().fillna("").collect()) == got and e.documents().count() == 2
 
 
 def test_an_index_and_its_engine_restart(spark, folder, tmp_path):
@@ -230,7 +372,7 @@ def test_an_index_and_its_engine_restart(spark, folder, tmp_path):
         Engine(spark, str(tmp_path / "e"), readers=[own]).register_indexer(Reader("own", read_text))
     again = Engine(spark, str(tmp_path / "e"), readers=[own])
     again.index(c, modify=lambda df: df.withColumn("raw_text", F.concat("raw_text", F.lit(" omicron"))))
-    assert not e.indexed  # documents are newer
+    assert e.indexed  # the index follows the documents
     assert len(found_in(e, "omicron")) == 4
     assert e.search("alpha beta", k=None).count() == 4
     plan = Engine(spark, str(tmp_path / "e"))
