@@ -19,6 +19,7 @@ from .functions.normalize import LOWER
 from .functions.urls import parse_query
 from .operators import catalogue
 from .operators.search import EXCLUDE, response, search, search_index
+from .plans.query import parse
 from .sources.files import TEXT_READER, Reader, Settings, download, file_bytes
 from .sources.messages import as_json, documents, outcomes
 from .store import DocumentStore, VersionedTable
@@ -221,7 +222,8 @@ class Engine:
         c = self.config
         options = {"k": c.results if k == CONFIGURED else k, "normalizer": c.normalizer, "minus": c.minus, "raw_phrases": c.raw_phrases}
         if self.indexed:
-            posted, n = self.store.postings(c.normalizer)
+            parsed = parse(query, c.normalizer)
+            posted, n = self.store.postings(c.normalizer, sorted({*parsed.terms(c.normalizer), *parsed.plus, *parsed.minus}))
             return search_index(self.documents(), posted, None, query, **options, n_docs=n)
         return search(self.documents(), query, **options)
 

@@ -184,12 +184,13 @@ class DocumentStore(Folder):
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._table_name(name)} ({schema}) USING parquet CLUSTERED BY (path) INTO {buckets} BUCKETS LOCATION '{where}'")
         return self.spark.table(self._table_name(name))
 
-    def _put(self, df: DataFrame, name: str, buckets: int) -> None:
-        df.write.format("parquet").bucketBy(buckets, "path").option("path", f"{self.root}/sets/{name}").saveAsTable(self._table_name(name))
+    def _put(self, df: DataFrame, name: str, buckets: int, *order: str) -> None:
+        out = df.write.format("parquet").mode("overwrite").bucketBy(buckets, "path").option("path", f"{self.root}/sets/{name}")
+        (out.sortBy(*order) if order else out).saveAsTable(self._table_name(name))
 
     def _drop(self, name: str) -> None:
         """Deletes a set, or a part of one."""
-        for n in (name,) if "/" in name else (f"{name}/docs", f"{name}/kills"):
+        for n in (name,) if "/" in name else [f"{name}/{part}" for part in self.names(f"sets/{name}")]:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._table_name(n)}")
         self.delete(f"sets/{name}")
 
@@ -272,7 +273,7 @@ class DocumentStore(Folder):
                 return 0
             for k in self._normalizers(m):
                 if k not in indexed:
-                    self._index_set(name, own, k, rows)
+                    self._index_set(name, own, k, buckets)
                     indexed.append(k)
             killed = self._kill(m, name, own) if rows else {}
             entry = {"name": name, "rows": rows, "killed": killed, "of": [], "index": indexed, "outcomes": outcomes is not None, "version": m["version"] + 1}
@@ -329,7 +330,7 @@ class DocumentStore(Folder):
             self._put(self._all(kills, KILLS), f"{name}/kills", buckets)
         indexed = [k for k in sets[0]["index"] if all(k in s["index"] for s in sets)]
         for k in indexed:
-            self._write_postings(self._all([self._segment(m, i, k) for i in group], ""), name, k, rows)
+            self._put(self._all([self._segment(m, i, k) for i in group], POSTING), f"{name}/index-{k}", buckets, "term", "path")
         if told := any(s["outcomes"] for s in sets):
             self._outcomes(sets).write.parquet(f"{self.root}/sets/{name}/outcomes")
         names = [s["name"] for s in sets]
@@ -355,37 +356,38 @@ class DocumentStore(Folder):
     def indexed(self, normalizer: int = LOWER) -> bool:
         return normalizer in self._normalizers(self._newest())
 
-    def _write_postings(self, posted: DataFrame, name: str, normalizer: int, rows: int) -> None:
-        parts = max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), rows // 1000 + 1))
-        posted.repartitionByRange(parts, "term", "path").sortWithinPartitions("term", "path").write.mode("overwrite").parquet(f"{self.root}/sets/{name}/index-{normalizer}")
-
-    def _index_set(self, name: str, docs: DataFrame, normalizer: int, rows: int) -> None:
+    def _index_set(self, name: str, docs: DataFrame, normalizer: int, buckets: int) -> None:
+        """Postings are in the buckets of their documents, so counting words needs no shuffle and no frequent term is a burden; in a bucket they are
+        sorted by term."""
         docs = docs.withColumn("source", F.when(F.col("type") == "web", 1).otherwise(0))
-        self._write_postings(P.full_postings(docs, normalizer), name, normalizer, rows)
+        self._put(P.full_postings(docs, normalizer), f"{name}/index-{normalizer}", buckets, "term", "path")
 
     def build_index(self, normalizer: int = LOWER) -> None:
-        """Gives every set its postings (path, source, n_terms, term, freq), sorted by term in ranges of terms. From then on each upsert brings its own."""
+        """Gives every set its postings (path, source, n_terms, term, freq). From then on each upsert brings its own."""
         made: list[str] = []
         while True:
             m = self._newest()
             for s in m["sets"]:
                 if normalizer not in s["index"] and s["name"] not in made:
-                    self._index_set(s["name"], self._table(f"{s['name']}/docs", DOCUMENT, m["buckets"]), normalizer, s["rows"])
+                    self._index_set(s["name"], self._table(f"{s['name']}/docs", DOCUMENT, m["buckets"]), normalizer, m["buckets"])
                     made.append(s["name"])
             sets = [s | {"index": sorted({*s["index"], normalizer})} for s in m["sets"]]
             if sets == m["sets"] or self._commit(m | {"sets": sets}):
                 return
 
-    def _segment(self, m: dict, i: int, normalizer: int) -> DataFrame:
-        return self._alive(m, i, self.spark.read.schema(POSTING).parquet(f"{self.root}/sets/{m['sets'][i]['name']}/index-{normalizer}"), bucketed=False)
+    def _segment(self, m: dict, i: int, normalizer: int, wanted: Column | None = None) -> DataFrame:
+        """A set's living postings. The few that a search has ``wanted`` are not worth the buckets."""
+        rows = self._table(f"{m['sets'][i]['name']}/index-{normalizer}", POSTING, m["buckets"])
+        return self._alive(m, i, rows if wanted is None else rows.where(wanted), bucketed=wanted is None)
 
-    def postings(self, normalizer: int = LOWER) -> tuple[DataFrame, int]:
-        """The postings of all living documents, and the number of these. A filter by terms reaches every set's postings, which are
-        sorted by term; what is found there is held against the kills, and no text is read."""
+    def postings(self, normalizer: int = LOWER, terms: list[str] | None = None) -> tuple[DataFrame, int]:
+        """The postings of all living documents, of all ``terms`` or of all there are, and the number of these documents. A search reads the row groups
+        with its terms in each bucket; what is found there is held against the kills, and no text is read."""
         m = self._newest()
         if m["sets"] and normalizer not in self._normalizers(m):
             raise LookupError(f"no index of normal form {normalizer}")
-        return self._all([self._segment(m, i, normalizer) for i in range(len(m["sets"]))], POSTING), sum(self._rows(m, i) for i in range(len(m["sets"])))
+        wanted = None if terms is None else F.col("term").isin(terms)
+        return self._all([self._segment(m, i, normalizer, wanted) for i in range(len(m["sets"]))], POSTING), sum(self._rows(m, i) for i in range(len(m["sets"])))
 
     # cleaning
 
