@@ -82,6 +82,24 @@ def full_postings(docs: DataFrame, normalizer: int = LOWER) -> DataFrame:
     return postings(docs, normalizer, "source", length_column(docs).alias("n_terms"))
 
 
+#: A word and its repetitions in a text of sorted words between spaces; possessive, so that many need no deep recursion.
+_RUN = r"([^ ]+)(?: \1(?![^ ]))*+"
+
+
+def row_postings(docs: DataFrame, normalizer: int = LOWER) -> DataFrame:
+    """``full_postings``, counted inside each row: a text's words are sorted, and equal ones are a run, of which the length tells how many they are. Nothing is
+    aggregated over rows but what a document brings itself, and stems, of which several words have the same."""
+    once = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731  made by a generator, so that it is not made anew for each use
+    text = docs.where(~given()) if brings_words(docs) else docs
+    own = words_column(lower_column(F.col("raw_text")) if normalizer == LOWER else F.col("raw_text"))
+    rows = text.select("path", "source", once(F.sort_array(own), "w")).where("size(w) > 0")
+    rows = rows.select("path", "source", F.size("w").cast("long").alias("n_terms"), once(F.regexp_extract_all(F.array_join("w", " "), F.lit(_RUN), 0), "runs"))
+    rows = rows.select("path", "source", "n_terms", F.explode("runs").alias("run")).select("path", "source", "n_terms", F.substring_index("run", " ", 1).alias("word"), "run")
+    counted = rows.select("path", "source", "n_terms", "word", F.expr("(length(run) + 1) div (length(word) + 1)").alias("freq"))
+    found = counted.withColumnRenamed("word", "term") if normalizer == LOWER else renormalized(counted, normalizer).select("path", "source", "n_terms", "term", "freq")
+    return found.unionByName(full_postings(docs.where(given()), normalizer)) if brings_words(docs) else found
+
+
 def matching_postings(docs: DataFrame, forms: dict[str, str]) -> DataFrame:
     """The rows of ``full_postings`` whose words are in ``forms`` (word: term)."""
     key = ["path", "source", "n_terms"]

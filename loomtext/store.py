@@ -357,10 +357,9 @@ class DocumentStore(Folder):
         return normalizer in self._normalizers(self._newest())
 
     def _index_set(self, name: str, docs: DataFrame, normalizer: int, buckets: int) -> None:
-        """Postings are in the buckets of their documents, so counting words needs no shuffle and no frequent term is a burden; in a bucket they are
-        sorted by term."""
+        """Postings are in the buckets of their documents, so no frequent term is a burden; in a bucket they are sorted by term."""
         docs = docs.withColumn("source", F.when(F.col("type") == "web", 1).otherwise(0))
-        self._put(P.full_postings(docs, normalizer), f"{name}/index-{normalizer}", buckets, "term", "path")
+        self._put(P.row_postings(docs, normalizer), f"{name}/index-{normalizer}", buckets, "term", "path")
 
     def build_index(self, normalizer: int = LOWER) -> None:
         """Gives every set its postings (path, source, n_terms, term, freq). From then on each upsert brings its own."""

@@ -155,3 +155,13 @@ def test_statements():
     assert str(Update("t").set("a = 1", "b = 2").where("c")) == "UPDATE t SET a = 1, b = 2 WHERE c"
     assert insert_into("t", ["a", "b"]) == "INSERT INTO t (a, b) VALUES ($1, $2)"
     assert json_value("words", "cat", "n") == "JSON_VALUE( words , '$.cat' ) AS n"
+
+
+@pytest.mark.parametrize("normalizer", [0, 1, 2])
+def test_postings_counted_inside_rows(spark, normalizer):
+    texts = ["The the THE cat's cat", None, "", " .,! ", "word " * 40_000, "a " * 3 + "aa a aaa", "Ünï Σσς é é", "losing lose loses lost", "x" * 5000]
+    rows = [(f"p{i}", i % 2, t, None) for i, t in enumerate(texts)] + [("m", 0, "not these", {"Own": 2, "own": 3, "words": 1}), ("n", 1, "but these these", {})]
+    docs = spark.createDataFrame(rows, "path string, source int, raw_text string, words map<string,bigint>").repartition(3)
+    for df in (docs, docs.drop("words")):
+        got, expected = (sorted(map(tuple, f(df, normalizer).select("path", "source", "n_terms", "term", "freq").collect())) for f in (P.row_postings, P.full_postings))
+        assert got == expected and len(got) > 15
