@@ -8,7 +8,6 @@ import time
 from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,8 @@ from .functions.display import DIRECTORY, FILE, FIRST_PORT, LAST_PORT
 from .functions.normalize import LOWER
 from .functions.urls import parse_query
 from .operators import catalogue
-from .operators.search import EXCLUDE, response, search, search_index
+from .operators.postings import row_postings
+from .operators.search import EXCLUDE, response, search, search_batch, search_index
 from .plans.query import parse
 from .sources.files import TEXT_READER, Reader, Settings, download, file_bytes
 from .sources.messages import as_json, documents, outcomes
@@ -249,8 +249,13 @@ class Engine:
         own = file_bytes(self.spark, found["path"]) if found["type"] == "file" else None
         return bytes(found["content"] or b"") if own is None else own
 
-    def search_many(self, queries: list[str], k: int | None = CONFIGURED) -> DataFrame:
-        """(query, path, source, score) of several queries in one job."""
-        if not queries:
-            raise ValueError("no queries given")
-        return reduce(DataFrame.unionByName, (self.search(q, k).select(F.lit(q).alias("query"), "path", "source", "score") for q in queries))
+    def search_many(self, queries: list[str] | DataFrame, k: int = CONFIGURED) -> DataFrame:
+        """(query, path, source, score) of several queries by one reading of the index, or of the documents. Equal queries are one."""
+        c = self.config
+        asked = queries if isinstance(queries, DataFrame) else self.spark.createDataFrame([(q,) for q in queries], "query string")
+        asked = asked.select(F.col("query").alias("query_id"), "query").distinct()
+        docs = self.documents()
+        posted, n = self.store.postings(c.normalizer) if self.indexed else (row_postings(docs, c.normalizer), self.store.n_documents())
+        phrases = docs if not isinstance(queries, list) or any('"' in q for q in queries) else None
+        found = search_batch(posted, asked, n, c.results if k == CONFIGURED else k, c.normalizer, c.minus, c.raw_phrases, phrases)
+        return found.withColumnRenamed("query_id", "query")

@@ -13,13 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import LOWER, STEM, lower_column, normalize_column
 from ..functions.stemming import stem_column
-from ..functions.tokens import WORD_LETTER, is_word
-from ..plans.query import ParsedQuery, parse
+from ..functions.tokens import WORD_LETTER, is_word, words_column
+from ..plans.query import ParsedQuery, parse, parse_column, quoted_words_column
 from . import postings as P
 
 EXCLUDE, AS_CODED = "exclude", "as_coded"
@@ -156,6 +156,50 @@ def search_index(docs: DataFrame, posted: DataFrame, lengths: DataFrame | None,
     return _best(ranked.join(docs.select("path", "source"), "path"), k)
 
 
+def query_terms(queries: DataFrame, normalizer: int = LOWER) -> DataFrame:
+    """(query_id, term, times, is_plus, is_minus, n_plus, n_minus, quotes): a row for each term of each query (query_id, query), scored ``times`` times."""
+    parsed = queries.select("query_id", parse_column(F.col("query"), normalizer).alias("p")).select("query_id", "p.*")
+    own = F.concat(words_column("modified"), quoted_words_column(F.col("quotes")))
+    scored = F.filter(F.transform(own, lambda w: normalize_column(w, normalizer)), lambda w: w != "") if normalizer != STEM else None
+    if scored is None:  # a stemmer that is no column expression cannot stand in an array's function
+        words = parsed.select("query_id", "plus", "minus", "quotes", F.posexplode_outer(own).alias("at", "word"))
+        stems = words.select("query_id", "plus", "minus", "quotes", "at", stem_column(F.coalesce("word", F.lit(""))).alias("term"))
+        parsed = stems.groupBy("query_id", "plus", "minus", "quotes").agg(F.collect_list(F.when(F.col("term") != "", F.col("term"))).alias("scored"))
+    else:
+        parsed = parsed.withColumn("scored", scored)
+    need = lambda c: F.size(F.array_distinct(c)).alias(f"n_{c}")
+    each = parsed.select("query_id", "plus", "minus", "quotes", "scored", need("plus"), need("minus"), F.explode(F.array_distinct(F.concat("scored", "plus", "minus"))).alias("term"))
+    times = F.size(F.filter("scored", lambda t: t == F.col("term")))
+    return each.select("query_id", "term", times.alias("times"), F.array_contains("plus", F.col("term")).alias("is_plus"), F.array_contains("minus", F.col("term")).alias("is_minus"), "n_plus", "n_minus", "quotes")
+
+
+def search_batch(posted: DataFrame, queries: DataFrame, n_docs: int | Column, k: int = 10, normalizer: int = LOWER, minus: str = EXCLUDE, raw_phrases: bool = False, docs: DataFrame | None = None) -> DataFrame:
+    """(query_id, path, source, score): the best ``k`` documents of every query (query_id, which is unique, and query), by one reading of full postings.
+
+    A document's postings that a query wants meet in one row, in which required and excluded words are told. That row, one for each query and document that have a word in common, is
+    what is shuffled; document frequencies and scores come from it, and each task passes on ``k`` documents a query. Phrases are sought in the texts of
+    ``docs``; without it, queries must have none. Queries without words have no results; a null query is none.
+    """
+    wanted = query_terms(queries.where("query IS NOT NULL"), normalizer)
+    hits = posted.join(wanted, "term").groupBy("query_id", "path", "source", "n_terms")
+    own = F.when(F.col("times") > 0, F.struct("term", "freq", "times"))
+    found = hits.agg(F.collect_list(own).alias("terms"), F.count_if("is_plus").alias("has_plus"), F.count_if("is_minus").alias("has_minus"), F.first("n_plus").alias("n_plus"), F.first("n_minus").alias("n_minus"), F.first("quotes").alias("quotes"))
+    passed = found.where((F.col("has_plus") == F.col("n_plus")) & (F.col("has_minus") == (F.col("n_minus") if minus == AS_CODED else 0)))
+    if docs is not None:
+        plain = F.col("quotes") if raw_phrases else F.transform("quotes", lambda q: F.regexp_replace(q, r"([\\%_])", r"\\$1"))
+        pattern = F.concat(F.lit("%"), F.array_join(plain, "%"), F.lit("%"))
+        texts = docs.select("path", "raw_text")
+        quoted = passed.where(F.size("quotes") > 0).withColumn("pattern", pattern).join(texts, "path").where("raw_text LIKE pattern").select(*passed.columns)
+        passed = passed.where(F.size("quotes") == 0).unionByName(quoted)
+    each = passed.select("query_id", "path", "source", "n_terms", F.inline("terms"))
+    df = each.groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    total = F.lit(float(n_docs)) if isinstance(n_docs, int) else n_docs.cast("double")
+    weights = df.select("query_id", "term", F.log2(total / (F.col("df") + 1)).alias("weight"))
+    scored = each.join(weights, ["query_id", "term"]).groupBy("query_id", "path", "source").agg(F.round(F.sum(F.col("freq") / F.col("n_terms") * F.col("times") * F.col("weight")), PLACES).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
+    return scored.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
 def raw_frequency_search(posted: DataFrame, query: str, normalizer: int = LOWER, k: int | None = 10) -> DataFrame:
     """Scores are sums of frequencies, without weights."""
     terms = parse(query, normalizer).terms(normalizer)

@@ -19,7 +19,7 @@ from .functions.normalize import LOWER, STEM
 from .functions.stemming import kinds_sql, measure_column, stem_column, stem_sql
 from .functions.tokens import WORD, is_ascii, is_ascii_alphanumeric, is_ascii_digits, is_ascii_letters, utf8_length
 from .operators import catalogue, postings as P
-from .operators.search import AS_CODED, EXCLUDE, by_source, frequency_map, raw_frequency_search, response, search, search_index
+from .operators.search import AS_CODED, EXCLUDE, by_source, frequency_map, raw_frequency_search, response, search, search_batch, search_index
 from .plans.query import ParsedQuery, parse_column, quoted_words_column
 from .plans.statements import Select, run as run_statement
 from .sources import messages
@@ -302,6 +302,20 @@ def format_results(spark, sf_dir):
     return top.select(display.result_line(n, F.col("path"), F.col("score"), F.col("source")).alias("line"))
 
 
+@query(f"""
+    WITH asked AS (SELECT item_id, lower(unnest(regexp_extract_all(translate(text, '+-"', '   '), '{WORD}'))) AS term FROM benchmark),
+    terms AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL), post AS ({POSTINGS}),
+    ln AS (SELECT path, sum(freq) AS n FROM post GROUP BY 1), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+    scored AS (SELECT item_id, path, round(sum(times * CAST(freq AS DOUBLE) / n * log2((SELECT count(*) FROM documents) * 1.0 / (df + 1))), 9) AS score
+        FROM terms JOIN post USING (term) JOIN df USING (term) JOIN ln USING (path) GROUP BY ALL)
+    SELECT item_id AS query_id, path, 0 AS source, score FROM scored QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, path) <= 10""")
+def search_benchmark(spark, sf_dir):
+    """Every passage of the benchmark is a query; the documents are read once."""
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.translate("text", '+-"', "   ").alias("query"))
+    docs = documents(spark, sf_dir)
+    return search_batch(P.row_postings(docs), asked, docs.agg(F.count("*")).scalar())
+
+
 # paths, urls, json, parts
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.normalize import STEM
 from loomtext.operators import postings as P
-from loomtext.operators.search import AS_CODED, by_source, frequency_map, like_pattern, raw_frequency_search, response, search, search_index
+from loomtext.operators.search import AS_CODED, by_source, frequency_map, like_pattern, raw_frequency_search, response, search, search_batch, search_index
 from loomtext.plans.query import ParsedQuery, parse, quoted_words
 from loomtext.plans.statements import Select, Update, insert_into, json_value
 from loomtext.queries import PARSES
@@ -165,3 +165,30 @@ def test_postings_counted_inside_rows(spark, normalizer):
     for df in (docs, docs.drop("words")):
         got, expected = (sorted(map(tuple, f(df, normalizer).select("path", "source", "n_terms", "term", "freq").collect())) for f in (P.row_postings, P.full_postings))
         assert got == expected and len(got) > 15
+
+
+@pytest.mark.parametrize("normalizer", [0, STEM])
+@pytest.mark.parametrize("minus", ["exclude", AS_CODED])
+def test_a_batch_is_its_queries_one_by_one(spark, normalizer, minus):
+    texts = ["the cats of the town", "a cat and the dog", "dogs of the_town, 100% dogs", "", None, "the the the", "town hall; the mayor's cat", "cat cat cat"]
+    docs = spark.createDataFrame([(f"p{i}", i % 2, t) for i, t in enumerate(texts)], "path string, source int, raw_text string").repartition(2)
+    asked = ["cat", "the town", "cat cat the", "+cat the", "the -cat", "+the -town -dog dogs", '"of the" cat', 'the "the" "town"', 'dogs "the_town"', 'dogs "100%"', '"a_c"', "nowhere", "", '""', "+ cat", "cat -cat", '+cat "cat"']
+    posted = P.row_postings(docs, normalizer)
+    queries = spark.createDataFrame([(i, q) for i, q in enumerate(asked)] + [(99, None)], "query_id int, query string")
+    for raw in (False, True) if normalizer == 0 and minus == "exclude" else (False,):
+        got = {}
+        for r in search_batch(posted, queries, len(texts), 3, normalizer, minus, raw, docs).collect():
+            got.setdefault(r["query_id"], []).append((r["path"], r["source"], r["score"]))
+        for i, q in enumerate(asked):
+            expected = [tuple(r) for r in search_index(docs, posted, None, q, 3, normalizer, minus, raw, n_docs=len(texts)).collect()]
+            assert sorted(got.get(i, [])) == sorted(expected), q
+
+
+def test_a_batch_reads_postings_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("source"), F.col("text").alias("raw_text"))
+    queries = spark.createDataFrame([(1, "the of"), (2, "with +from")], "query_id int, query string")
+    found = search_batch(P.row_postings(docs), queries, 200)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final and "WindowGroupLimit" in final
