@@ -250,12 +250,12 @@ class Engine:
         return bytes(found["content"] or b"") if own is None else own
 
     def search_many(self, queries: list[str] | DataFrame, k: int = CONFIGURED) -> DataFrame:
-        """(query, path, source, score) of several queries by one reading of the index, or of the documents. Equal queries are one."""
+        """(query, path, source, score) of several queries at once, by the index or else the documents' words. Equal queries are one."""
         c = self.config
         asked = queries if isinstance(queries, DataFrame) else self.spark.createDataFrame([(q,) for q in queries], "query string")
         asked = asked.select(F.col("query").alias("query_id"), "query").distinct()
         docs = self.documents()
-        posted, n = self.store.postings(c.normalizer) if self.indexed else (row_postings(docs, c.normalizer), self.store.n_documents())
+        posted, n = self.store.segments(c.normalizer) if self.indexed else (row_postings(docs, c.normalizer), self.store.n_documents())
         phrases = docs if not isinstance(queries, list) or any('"' in q for q in queries) else None
         found = search_batch(posted, asked, n, c.results if k == CONFIGURED else k, c.normalizer, c.minus, c.raw_phrases, phrases)
         return found.withColumnRenamed("query_id", "query")

@@ -12,6 +12,7 @@ read. Both take any normal form; for stems, a scan first finds which words have
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,31 +174,42 @@ def query_terms(queries: DataFrame, normalizer: int = LOWER) -> DataFrame:
     return each.select("query_id", "term", times.alias("times"), F.array_contains("plus", F.col("term")).alias("is_plus"), F.array_contains("minus", F.col("term")).alias("is_minus"), "n_plus", "n_minus", "quotes")
 
 
-def search_batch(posted: DataFrame, queries: DataFrame, n_docs: int | Column, k: int = 10, normalizer: int = LOWER, minus: str = EXCLUDE, raw_phrases: bool = False, docs: DataFrame | None = None) -> DataFrame:
-    """(query_id, path, source, score): the best ``k`` documents of every query (query_id, which is unique, and query), by one reading of full postings.
+def search_batch(posted: DataFrame | list[DataFrame], queries: DataFrame, n_docs: int | Column, k: int = 10, normalizer: int = LOWER, minus: str = EXCLUDE, raw_phrases: bool = False, docs: DataFrame | None = None, broadcast_limit: int = 200_000) -> DataFrame:
+    """(query_id, path, source, score): the best ``k`` documents of every query (query_id, which is unique, and query), from full postings, perhaps in several
+    frames with other documents each.
 
-    A document's postings that a query wants meet in one row, in which required and excluded words are told. That row, one for each query and document that have a word in common, is
-    what is shuffled; document frequencies and scores come from it, and each task passes on ``k`` documents a query. Phrases are sought in the texts of
+    The queries' terms are one table, broadcast up to ``broadcast_limit`` rows, else joined by shuffles. What a query and a document have in common meets in one row, in
+    which required and excluded words are told; where postings are in buckets of paths, as a store's are, that needs no shuffle. First the document frequencies are
+    counted, one row a query and term; then documents are scored, and each task passes on ``k`` a query. Phrases are sought in the texts of
     ``docs``; without it, queries must have none. Queries without words have no results; a null query is none.
     """
     wanted = query_terms(queries.where("query IS NOT NULL"), normalizer)
-    hits = posted.join(wanted, "term").groupBy("query_id", "path", "source", "n_terms")
-    own = F.when(F.col("times") > 0, F.struct("term", "freq", "times"))
-    found = hits.agg(F.collect_list(own).alias("terms"), F.count_if("is_plus").alias("has_plus"), F.count_if("is_minus").alias("has_minus"), F.first("n_plus").alias("n_plus"), F.first("n_minus").alias("n_minus"), F.first("quotes").alias("quotes"))
-    passed = found.where((F.col("has_plus") == F.col("n_plus")) & (F.col("has_minus") == (F.col("n_minus") if minus == AS_CODED else 0)))
-    if docs is not None:
-        plain = F.col("quotes") if raw_phrases else F.transform("quotes", lambda q: F.regexp_replace(q, r"([\\%_])", r"\\$1"))
-        pattern = F.concat(F.lit("%"), F.array_join(plain, "%"), F.lit("%"))
-        texts = docs.select("path", "raw_text")
-        quoted = passed.where(F.size("quotes") > 0).withColumn("pattern", pattern).join(texts, "path").where("raw_text LIKE pattern").select(*passed.columns)
-        passed = passed.where(F.size("quotes") == 0).unionByName(quoted)
-    each = passed.select("query_id", "path", "source", "n_terms", F.inline("terms"))
-    df = each.groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    few = wanted.count() <= broadcast_limit
+    small = F.broadcast if few else lambda df: df
+
+    def common(segment: DataFrame) -> DataFrame:
+        """(query_id, path, source, n_terms, term, freq, times) of the documents that pass a query's filters."""
+        hits = segment.join(small(wanted), "term").groupBy("query_id", "path", "source", "n_terms")
+        own = F.when(F.col("times") > 0, F.struct("term", "freq", "times"))
+        found = hits.agg(F.collect_list(own).alias("terms"), F.count_if("is_plus").alias("has_plus"), F.count_if("is_minus").alias("has_minus"), F.first("n_plus").alias("n_plus"), F.first("n_minus").alias("n_minus"), F.first("quotes").alias("quotes"))
+        passed = found.where((F.col("has_plus") == F.col("n_plus")) & (F.col("has_minus") == (F.col("n_minus") if minus == AS_CODED else 0)))
+        if docs is not None:
+            plain = F.col("quotes") if raw_phrases else F.transform("quotes", lambda q: F.regexp_replace(q, r"([\\%_])", r"\\$1"))
+            pattern = F.concat(F.lit("%"), F.array_join(plain, "%"), F.lit("%"))
+            quoted = passed.where(F.size("quotes") > 0).withColumn("pattern", pattern).join(docs.select("path", "raw_text"), "path").where("raw_text LIKE pattern").select(*passed.columns)
+            passed = passed.where(F.size("quotes") == 0).unionByName(quoted)
+        return passed.select("query_id", "path", "source", "n_terms", F.inline("terms"))
+
+    each = [common(p) for p in ([posted] if isinstance(posted, DataFrame) else posted)]
+    if not each:
+        return queries.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, path string, source int, score double")
+    df = reduce(DataFrame.unionByName, [e.select("query_id", "term") for e in each]).groupBy("query_id", "term").agg(F.count("*").alias("df"))
     total = F.lit(float(n_docs)) if isinstance(n_docs, int) else n_docs.cast("double")
     weights = df.select("query_id", "term", F.log2(total / (F.col("df") + 1)).alias("weight"))
-    scored = each.join(weights, ["query_id", "term"]).groupBy("query_id", "path", "source").agg(F.round(F.sum(F.col("freq") / F.col("n_terms") * F.col("times") * F.col("weight")), PLACES).alias("score"))
+    part = F.col("freq") / F.col("n_terms") * F.col("times") * F.col("weight")
+    scored = [e.join(small(weights), ["query_id", "term"]).groupBy("query_id", "path", "source").agg(F.round(F.sum(part), PLACES).alias("score")) for e in each]
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
-    return scored.withColumn("place", place).where(F.col("place") <= k).drop("place")
+    return reduce(DataFrame.unionByName, scored).withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
 def raw_frequency_search(posted: DataFrame, query: str, normalizer: int = LOWER, k: int | None = 10) -> DataFrame:

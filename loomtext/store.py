@@ -388,6 +388,13 @@ class DocumentStore(Folder):
         wanted = None if terms is None else F.col("term").isin(terms)
         return self._all([self._segment(m, i, normalizer, wanted) for i in range(len(m["sets"]))], POSTING), sum(self._rows(m, i) for i in range(len(m["sets"])))
 
+    def segments(self, normalizer: int = LOWER) -> tuple[list[DataFrame], int]:
+        """The living postings set by set, each in its buckets, and the number of documents."""
+        m = self._newest()
+        if m["sets"] and normalizer not in self._normalizers(m):
+            raise LookupError(f"no index of normal form {normalizer}")
+        return [self._segment(m, i, normalizer) for i in range(len(m["sets"]))], sum(self._rows(m, i) for i in range(len(m["sets"])))
+
     # cleaning
 
     def _clean(self) -> None:

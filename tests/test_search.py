@@ -184,11 +184,18 @@ def test_a_batch_is_its_queries_one_by_one(spark, normalizer, minus):
             assert sorted(got.get(i, [])) == sorted(expected), q
 
 
-def test_a_batch_reads_postings_once(spark, sf_dir):
+def test_a_batch_over_a_store_moves_only_what_is_best(spark, sf_dir, tmp_path):
+    from loomtext.engine import Engine
+
+    e = Engine(spark, str(tmp_path / "e"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("source"), F.col("text").alias("raw_text"))
-    queries = spark.createDataFrame([(1, "the of"), (2, "with +from")], "query_id int, query string")
-    found = search_batch(P.row_postings(docs), queries, 200)
-    found.collect()
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("== Initial Plan ==")[0]
-    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final and "WindowGroupLimit" in final
+    asked = ["the of", "with +from", "is -the", "and of and"]
+    e.store.upsert(docs)
+    scanned = sorted(map(tuple, e.search_many(asked).collect()))
+    e.build_index()
+    e.store.upsert(docs.where("path % 7 = 1"))
+    found = e.search_many(asked)
+    assert sorted(map(tuple, found.collect())) == scanned == sorted((q, *r) for q in asked for r in map(tuple, e.search(q).collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [x for x in plan.split("\n") if " Exchange " in x]
+    assert dealt and all("query_id" in x and "path" not in x.split("ENSURE")[0] for x in dealt) and "raw_text" not in plan and "WindowGroupLimit" in plan
