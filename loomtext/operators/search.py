@@ -178,36 +178,48 @@ def search_batch(posted: DataFrame | list[DataFrame], queries: DataFrame, n_docs
     """(query_id, path, source, score): the best ``k`` documents of every query (query_id, which is unique, and query), from full postings, perhaps in several
     frames with other documents each.
 
-    The queries' terms are one table, broadcast up to ``broadcast_limit`` rows, else joined by shuffles. What a query and a document have in common meets in one row, in
-    which required and excluded words are told; where postings are in buckets of paths, as a store's are, that needs no shuffle. First the document frequencies are
-    counted, one row a query and term; then documents are scored, and each task passes on ``k`` a query. Phrases are sought in the texts of
-    ``docs``; without it, queries must have none. Queries without words have no results; a null query is none.
+    The queries' terms are one table, broadcast up to ``broadcast_limit`` rows, else joined by shuffles. Queries of plain words need the documents of each
+    term counted, then a sum for each query and document. Of others, what a query and a document have in common first meets in one row, in which required and
+    excluded words are told. Where postings are in buckets of paths, as a store's are, neither needs a shuffle, and each task passes on ``k`` documents a
+    query. Phrases are sought in the texts of ``docs``; without it, queries must have none. Queries without words have no results; a null query is none.
     """
     wanted = query_terms(queries.where("query IS NOT NULL"), normalizer)
-    few = wanted.count() <= broadcast_limit
-    small = F.broadcast if few else lambda df: df
+    plain = (F.col("n_plus") == 0) & (F.col("n_minus") == 0) & (F.size("quotes") == 0)
+    size = wanted.agg(F.count("*").alias("n"), F.count_if(~plain).alias("filtered")).first()
+    small = F.broadcast if size["n"] <= broadcast_limit else lambda df: df
+    segments = [posted] if isinstance(posted, DataFrame) else posted
+    total = F.lit(float(n_docs)) if isinstance(n_docs, int) else n_docs.cast("double")
+    weight = F.log2(total / (F.col("df") + 1)).alias("weight")
+    scored: list[DataFrame] = []
+
+    def score(rows: DataFrame) -> DataFrame:
+        part = F.col("freq") / F.col("n_terms") * F.col("times") * F.col("weight")
+        return rows.groupBy("query_id", "path", "source").agg(F.round(F.sum(part), PLACES).alias("score"))
 
     def common(segment: DataFrame) -> DataFrame:
         """(query_id, path, source, n_terms, term, freq, times) of the documents that pass a query's filters."""
-        hits = segment.join(small(wanted), "term").groupBy("query_id", "path", "source", "n_terms")
+        hits = segment.join(small(wanted.where(~plain)), "term").groupBy("query_id", "path", "source", "n_terms")
         own = F.when(F.col("times") > 0, F.struct("term", "freq", "times"))
         found = hits.agg(F.collect_list(own).alias("terms"), F.count_if("is_plus").alias("has_plus"), F.count_if("is_minus").alias("has_minus"), F.first("n_plus").alias("n_plus"), F.first("n_minus").alias("n_minus"), F.first("quotes").alias("quotes"))
         passed = found.where((F.col("has_plus") == F.col("n_plus")) & (F.col("has_minus") == (F.col("n_minus") if minus == AS_CODED else 0)))
         if docs is not None:
-            plain = F.col("quotes") if raw_phrases else F.transform("quotes", lambda q: F.regexp_replace(q, r"([\\%_])", r"\\$1"))
-            pattern = F.concat(F.lit("%"), F.array_join(plain, "%"), F.lit("%"))
+            literal = F.col("quotes") if raw_phrases else F.transform("quotes", lambda q: F.regexp_replace(q, r"([\\%_])", r"\\$1"))
+            pattern = F.concat(F.lit("%"), F.array_join(literal, "%"), F.lit("%"))
             quoted = passed.where(F.size("quotes") > 0).withColumn("pattern", pattern).join(docs.select("path", "raw_text"), "path").where("raw_text LIKE pattern").select(*passed.columns)
             passed = passed.where(F.size("quotes") == 0).unionByName(quoted)
         return passed.select("query_id", "path", "source", "n_terms", F.inline("terms"))
 
-    each = [common(p) for p in ([posted] if isinstance(posted, DataFrame) else posted)]
-    if not each:
+    if size["n"] > size["filtered"]:
+        terms = wanted.where(plain).select("query_id", "term", "times")
+        asked = small(terms.select("term").distinct())
+        df = reduce(DataFrame.unionByName, [s.join(asked, "term", "left_semi").select("term") for s in segments]).groupBy("term").agg(F.count("*").alias("df")) if segments else None
+        scored += [score(s.join(small(terms.join(df, "term").select("query_id", "term", "times", weight)), "term")) for s in segments]
+    if size["filtered"]:
+        each = [common(s) for s in segments]
+        df = reduce(DataFrame.unionByName, [e.select("query_id", "term") for e in each]).groupBy("query_id", "term").agg(F.count("*").alias("df")) if each else None
+        scored += [score(e.join(small(df.select("query_id", "term", weight)), ["query_id", "term"])) for e in each]
+    if not scored:
         return queries.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, path string, source int, score double")
-    df = reduce(DataFrame.unionByName, [e.select("query_id", "term") for e in each]).groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    total = F.lit(float(n_docs)) if isinstance(n_docs, int) else n_docs.cast("double")
-    weights = df.select("query_id", "term", F.log2(total / (F.col("df") + 1)).alias("weight"))
-    part = F.col("freq") / F.col("n_terms") * F.col("times") * F.col("weight")
-    scored = [e.join(small(weights), ["query_id", "term"]).groupBy("query_id", "path", "source").agg(F.round(F.sum(part), PLACES).alias("score")) for e in each]
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
     return reduce(DataFrame.unionByName, scored).withColumn("place", place).where(F.col("place") <= k).drop("place")
 
