@@ -189,11 +189,11 @@ def search_batch(posted: DataFrame | list[DataFrame], queries: DataFrame, n_docs
     small = F.broadcast if size["n"] <= broadcast_limit else lambda df: df
     segments = [posted] if isinstance(posted, DataFrame) else posted
     total = F.lit(float(n_docs)) if isinstance(n_docs, int) else n_docs.cast("double")
-    weight = F.log2(total / (F.col("df") + 1)).alias("weight")
+    weight = F.log2(total / (F.col("df") + 1))
     scored: list[DataFrame] = []
 
     def score(rows: DataFrame) -> DataFrame:
-        part = F.col("freq") / F.col("n_terms") * F.col("times") * F.col("weight")
+        part = F.col("freq") / F.col("n_terms") * F.col("weight")
         return rows.groupBy("query_id", "path", "source").agg(F.round(F.sum(part), PLACES).alias("score"))
 
     def common(segment: DataFrame) -> DataFrame:
@@ -209,15 +209,16 @@ def search_batch(posted: DataFrame | list[DataFrame], queries: DataFrame, n_docs
             passed = passed.where(F.size("quotes") == 0).unionByName(quoted)
         return passed.select("query_id", "path", "source", "n_terms", F.inline("terms"))
 
-    if size["n"] > size["filtered"]:
+    if segments and size["n"] > size["filtered"]:
         terms = wanted.where(plain).select("query_id", "term", "times")
         asked = small(terms.select("term").distinct())
-        df = reduce(DataFrame.unionByName, [s.join(asked, "term", "left_semi").select("term") for s in segments]).groupBy("term").agg(F.count("*").alias("df")) if segments else None
-        scored += [score(s.join(small(terms.join(df, "term").select("query_id", "term", "times", weight)), "term")) for s in segments]
-    if size["filtered"]:
+        df = reduce(DataFrame.unionByName, [s.join(asked, "term", "left_semi").select("term") for s in segments]).groupBy("term").agg(F.count("*").alias("df"))
+        scored += [score(s.join(small(terms.join(df, "term").select("query_id", "term", (F.col("times") * weight).alias("weight"))), "term")) for s in segments]
+    if segments and size["filtered"]:
         each = [common(s) for s in segments]
-        df = reduce(DataFrame.unionByName, [e.select("query_id", "term") for e in each]).groupBy("query_id", "term").agg(F.count("*").alias("df")) if each else None
-        scored += [score(e.join(small(df.select("query_id", "term", weight)), ["query_id", "term"])) for e in each]
+        df = reduce(DataFrame.unionByName, [e.select("query_id", "term") for e in each]).groupBy("query_id", "term").agg(F.count("*").alias("df"))
+        weights = small(df.select("query_id", "term", weight.alias("weight")))
+        scored += [score(e.join(weights, ["query_id", "term"]).withColumn("weight", F.col("times") * F.col("weight"))) for e in each]
     if not scored:
         return queries.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, path string, source int, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))

@@ -330,7 +330,7 @@ class DocumentStore(Folder):
             self._put(self._all(kills, KILLS), f"{name}/kills", buckets)
         indexed = [k for k in sets[0]["index"] if all(k in s["index"] for s in sets)]
         for k in indexed:
-            self._put(self._all([self._segment(m, i, k) for i in group], POSTING), f"{name}/index-{k}", buckets, "term", "path")
+            self._put(self._all([self._segment(m, i, k) for i in group], POSTING), f"{name}/index-{k}", buckets, "term")
         if told := any(s["outcomes"] for s in sets):
             self._outcomes(sets).write.parquet(f"{self.root}/sets/{name}/outcomes")
         names = [s["name"] for s in sets]
@@ -359,7 +359,7 @@ class DocumentStore(Folder):
     def _index_set(self, name: str, docs: DataFrame, normalizer: int, buckets: int) -> None:
         """Postings are in the buckets of their documents, so no frequent term is a burden; in a bucket they are sorted by term."""
         docs = docs.withColumn("source", F.when(F.col("type") == "web", 1).otherwise(0))
-        self._put(P.row_postings(docs, normalizer), f"{name}/index-{normalizer}", buckets, "term", "path")
+        self._put(P.row_postings(docs, normalizer), f"{name}/index-{normalizer}", buckets, "term")
 
     def build_index(self, normalizer: int = LOWER) -> None:
         """Gives every set its postings (path, source, n_terms, term, freq). From then on each upsert brings its own."""
