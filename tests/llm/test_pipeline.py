@@ -67,7 +67,7 @@ def test_queries_against_sql(spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "embeddings", "documents"):
+    for t in ("pages", "embeddings", "documents", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         df, rel = queries.QUERIES[name](spark, sf_dir), con.sql(sql)
