@@ -18,7 +18,7 @@ from .functions.normalize import LOWER
 from .functions.urls import parse_query
 from .operators import catalogue
 from .operators.postings import row_postings
-from .operators.search import EXCLUDE, response, search, search_batch, search_index
+from .operators.search import EXCLUDE, either, phrase_terms, response, search, search_batch, search_index
 from .plans.query import parse
 from .sources.files import TEXT_READER, Reader, Settings, download, file_bytes
 from .sources.messages import as_json, documents, outcomes
@@ -223,7 +223,8 @@ class Engine:
         options = {"k": c.results if k == CONFIGURED else k, "normalizer": c.normalizer, "minus": c.minus, "raw_phrases": c.raw_phrases}
         if self.indexed:
             parsed = parse(query, c.normalizer)
-            posted, n = self.store.postings(c.normalizer, sorted({*parsed.terms(c.normalizer), *parsed.plus, *parsed.minus}))
+            own = F.col("term").isin(sorted({*parsed.terms(c.normalizer), *parsed.plus, *parsed.minus}))
+            posted, n = self.store.postings(c.normalizer, either([own, *phrase_terms(parsed.quotes, c.normalizer, c.raw_phrases)]))
             return search_index(self.documents(), posted, None, query, **options, n_docs=n)
         return search(self.documents(), query, **options)
 

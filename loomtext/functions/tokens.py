@@ -22,6 +22,11 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
+def word_places(text: str) -> list[tuple[str, int, int]]:
+    """Words with where they begin and end."""
+    return [(m[0], *m.span()) for m in _WORD.finditer(text)]
+
+
 def words_column(text: Column | str) -> Column:
     """Array of the words of a string column, in text order; null for null."""
     return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(WORD), 0)

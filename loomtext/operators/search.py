@@ -17,9 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import LOWER, STEM, lower_column, normalize_column
+from ..functions.normalize import LOWER, STEM, lower_column, normalize, normalize_column
 from ..functions.stemming import stem_column
-from ..functions.tokens import WORD_LETTER, is_word, words_column
+from ..functions.tokens import WORD_LETTER, is_word, word_places, words_column
 from ..plans.query import ParsedQuery, parse, parse_column, quoted_words_column
 from . import postings as P
 
@@ -27,6 +27,10 @@ EXCLUDE, AS_CODED = "exclude", "as_coded"
 PLACES = 9
 #: Words with the query's stems that may be listed in a plan; with more of them, all postings are made.
 MOST_FORMS = 10_000
+#: Documents that may be listed in a plan, so that a reader skips the texts of others; with more of them, they are joined.
+MOST_PATHS = 500
+#: Values of one IN that Spark hands to Parquet as they are (its default); of longer lists only the bounds arrive there.
+_IN_FILTER = 10
 
 
 def like_pattern(quotes: Sequence[str], raw: bool = False) -> str:
@@ -36,6 +40,41 @@ def like_pattern(quotes: Sequence[str], raw: bool = False) -> str:
     return "%" + "%".join(quotes) + "%"
 
 
+def phrase_words(quotes: Sequence[str], normalizer: int = LOWER, raw: bool = False) -> list[tuple[str, str]]:
+    """What a text with the phrases has among its terms: for each pair one that is the ``whole`` form, has it as its ``beginning`` or ``end``, or as a ``part``.
+
+    A word inside a phrase is a word of the text. One at an end of it may be the end, the beginning or a part of the text's word, and so may one next
+    to a sign of LIKE if phrases are ``raw``. Ends and parts are found by reading all terms, so they are asked only if there is nothing else; of stems, only
+    whole words are known. An empty list means that terms cannot tell.
+    """
+    pairs: dict[tuple[str, str], None] = {}
+    for quote in quotes:
+        is_open = lambda i, q=quote: not 0 <= i < len(q) or (raw and q[i] in "%_\\")
+        for word, start, end in word_places(quote):
+            kind = {(False, False): "whole", (False, True): "beginning", (True, False): "end", (True, True): "part"}[is_open(start - 1), is_open(end)]
+            if (form := normalize(word, normalizer)) and (kind == "whole" or normalizer != STEM):
+                pairs[kind, form] = None
+    return [p for p in pairs if p[0] in ("whole", "beginning")] or list(pairs)
+
+
+def phrase_terms(quotes: Sequence[str], normalizer: int = LOWER, raw: bool = False) -> list[Column]:
+    """``phrase_words`` as conditions on the column ``term``."""
+    term = F.col("term")
+    tests = {"whole": term.__eq__, "beginning": term.startswith, "end": term.endswith, "part": term.contains}
+    return [tests[kind](form) for kind, form in phrase_words(quotes, normalizer, raw)]
+
+
+def among(column: str, values: Sequence[str]) -> Column:
+    """Whether a column has one of ``values``, said so that Parquet skips what lies between them."""
+    ordered = sorted(values)
+    groups = [F.col(column).isin(ordered[i : i + _IN_FILTER]) for i in range(0, len(ordered), _IN_FILTER)]
+    return F.col(column).isin(ordered) & either(groups) if len(groups) > 1 else either(groups)
+
+
+def either(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
+
+
 def _frequency(term: str, normalizer: int, brings_words: bool) -> Column:
     """Times that ``term`` is a whole word of the column ``low``, or what the document's own counts say; what is no
     word is none in a text."""
@@ -111,7 +150,7 @@ def _search_stems(docs: DataFrame, query: str, parsed: ParsedQuery, terms: list[
     wanted = sorted({*terms, *parsed.plus, *parsed.minus})
     forms = P.vocabulary(docs).select("word", stem_column(F.col("word")).alias("term")).where(F.col("term").isin(wanted)).limit(MOST_FORMS + 1).collect()
     posted = P.matching_postings(docs, {r["word"]: r["term"] for r in forms}) if len(forms) <= MOST_FORMS else P.full_postings(docs, STEM)
-    return search_index(docs, posted, None, query, k, STEM, minus, raw)
+    return search_index(docs, posted, None, query, k, STEM, minus, raw, stored=False)
 
 
 def frequency_map(posted: DataFrame, docs: DataFrame, word: str, query: ParsedQuery, minus: str = EXCLUDE, raw_phrases: bool = False) -> DataFrame:
@@ -119,7 +158,8 @@ def frequency_map(posted: DataFrame, docs: DataFrame, word: str, query: ParsedQu
     return _filtered(posted.where(F.col("term") == word).select("path", "freq"), posted, docs, query, minus, raw_phrases)
 
 
-def _filtered(hits: DataFrame, posted: DataFrame, docs: DataFrame, query: ParsedQuery, minus: str, raw: bool) -> DataFrame:
+def _filtered(hits: DataFrame, posted: DataFrame, docs: DataFrame, query: ParsedQuery, minus: str, raw: bool, stored_as: int | None = None) -> DataFrame:
+    """``stored_as``: the normal form of postings that are stored, by which texts with the query's phrases are looked up."""
     if query.plus:
         hits = hits.join(P.has_all(posted, query.plus), "path", "left_semi")
     if query.minus:
@@ -128,21 +168,39 @@ def _filtered(hits: DataFrame, posted: DataFrame, docs: DataFrame, query: Parsed
         else:
             hits = hits.join(posted.where(F.col("term").isin(query.minus)).select("path"), "path", "left_anti")
     if query.quotes:
+        if stored_as is not None:
+            docs = _candidates(hits, posted, docs, phrase_terms(query.quotes, stored_as, raw))
         hits = hits.join(docs.where(F.col("raw_text").like(like_pattern(query.quotes, raw))).select("path"), "path", "left_semi")
     return hits
 
 
-def search_index(docs: DataFrame, posted: DataFrame, lengths: DataFrame | None, query: str, k: int | None = 10, normalizer: int = LOWER, minus: str = EXCLUDE, raw_phrases: bool = False, n_docs: int | None = None) -> DataFrame:
+def _candidates(hits: DataFrame, posted: DataFrame, docs: DataFrame, conditions: list[Column]) -> DataFrame:
+    """The documents of ``hits`` whose terms meet all ``conditions``, or that bring words of their own, which tell nothing of their texts. Up to
+    ``MOST_PATHS`` are listed, and a store, whose documents are sorted by path, reads the pages with them; more are joined, in a store's buckets."""
+    paths = hits.select("path").distinct()
+    if conditions:
+        met = [F.bool_or(c).alias(f"met{i}") for i, c in enumerate(conditions)]
+        able = posted.where(either(conditions)).groupBy("path").agg(*met).where(" AND ".join(f"met{i}" for i in range(len(met)))).select("path")
+        if P.brings_words(docs):
+            able = able.unionByName(docs.where(P.given()).select("path"))
+        paths = paths.join(able, "path", "left_semi")
+    listed = [r["path"] for r in paths.limit(MOST_PATHS + 1).collect()]
+    if len(listed) <= MOST_PATHS:
+        return docs.where(among("path", listed))
+    return docs.join(paths.hint("shuffle_hash"), "path", "left_semi")
+
+
+def search_index(docs: DataFrame, posted: DataFrame, lengths: DataFrame | None, query: str, k: int | None = 10, normalizer: int = LOWER, minus: str = EXCLUDE, raw_phrases: bool = False, n_docs: int | None = None, stored: bool = True) -> DataFrame:
     """The same over postings. Full postings (path, source, n_terms, term, freq) need neither ``lengths`` nor, unless
     there are phrases, the documents; ``n_docs`` saves counting them. The query's own words, one row each, are the only
-    side that is broadcast."""
+    side that is broadcast. Phrases are sought in the texts of documents that, by their postings if these are ``stored``, can have them."""
     parsed = parse(query, normalizer)
     terms = parsed.terms(normalizer)
     if not terms:
         return _empty(docs)
     full = {"source", "n_terms"} <= set(posted.columns)
     own = posted.where(F.col("term").isin(sorted(set(terms))))
-    hits = _filtered(own, posted, docs, parsed, minus, raw_phrases)
+    hits = _filtered(own, posted, docs, parsed, minus, raw_phrases, normalizer if stored else None)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     times = F.create_map(*[F.lit(x) for t in sorted(set(terms)) for x in (t, terms.count(t))])
     total = F.lit(float(n_docs)) if n_docs is not None else docs.agg(F.count("*")).scalar().cast("double")

@@ -509,6 +509,12 @@ def indexed_after_push(spark, sf_dir):
     return changed_engine(spark, sf_dir).search("the with html 3 -again", k=None)
 
 
+@query(search_sql("with of the and", like="%of the and%", corpus=_CHANGED, k=None))
+def indexed_phrase(spark, sf_dir):
+    """A phrase over documents that changed after they were indexed: texts are read of those that can have it by their terms."""
+    return changed_engine(spark, sf_dir).search('with "of the and"', k=None)
+
+
 @query(f"SELECT path, source, raw_text FROM {_CHANGED}")
 def documents_after_push(spark, sf_dir):
     return changed_engine(spark, sf_dir).documents().select("path", "source", "raw_text")

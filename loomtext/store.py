@@ -22,6 +22,8 @@ from .operators.catalogue import DOCUMENT, newest
 KILLS = "set string, path string"
 OUTCOMES = "version long, message string, status string, error string, documents long"
 POSTING = "path string, source int, n_terms long, term string, freq long"
+#: Rows of a Parquet page of documents, which are sorted by path in their buckets: a reader of some paths skips the pages between them.
+PAGE_ROWS = 100
 
 
 class Folder:
@@ -120,7 +122,7 @@ def merge_from(levels: list[int], fan: int) -> int | None:
 class DocumentStore(Folder):
     """The table of documents, with upsert by path.
 
-    An upsert writes a set: its own documents, bucketed by path; what they replace in older sets (``kills``: a set's name and a path); if the
+    An upsert writes a set: its own documents, bucketed and in a bucket sorted by path; what they replace in older sets (``kills``: a set's name and a path); if the
     store is indexed, their postings; and perhaps a table of outcomes. Sets of like size are made one (``merge_from``), postings without reading
     texts again; the number of sets grows with the logarithm of the rows, and so does how often a row is written. A reader takes
     every set without its kills. Both sides of that join are in the same buckets, so no text is shuffled or sorted.
@@ -186,6 +188,8 @@ class DocumentStore(Folder):
 
     def _put(self, df: DataFrame, name: str, buckets: int, *order: str) -> None:
         out = df.write.format("parquet").mode("overwrite").bucketBy(buckets, "path").option("path", f"{self.root}/sets/{name}")
+        if name.endswith("/docs"):
+            out = out.option("parquet.page.row.count.limit", PAGE_ROWS)
         (out.sortBy(*order) if order else out).saveAsTable(self._table_name(name))
 
     def _drop(self, name: str) -> None:
@@ -260,7 +264,7 @@ class DocumentStore(Folder):
         ready = docs.select(path, kind, has("collection_id", "string").alias("collection_id"), "raw_text", has("words", "map<string,bigint>").alias("words"), F.current_timestamp().alias("last_indexed"), F.struct(order).alias("_order"))
         ready = newest(ready, "path", F.col("_order"), ready.columns[:-1])
         name, buckets = uuid.uuid4().hex, m["buckets"]
-        self._put(ready.repartition(buckets, "path"), f"{name}/docs", buckets)
+        self._put(ready.repartition(buckets, "path"), f"{name}/docs", buckets, "path")
         own = self._table(f"{name}/docs", DOCUMENT, buckets)
         rows = own.count()
         if outcomes is not None:
@@ -318,7 +322,7 @@ class DocumentStore(Folder):
         name, buckets, group = uuid.uuid4().hex, m["buckets"], range(start, len(m["sets"]))
         sets = [m["sets"][i] for i in group]
         old = {n for s in m["sets"][:start] for n in (s["name"], *s["of"])}
-        self._put(self._all([self._docs(m, i) for i in group], DOCUMENT), f"{name}/docs", buckets)
+        self._put(self._all([self._docs(m, i) for i in group], DOCUMENT), f"{name}/docs", buckets, "path")
         rows = sum(self._rows(m, i) for i in group)
         killed: dict[str, int] = {}
         for s in sets:
@@ -379,13 +383,13 @@ class DocumentStore(Folder):
         rows = self._table(f"{m['sets'][i]['name']}/index-{normalizer}", POSTING, m["buckets"])
         return self._alive(m, i, rows if wanted is None else rows.where(wanted), bucketed=wanted is None)
 
-    def postings(self, normalizer: int = LOWER, terms: list[str] | None = None) -> tuple[DataFrame, int]:
-        """The postings of all living documents, of all ``terms`` or of all there are, and the number of these documents. A search reads the row groups
+    def postings(self, normalizer: int = LOWER, terms: list[str] | Column | None = None) -> tuple[DataFrame, int]:
+        """The postings of all living documents, of the ``terms`` that are listed or meet a condition or of all there are, and the number of these documents. A search reads the row groups
         with its terms in each bucket; what is found there is held against the kills, and no text is read."""
         m = self._newest()
         if m["sets"] and normalizer not in self._normalizers(m):
             raise LookupError(f"no index of normal form {normalizer}")
-        wanted = None if terms is None else F.col("term").isin(terms)
+        wanted = F.col("term").isin(terms) if isinstance(terms, list) else terms
         return self._all([self._segment(m, i, normalizer, wanted) for i in range(len(m["sets"]))], POSTING), sum(self._rows(m, i) for i in range(len(m["sets"])))
 
     def segments(self, normalizer: int = LOWER) -> tuple[list[DataFrame], int]:

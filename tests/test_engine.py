@@ -7,7 +7,7 @@ from loomtext.engine import Config, Engine
 from loomtext.operators import catalogue
 from loomtext.sources import messages
 from loomtext.sources.files import Settings, Walk, read_pages_by_ocr, read_text, source_type
-from loomtext.store import DocumentStore, merge_from, read_index
+from loomtext.store import PAGE_ROWS, DocumentStore, merge_from, read_index
 from loomtext.streaming.ingest import ingest
 
 
@@ -339,6 +339,40 @@ def test_nothing_is_read_of_texts_by_an_index_that_follows(spark, tmp_path):
             assert found_in(e, q) == [(r["path"], r["score"]) for r in search(e.documents(), q).collect()]
 
 
+def scans(plan):
+    """(columns, rows read) of the scans below a plan that has run."""
+    name = plan.nodeName()
+    if name.startswith("Scan"):
+        return [(plan.output().mkString(","), plan.metrics().apply("numOutputRows").value())]
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else [plan.children().apply(i) for i in range(plan.children().size())]
+    return [s for p in inner for s in scans(p)]
+
+
+def test_a_phrase_reads_the_texts_that_can_have_it(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"))
+    rows = [(f"p{i:05d}", 0, f"one in number{i} of many, {'a rare find' if i % 400 == 7 else 'a find rarely'} here") for i in range(1200)]
+    put(spark, e.store, rows)
+    e.build_index()
+    put(spark, e.store, [("p00407", 0, "no more"), ("new", 0, "such a rare finding"), ("other", 0, "a rarer find")])
+    e.push_documents([messages.success("", [{"Path": "told", "Source": 0, "Words": {"such": 1}, "Collection": "c", "RawText": "has a rare find too"}])])
+    plan = e.search('such here "a rare find"', k=None)
+    got = {r["path"] for r in plan.collect()}
+    assert got == {"p00007", "p00807", "new", "told"}
+    read = [n for columns, n in scans(plan._jdf.queryExecution().executedPlan()) if "raw_text" in columns]
+    assert read and sum(read) <= 3 * PAGE_ROWS + 10  # of 1,204
+
+    from loomtext.operators import search as search_module
+
+    for q in ('such here "a rare find"', 'one "er1199 of m"'):
+        usual = found_in(e, q)
+        assert usual == [(r["path"], r["score"]) for r in search_module.search(e.documents(), q).collect()], q
+        search_module.MOST_PATHS, most = 0, search_module.MOST_PATHS
+        try:
+            assert found_in(e, q) == usual, q
+        finally:
+            search_module.MOST_PATHS = most
+
+
 def test_every_message_has_an_outcome(spark, tmp_path, caplog):
     e = Engine(spark, str(tmp_path / "e"))
     doc = lambda p: {"Path": p, "Source": 0, "Words": {}, "Collection": "c", "RawText": "t"}

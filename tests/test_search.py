@@ -5,9 +5,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomtext.functions.normalize import STEM
+from loomtext.functions.normalize import LOWER, STEM
 from loomtext.operators import postings as P
-from loomtext.operators.search import AS_CODED, by_source, frequency_map, like_pattern, raw_frequency_search, response, search, search_batch, search_index
+from loomtext.operators import search as search_module
+from loomtext.operators.search import AS_CODED, by_source, frequency_map, like_pattern, phrase_words, raw_frequency_search, response, search, search_batch, search_index
 from loomtext.plans.query import ParsedQuery, parse, quoted_words
 from loomtext.plans.statements import Select, Update, insert_into, json_value
 from loomtext.queries import PARSES
@@ -199,3 +200,47 @@ def test_a_batch_over_a_store_moves_only_what_is_best(spark, sf_dir, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     dealt = [x for x in plan.split("\n") if " Exchange " in x]
     assert dealt and all("path" not in x.split("ENSURE")[0] for x in dealt) and "raw_text" not in plan and "WindowGroupLimit" in plan
+
+
+@given(st.lists(st.text(alphabet="aAbß İΣς,%_\\\\", max_size=12), min_size=1, max_size=2), st.text(alphabet="aAbß İΣς,", max_size=30), st.sampled_from([LOWER, STEM, 2]))
+@settings(max_examples=300, deadline=None)
+def test_a_text_with_a_phrase_meets_its_terms(quotes, around, normalizer):
+    """Of any phrases and any text made with them: what they ask of terms is true of one of the text's own."""
+    from loomtext.functions.normalize import normalize
+    from loomtext.functions.tokens import words
+
+    text = around[:10] + around[10:20].join(quotes) + around[20:]
+    own = [normalize(w, normalizer) for w in words(text)]
+    asked = phrase_words(quotes, normalizer)
+    tests = {"whole": str.__eq__, "beginning": str.startswith, "end": str.endswith, "part": str.__contains__}
+    assert all(any(tests[kind](t, w) for t in own) for kind, w in asked)
+
+
+def test_what_phrases_ask_of_terms():
+    assert phrase_words(["of The, house"], LOWER) == [("whole", "the"), ("beginning", "house")]
+    assert phrase_words(["rolling stones gather"], STEM) == [("whole", "stone")]
+    assert phrase_words(["ing"], LOWER) == [("part", "ing")] and phrase_words(["ing "], LOWER) == [("end", "ing")]
+    assert phrase_words([" ing"], LOWER) == [("beginning", "ing")] and phrase_words([", ", ""], LOWER) == []
+    assert phrase_words([" a_b %cd "], LOWER, raw=True) == [("beginning", "a")]
+    assert phrase_words([" a_b %cd "], LOWER) == [("whole", "a"), ("whole", "b"), ("whole", "cd")]
+    assert phrase_words(["ing"], STEM) == []
+
+
+PHRASES = ['cat "hello"', '"hello world"', 'the "at sat"', 'the "he"', 'sat "t s"', 'the ", " -dog', 'the "cat" "sat"', '"e c"', 'the "THE"', 'the ""', 'the "the "']
+
+
+@pytest.mark.parametrize("most", [0, 2, 500])
+@pytest.mark.parametrize("normalizer", [LOWER, STEM])
+def test_phrases_by_listed_and_by_joined_documents(docs, monkeypatch, most, normalizer):
+    monkeypatch.setattr(search_module, "MOST_PATHS", most)
+    stored = P.full_postings(docs, normalizer).cache()
+    for q in PHRASES:
+        assert found(search_index(docs, stored, None, q, normalizer=normalizer)) == found(search(docs, q, normalizer=normalizer)), q
+    for q in ('the "c_t"', 'the "c%t s"', 'the "\\\\%"'):
+        assert found(search_index(docs, stored, None, q, normalizer=normalizer, raw_phrases=True)) == found(search(docs, q, normalizer=normalizer, raw_phrases=True)), q
+
+
+def test_stems_of_more_forms_than_may_be_listed(docs, monkeypatch):
+    usual = [found(search(docs, q, normalizer=STEM)) for q in QUERIES]
+    monkeypatch.setattr(search_module, "MOST_FORMS", 0)
+    assert [found(search(docs, q, normalizer=STEM)) for q in QUERIES] == usual
