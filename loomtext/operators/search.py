@@ -11,6 +11,7 @@ read. Both take any normal form; for stems, a scan first finds which words have
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -170,13 +171,26 @@ def _filtered(hits: DataFrame, posted: DataFrame, docs: DataFrame, query: Parsed
     if query.quotes:
         if stored_as is not None:
             docs = _candidates(hits, posted, docs, phrase_terms(query.quotes, stored_as, raw))
-        hits = hits.join(docs.where(F.col("raw_text").like(like_pattern(query.quotes, raw))).select("path"), "path", "left_semi")
+        quoted = docs.where(F.col("raw_text").like(like_pattern(query.quotes, raw))).select("path")
+        hits = hits.join(quoted if stored_as is None else cut(quoted), "path", "left_semi")
     return hits
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, written to the session's checkpoint folder; a local session without one gets a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomtext-"))
+    return df.checkpoint()
+
+
 def _candidates(hits: DataFrame, posted: DataFrame, docs: DataFrame, conditions: list[Column]) -> DataFrame:
     """The documents of ``hits`` whose terms meet all ``conditions``, or that bring words of their own, which tell nothing of their texts. Up to
-    ``MOST_PATHS`` are listed, and a store, whose documents are sorted by path, reads the pages with them; more are joined, in a store's buckets."""
+    ``MOST_PATHS`` are listed, and a store, whose documents are sorted by path, reads the pages with them; more are joined, in a store's buckets. Paths
+    are written out, for a store's are a union over its sets, which would be made anew for each set of documents."""
     paths = hits.select("path").distinct()
     if conditions:
         met = [F.bool_or(c).alias(f"met{i}") for i, c in enumerate(conditions)]
@@ -184,6 +198,7 @@ def _candidates(hits: DataFrame, posted: DataFrame, docs: DataFrame, conditions:
         if P.brings_words(docs):
             able = able.unionByName(docs.where(P.given()).select("path"))
         paths = paths.join(able, "path", "left_semi")
+    paths = cut(paths)
     listed = [r["path"] for r in paths.limit(MOST_PATHS + 1).collect()]
     if len(listed) <= MOST_PATHS:
         return docs.where(among("path", listed))
