@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import LOWER, STEM, lower_column, normalize_column
-from ..functions.stemming import stem_column
+from ..functions.stemming import stem_column, stems_column
 from ..functions.tokens import WORD, words_column
 
 
+#: Repeated paths that may be broadcast; with more of them, their rows are told by a shuffled join.
+FEW_PATHS = 10_000
+
+
 def brings_words(docs: DataFrame) -> bool:
     return "words" in docs.columns
 
@@ -47,9 +51,34 @@ def _counts(docs: DataFrame, key: list[str], lowered: bool = False, wanted: list
     return docs.select(*key, F.inline(pairs)).groupBy(*key, "word").agg(F.sum("freq").alias("freq"))
 
 
+def split_repeated(docs: DataFrame, nulls: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose path no other row has, and the others (None if there are none). Only paths are read to tell them, by a job of its own. ``nulls``: whether
+    a null path is one like others; if not, its rows are each alone."""
+    paths = docs.select("path") if nulls else docs.select("path").where("path IS NOT NULL")
+    twice = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select(F.col("path").alias("_path"))
+    n = twice.count()
+    if not n:
+        return docs, None
+    twice = F.broadcast(twice) if n <= FEW_PATHS else twice
+    same = F.col("path").eqNullSafe(F.col("_path"))
+    return docs.join(twice, same, "left_anti"), docs.join(twice, same, "left_semi")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(path, word, freq), case kept."""
-    return _counts(docs, ["path"])
+    return _by_path(docs, None).withColumnRenamed("term", "word")
+
+
+def _by_path(docs: DataFrame, normalizer: int | None) -> DataFrame:
+    """(path, term, freq), a term being the word itself without a ``normalizer``. Texts are counted inside their rows, so that no task holds the words of all of its rows; only
+    those of paths that several rows have, and what documents bring, are aggregated."""
+    once, more = split_repeated(docs)
+    aggregated = lambda df: _counts(df, ["path"], lowered=normalizer == LOWER).withColumnRenamed("word", "term") if normalizer in (None, LOWER) else renormalized(_counts(df, ["path"]), normalizer)
+    text = once.where(~given()) if brings_words(docs) else once
+    found = _in_rows(text, ["path"], normalizer).select("path", "term", "freq")
+    if brings_words(docs):
+        found = found.unionByName(aggregated(once.where(given())))
+    return found if more is None else found.unionByName(aggregated(more))
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -67,46 +96,66 @@ def renormalized(counts: DataFrame, normalizer: int = LOWER) -> DataFrame:
     return termed.groupBy(*key, "term").agg(F.sum("freq").alias("freq"))
 
 
-def postings(docs: DataFrame, normalizer: int = LOWER, *more: str | Column) -> DataFrame:
-    """(path, ``more``, term, freq): ``more`` are columns that a document has one value of."""
-    if more:
-        docs = docs.select("path", *more, *(c for c in ("raw_text", "words") if c in docs.columns))
-    key = [c for c in docs.columns if c not in ("raw_text", "words")] if more else ["path"]
-    if normalizer == LOWER:  # one aggregation instead of two
-        return _counts(docs, key, lowered=True).withColumnRenamed("word", "term")
-    return renormalized(_counts(docs, key), normalizer)
+def postings(docs: DataFrame, normalizer: int = LOWER) -> DataFrame:
+    """(path, term, freq)."""
+    return _by_path(docs, normalizer)
 
 
 def full_postings(docs: DataFrame, normalizer: int = LOWER) -> DataFrame:
-    """(path, source, n_terms, term, freq): all that a score needs."""
-    return postings(docs, normalizer, "source", length_column(docs).alias("n_terms"))
+    """(path, source, n_terms, term, freq): all that a score needs. Rows of one path each have the words of all."""
+    once, more = split_repeated(docs, nulls=False)
+    found = row_postings(once, normalizer)
+    return found if more is None else found.unionByName(_together(more, _by_path(more, normalizer)))
+
+
+def _together(docs: DataFrame, posted: DataFrame) -> DataFrame:
+    """(path, source, n_terms, term, freq) of documents that share paths: each row has what its path has in ``posted`` (path, term, freq)."""
+    lengths = docs.select("path", length_column(docs).alias("n")).groupBy("path").agg(F.sum("n").alias("n_terms"))
+    return docs.select("path", "source").join(posted, "path").join(lengths, "path").select("path", "source", "n_terms", "term", "freq")
 
 
 #: A word and its repetitions in a text of sorted words between spaces; possessive, so that many need no deep recursion.
 _RUN = r"([^ ]+)(?: \1(?![^ ]))*+"
 
 
-def row_postings(docs: DataFrame, normalizer: int = LOWER) -> DataFrame:
-    """``full_postings``, counted inside each row: a text's words are sorted, and equal ones are a run, of which the length tells how many they are. Nothing is
-    aggregated over rows but what a document brings itself, and stems, of which several words have the same."""
+def _in_rows(docs: DataFrame, key: list[str], normalizer: int | None) -> DataFrame:
+    """(key..., n_terms, term, freq) of texts, counted inside each row: a text's words are sorted, and equal ones are a run, of which the length tells how many they are. Stems
+    are made of a row's whole list; an empty one is a sign that no word has until it is counted."""
     once = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731  made by a generator, so that it is not made anew for each use
-    text = docs.where(~given()) if brings_words(docs) else docs
     own = words_column(lower_column(F.col("raw_text")) if normalizer == LOWER else F.col("raw_text"))
-    rows = text.select("path", "source", once(F.sort_array(own), "w")).where("size(w) > 0")
-    rows = rows.select("path", "source", F.size("w").cast("long").alias("n_terms"), once(F.regexp_extract_all(F.array_join("w", " "), F.lit(_RUN), 0), "runs"))
-    rows = rows.select("path", "source", "n_terms", F.explode("runs").alias("run")).select("path", "source", "n_terms", F.substring_index("run", " ", 1).alias("word"), "run")
-    counted = rows.select("path", "source", "n_terms", "word", F.expr("(length(run) + 1) div (length(word) + 1)").alias("freq"))
-    found = counted.withColumnRenamed("word", "term") if normalizer == LOWER else renormalized(counted, normalizer).select("path", "source", "n_terms", "term", "freq")
-    return found.unionByName(full_postings(docs.where(given()), normalizer)) if brings_words(docs) else found
+    if normalizer == STEM:
+        rows = docs.select(*key, stems_column(own, "!").alias("stems")).select(*key, once(F.sort_array("stems"), "w")).where("size(w) > 0")
+    else:
+        rows = docs.select(*key, once(F.sort_array(own), "w")).where("size(w) > 0")
+    rows = rows.select(*key, F.size("w").cast("long").alias("n_terms"), once(F.regexp_extract_all(F.array_join("w", " "), F.lit(_RUN), 0), "runs"))
+    rows = rows.select(*key, "n_terms", F.explode("runs").alias("run")).select(*key, "n_terms", F.substring_index("run", " ", 1).alias("word"), "run")
+    term = F.when(F.col("word") != "!", F.col("word")).otherwise("") if normalizer == STEM else F.col("word")
+    return rows.select(*key, "n_terms", term.alias("term"), F.expr("(length(run) + 1) div (length(word) + 1)").alias("freq"))
+
+
+def row_postings(docs: DataFrame, normalizer: int = LOWER) -> DataFrame:
+    """``full_postings`` of documents of different paths. Nothing is aggregated over rows but what a document brings itself."""
+    key = ["path", "source"]
+    found = _in_rows(docs.where(~given()) if brings_words(docs) else docs, key, normalizer)
+    if not brings_words(docs):
+        return found
+    own = docs.where(given()).select(*key, length_column(docs).alias("n_terms"), "raw_text", "words")
+    counts = _counts(own, [*key, "n_terms"], lowered=normalizer == LOWER)
+    return found.unionByName(counts.withColumnRenamed("word", "term") if normalizer == LOWER else renormalized(counts, normalizer))
 
 
 def matching_postings(docs: DataFrame, forms: dict[str, str]) -> DataFrame:
     """The rows of ``full_postings`` whose words are in ``forms`` (word: term)."""
-    key = ["path", "source", "n_terms"]
-    ready = docs.select("path", "source", length_column(docs).alias("n_terms"), *(c for c in ("raw_text", "words") if c in docs.columns))
-    found = _counts(ready, key, wanted=sorted(forms)) if forms else _counts(ready.limit(0), key)
-    terms = F.create_map(*[F.lit(x) for pair in sorted(forms.items()) for x in pair])[F.col("word")] if forms else F.col("word")
-    return found.withColumn("term", terms).groupBy(*key, "term").agg(F.sum("freq").alias("freq"))
+
+    def matching(rows: DataFrame, key: list[str]) -> DataFrame:
+        found = _counts(rows, key, wanted=sorted(forms)) if forms else _counts(rows.limit(0), key)
+        terms = F.create_map(*[F.lit(x) for pair in sorted(forms.items()) for x in pair])[F.col("word")] if forms else F.col("word")
+        return found.withColumn("term", terms).groupBy(*key, "term").agg(F.sum("freq").alias("freq"))
+
+    once, more = split_repeated(docs, nulls=False)
+    ready = once.select("path", "source", length_column(docs).alias("n_terms"), *(c for c in ("raw_text", "words") if c in docs.columns))
+    found = matching(ready, ["path", "source", "n_terms"])
+    return found if more is None else found.unionByName(_together(more, matching(more, ["path"])))
 
 
 def document_lengths(docs: DataFrame) -> DataFrame:

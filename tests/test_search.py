@@ -1,3 +1,4 @@
+from collections import Counter
 from math import log2
 
 import pytest
@@ -5,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomtext.functions.normalize import LOWER, STEM
+from loomtext.functions.normalize import LOWER, STEM, normalize
+from loomtext.functions.tokens import words
 from loomtext.operators import postings as P
 from loomtext.operators import search as search_module
 from loomtext.operators.search import AS_CODED, by_source, frequency_map, like_pattern, phrase_words, raw_frequency_search, response, search, search_batch, search_index
@@ -244,3 +246,35 @@ def test_stems_of_more_forms_than_may_be_listed(docs, monkeypatch):
     usual = [found(search(docs, q, normalizer=STEM)) for q in QUERIES]
     monkeypatch.setattr(search_module, "MOST_FORMS", 0)
     assert [found(search(docs, q, normalizer=STEM)) for q in QUERIES] == usual
+
+
+REPEATED = [("a", 0, "the cat the dog"), ("a", 0, "die katze"), ("a", 1, "the THE end, things ending s"), ("b", 0, "the dog"), ("c", 1, "katze"), ("c", 1, "katze"), (None, 0, "the the cat"), (None, 0, "the"), ("d", 0, None)]
+
+
+@pytest.mark.parametrize("normalizer", [LOWER, STEM])
+def test_rows_of_one_path_have_the_words_of_all(spark, normalizer):
+    docs = spark.createDataFrame(REPEATED, "path string, source int, raw_text string")
+    each = [(p, s, w) for p, s, t in REPEATED for w in words(t or "")]
+    assert {(r["path"], r["word"]): r["freq"] for r in P.word_counts(docs).collect()} == Counter((p, w) for p, _, w in each)
+    freq = Counter((p, normalize(w, normalizer)) for p, _, w in each)
+    assert {(r["path"], r["term"]): r["freq"] for r in P.postings(docs, normalizer).collect()} == freq
+    docs, named = docs.where("path IS NOT NULL"), [(p, s) for p, s, _ in REPEATED if p is not None]
+    length = Counter(p for p, _, _ in each)
+    for query, scored, wanted, unwanted in (("the +dog", "the dog", "dog", ""), ("the katze things -cat", "the katze things", "", "cat")):
+        ok = [(p, s) for p, s in named if (not wanted or freq[p, normalize(wanted, normalizer)]) and not (unwanted and freq[p, normalize(unwanted, normalizer)])]
+        score = Counter()
+        for t in (normalize(w, normalizer) for w in scored.split()):
+            df = sum(freq[p, t] > 0 for p, _ in ok)
+            for p, s in ok:
+                if freq[p, t]:
+                    score[p, s] += freq[p, t] / length[p] * log2(len(named) / (df + 1))
+        want = {x: pytest.approx(y, abs=1e-8) for x, y in score.items()}
+        for got in (search(docs, query, k=None, normalizer=normalizer), search_index(docs, P.full_postings(docs, normalizer), None, query, k=None, normalizer=normalizer)):
+            assert {(r["path"], r["source"]): r["score"] for r in got.collect()} == want, query
+
+
+@pytest.mark.parametrize("f", [P.word_counts, P.postings, lambda d: P.postings(d, STEM), P.full_postings, lambda d: P.full_postings(d, STEM)])
+def test_counts_of_different_paths_are_not_gathered(spark, f):
+    docs = spark.createDataFrame([(str(i), 0, f"word of {i}") for i in range(20)], "path string, source int, raw_text string")
+    plan = f(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
