@@ -24,6 +24,13 @@ OUTCOMES = "version long, message string, status string, error string, documents
 POSTING = "path string, source int, n_terms long, term string, freq long"
 #: Rows of a Parquet page of documents, which are sorted by path in their buckets: a reader of some paths skips the pages between them.
 PAGE_ROWS = 100
+#: Bytes of text that a task is to sort the words of.
+TASK_TEXT = 64 << 20
+
+
+def parts_for(docs: DataFrame) -> int:
+    """How many parts of about ``TASK_TEXT`` the texts of ``docs`` make, by a job that reads them."""
+    return -(-(docs.agg(F.sum(F.octet_length("raw_text"))).first()[0] or 1) // TASK_TEXT)
 
 
 class Folder:
@@ -262,26 +269,39 @@ class DocumentStore(Folder):
         kind = F.when(F.col("source") == 1, "web").otherwise("file").alias("type")
         path = F.coalesce("path", F.raise_error(F.lit("a document without a path"))).alias("path")
         ready = docs.select(path, kind, has("collection_id", "string").alias("collection_id"), "raw_text", has("words", "map<string,bigint>").alias("words"), F.current_timestamp().alias("last_indexed"), F.struct(order).alias("_order"))
-        ready = newest(ready, "path", F.col("_order"), ready.columns[:-1])
+        own_columns = ready.columns[:-1]
+        once, more = P.split_repeated(ready)  # most documents are put once, so their texts are shuffled once and not compared
+        ready = once.select(*own_columns)
+        if more is not None:
+            ready = ready.unionByName(newest(more, "path", F.col("_order"), own_columns))
         name, buckets = uuid.uuid4().hex, m["buckets"]
+        if not m["sets"] and not self._own_buckets:
+            buckets = max(buckets, parts_for(once))
         self._put(ready.repartition(buckets, "path"), f"{name}/docs", buckets, "path")
         own = self._table(f"{name}/docs", DOCUMENT, buckets)
         rows = own.count()
         if outcomes is not None:
-            outcomes.select(F.lit(None).cast("long").alias("version"), "message", "status", "error", "documents").write.parquet(f"{self.root}/sets/{name}/outcomes")
+            self._put_outcomes(outcomes, name)
         indexed: list[int] = []
         while True:
             m = self._newest()
             if batch and m["batches"].get(batch[0], -1) >= batch[1]:
                 self._drop(name)
                 return 0
+            if m["sets"] and m["buckets"] != buckets:  # another writer put the first set meanwhile, in its buckets
+                self._drop(name)
+                name, buckets, indexed = uuid.uuid4().hex, m["buckets"], []
+                self._put(ready.repartition(buckets, "path"), f"{name}/docs", buckets, "path")
+                own = self._table(f"{name}/docs", DOCUMENT, buckets)
+                if outcomes is not None:
+                    self._put_outcomes(outcomes, name)
             for k in self._normalizers(m):
                 if k not in indexed:
                     self._index_set(name, own, k, buckets)
                     indexed.append(k)
             killed = self._kill(m, name, own) if rows else {}
             entry = {"name": name, "rows": rows, "killed": killed, "of": [], "index": indexed, "outcomes": outcomes is not None, "version": m["version"] + 1}
-            new = m | {"version": m["version"] + 1, "sets": [*m["sets"], entry]}
+            new = m | {"version": m["version"] + 1, "buckets": buckets, "sets": [*m["sets"], entry]}
             if batch:
                 new["batches"] = m["batches"] | {batch[0]: batch[1]}
             if self._newest()["number"] == m["number"] and self._commit(new):
@@ -291,6 +311,9 @@ class DocumentStore(Folder):
         self._clean()
         return new["version"]
 
+    def _put_outcomes(self, outcomes: DataFrame, name: str) -> None:
+        outcomes.select(F.lit(None).cast("long").alias("version"), "message", "status", "error", "documents").write.parquet(f"{self.root}/sets/{name}/outcomes")
+
     def _kill(self, m: dict, name: str, own: DataFrame) -> dict[str, int]:
         """Writes which rows of the sets of a manifest the documents ``own`` replace; only paths are read, bucket by bucket."""
         paths = own.select("path").hint("shuffle_hash")
@@ -415,12 +438,13 @@ class DocumentStore(Folder):
 
 
 def write_index(docs: DataFrame, root: str, normalizer: int = LOWER, files: int | None = None) -> None:
-    """Postings (path, source, n_terms, term, freq) sorted by term in ranges of terms, so that a search reads the few row
-    groups with its terms and nothing else; document lengths; and, last, the number of documents."""
-    spark = docs.sparkSession
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = P.full_postings(docs, normalizer)
-    posted.repartitionByRange(n, "term", "path").sortWithinPartitions("term", "path").write.mode("overwrite").parquet(f"{root}/postings")
+    """Postings (path, source, n_terms, term, freq), in every file sorted by term, so that a search reads the few pages
+    with its terms and nothing else; document lengths; and, last, the number of documents. A file has the words of some documents, so no posting is
+    shuffled; documents are dealt to more tasks if they have too much text for those they are in. ``files``: into how many, whatever they have."""
+    n = files or parts_for(docs)
+    if files or docs.rdd.getNumPartitions() < n:
+        docs = docs.repartition(n)
+    P.full_postings(docs, normalizer).sortWithinPartitions("term", "path").write.mode("overwrite").parquet(f"{root}/postings")
     P.document_lengths(docs).write.mode("overwrite").parquet(f"{root}/lengths")
     docs.agg(F.count("*").alias("n_docs")).select("n_docs", F.lit(normalizer).alias("normalizer")).write.mode("overwrite").parquet(f"{root}/facts")
 
