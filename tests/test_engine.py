@@ -481,3 +481,16 @@ def test_log(spark, tmp_path, caplog):
     with caplog.at_level(logging.INFO, "loomtext"):
         Engine(spark, str(tmp_path)).log("from outside")
     assert "from outside" in caplog.text
+
+
+def test_parts_follow_the_text(spark, tmp_path, monkeypatch):
+    from loomtext import store as module
+
+    monkeypatch.setattr(module, "TASK_TEXT", 100)
+    docs = spark.createDataFrame([(f"p{i}", 0, "word " * 20) for i in range(9)], "path string, source int, raw_text string")
+    s = DocumentStore(spark, str(tmp_path / "s"))
+    s.upsert(docs)
+    s.upsert(docs.limit(2))
+    assert s._newest()["buckets"] == 9 and s.read().count() == 9
+    module.write_index(docs, str(tmp_path / "i"))
+    assert {r["freq"] for r in module.read_index(spark, str(tmp_path / "i"))[0].collect()} == {20}
