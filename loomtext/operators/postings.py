@@ -64,9 +64,10 @@ def split_repeated(docs: DataFrame, nulls: bool = True) -> tuple[DataFrame, Data
     return docs.join(twice, same, "left_anti"), docs.join(twice, same, "left_semi")
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(path, word, freq), case kept."""
-    return _by_path(docs, None).withColumnRenamed("term", "word")
+def word_counts(docs: DataFrame, normalizer: int | None = None) -> DataFrame:
+    """(path, word, freq), case kept; with a ``normalizer`` (path, term, freq), where counts of words that fall together are added."""
+    found = _by_path(docs, normalizer)
+    return found if normalizer is not None else found.withColumnRenamed("term", "word")
 
 
 def _by_path(docs: DataFrame, normalizer: int | None) -> DataFrame:

@@ -183,7 +183,7 @@ def postings_lower(spark, sf_dir):
 
 @query(f"SELECT path, lower(word) AS term, CAST(sum(freq) AS BIGINT) AS freq FROM ({COUNTS}) GROUP BY ALL")
 def normalize_counts(spark, sf_dir):
-    return P.renormalized(P.word_counts(documents(spark, sf_dir)), LOWER)
+    return P.word_counts(documents(spark, sf_dir), LOWER)
 
 
 @query(f"WITH {stem_sql(VOCABULARY)} SELECT path, stem AS term, CAST(sum(freq) AS BIGINT) AS freq FROM ({COUNTS}) JOIN stems USING (word) GROUP BY ALL")

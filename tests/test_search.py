@@ -278,3 +278,11 @@ def test_counts_of_different_paths_are_not_gathered(spark, f):
     docs = spark.createDataFrame([(str(i), 0, f"word of {i}") for i in range(20)], "path string, source int, raw_text string")
     plan = f(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_counts_are_normalized_inside_rows(spark):
+    docs = spark.createDataFrame([("a", 0, "The the THE Cat"), ("b", 0, "ΟΔΟΣ οδοσ İi"), ("c", 0, None)], "path string, source int, raw_text string")
+    found = P.word_counts(docs, LOWER)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, P.renormalized(P.word_counts(docs), LOWER).collect())) == [("a", "cat", 1), ("a", "the", 3), ("b", "ii", 1), ("b", "οδοσ", 2)]
