@@ -16,6 +16,10 @@ from ..functions.tokens import WORD, words_column
 
 #: Repeated paths that may be broadcast; with more of them, their rows are told by a shuffled join.
 FEW_PATHS = 10_000
+#: Bytes of text of repeated paths whose counts a task is to add up.
+ADDED_TEXT = 16 << 20
+#: Tasks that the counts of one path may go to.
+PATH_PARTS = 8
 
 
 def brings_words(docs: DataFrame) -> bool:
@@ -72,14 +76,33 @@ def word_counts(docs: DataFrame, normalizer: int | None = None) -> DataFrame:
 
 def _by_path(docs: DataFrame, normalizer: int | None) -> DataFrame:
     """(path, term, freq), a term being the word itself without a ``normalizer``. Texts are counted inside their rows, so that no task holds the words of all of its rows; only
-    those of paths that several rows have, and what documents bring, are aggregated."""
+    what documents bring is aggregated, and the counts of paths that several rows have are added up."""
     once, more = split_repeated(docs)
-    aggregated = lambda df: _counts(df, ["path"], lowered=normalizer == LOWER).withColumnRenamed("word", "term") if normalizer in (None, LOWER) else renormalized(_counts(df, ["path"]), normalizer)
-    text = once.where(~given()) if brings_words(docs) else once
+    found = _row_counts(once, normalizer)
+    if more is None:
+        return found
+    sizes = docs.select("path", F.octet_length("raw_text").alias("size")).groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    return found.unionByName(_added(_row_counts(more, normalizer), sizes.where("n > 1").agg(F.sum("size")).first()[0] or 0))
+
+
+def _row_counts(docs: DataFrame, normalizer: int | None) -> DataFrame:
+    """(path, term, freq) of each row by itself; what rows of one path bring is added."""
+    text = docs.where(~given()) if brings_words(docs) else docs
     found = _in_rows(text, ["path"], normalizer).select("path", "term", "freq")
-    if brings_words(docs):
-        found = found.unionByName(aggregated(once.where(given())))
-    return found if more is None else found.unionByName(aggregated(more))
+    if not brings_words(docs):
+        return found
+    own = _counts(docs.where(given()), ["path"], lowered=normalizer == LOWER)
+    return found.unionByName(own.withColumnRenamed("word", "term") if normalizer in (None, LOWER) else renormalized(own, normalizer))
+
+
+def _added(counts: DataFrame, size: int) -> DataFrame:
+    """(path, term, freq) of rows' counts. They are dealt to as many tasks as their text, of ``size`` bytes, has ``ADDED_TEXT``, so that a task adds as much whatever the input; those
+    of a path go to a few tasks, where they stand together and compress well."""
+    tasks = -(-size // ADDED_TEXT)
+    if tasks <= int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return counts.groupBy("path", "term").agg(F.sum("freq").alias("freq"))
+    dealt = counts.withColumn("_part", F.pmod(F.xxhash64("term"), F.lit(PATH_PARTS))).repartition(tasks, "path", "_part")
+    return dealt.groupBy("path", "_part", "term").agg(F.sum("freq").alias("freq")).drop("_part")
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:

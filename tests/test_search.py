@@ -280,6 +280,20 @@ def test_counts_of_different_paths_are_not_gathered(spark, f):
     assert "Exchange" not in plan and "Aggregate" not in plan
 
 
+@pytest.mark.parametrize("normalizer", [None, LOWER, STEM])
+@pytest.mark.parametrize("size", [P.ADDED_TEXT, 8])
+def test_counts_of_one_path_are_added_by_tasks_of_bounded_text(spark, monkeypatch, normalizer, size):
+    monkeypatch.setattr(P, "ADDED_TEXT", size)
+    docs = spark.createDataFrame([(*r, {"The": 2, "ends": 1} if r[2] == "die katze" else None) for r in REPEATED], "path string, source int, raw_text string, words map<string,bigint>")
+    found = P.word_counts(docs, normalizer)
+    term = lambda w: w if normalizer is None else normalize(w, normalizer)
+    each = [(p, term(w)) for p, _, t in REPEATED for w in (["The", "The", "ends"] if t == "die katze" else words(t or ""))]
+    assert {(r[0], r[1]): r["freq"] for r in found.collect()} == Counter(each) and found.count() == len(set(each))
+    if size == 8:  # tasks go by the text of the rows that share paths, not by the session's partitions
+        n = sum(len(t or "") for p, _, t in REPEATED if p in ("a", "c", None))
+        assert "hashpartitioning(path#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and f", {-(-n // 8)}), REPARTITION_BY_NUM" in plan
+
+
 def test_counts_are_normalized_inside_rows(spark):
     docs = spark.createDataFrame([("a", 0, "The the THE Cat"), ("b", 0, "ΟΔΟΣ οδοσ İi"), ("c", 0, None)], "path string, source int, raw_text string")
     found = P.word_counts(docs, LOWER)
