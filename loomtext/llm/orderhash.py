@@ -180,6 +180,7 @@ class Compared:
         self.classes = Sets(len(ids))
         self.ready: dict[int, Shingled] = {}
         self.differ: set[tuple[int, int]] = set()
+        self.far: np.ndarray | None = None  # pairs that cannot be similar, where they were told at once
 
     def text(self, i: int) -> Shingled:
         if i not in self.ready:
@@ -190,6 +191,8 @@ class Compared:
         """Whether two texts are of one class now; they are compared if they were not."""
         if self.classes.of(i) == self.classes.of(k):
             return True
+        if self.far is not None and self.far[i, k]:
+            return False
         pair = (min(i, k), max(i, k))
         if pair in self.differ:
             return False
@@ -204,7 +207,9 @@ class Compared:
         share one of the ``n - least * n + 1`` that are rarest in the task, whatever they have in common besides."""
         own = [mix64(t.x ^ mix64(occurrences(t.x).astype(np.uint64))) if len(t.x) else t.x for t in map(self.text, range(len(self.ids)))]
         values, at, many = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-        ends = np.cumsum([len(x) for x in own])
+        lengths = np.array([len(x) for x in own], np.int64)
+        self.far = self._far(at, many, lengths)
+        ends = np.cumsum(lengths)
         heads, who = [], []
         for i, end in enumerate(ends.tolist()):
             n = len(own[i])
@@ -219,6 +224,32 @@ class Compared:
         lists = {tuple(x.tolist()): 0 for x in np.split(text, starts[1:]) if len(x) > 1}
         return sorted(map(list, lists), key=len)
 
+    def _far(self, at: np.ndarray, many: np.ndarray, lengths: np.ndarray, share: int = 64, cells: int = 1 << 21) -> np.ndarray | None:
+        """Which pairs have too few shingles in common to be similar, for all pairs but those within the largest class at once: products of
+        0/1 matrices of texts and shingles, ``cells`` at a time. None if a shingle is in fewer than one of ``share`` texts, as few pairs meet then.
+        Copies of one text that are edited too much to be similar share nearly all their shingles, so rare ones alone do not tell them apart."""
+        t = len(lengths)
+        text = np.repeat(np.arange(t), lengths)
+        common = many[at] > 1
+        text, (used, column) = text[common], np.unique(at[common], return_inverse=True)
+        if t < 3 or t * len(used) > share * len(column):
+            return None
+        order = np.argsort(column, kind="stable")
+        text, column = text[order], column[order]
+        of = np.array([self.classes.of(i) for i in range(t)])
+        rows = np.flatnonzero(of != np.bincount(of).argmax())
+        both = np.zeros((len(rows), t), np.float32)  # whole numbers, exact below 2 ** 24
+        step = max(1, cells // t)
+        for lo in range(0, len(used), step):
+            first, last = np.searchsorted(column, [lo, lo + step])
+            x = np.zeros((t, min(step, len(used) - lo)), np.float32)
+            x[text[first:last], column[first:last] - lo] = 1
+            both += x[rows] @ x.T
+        need = np.ceil(self.least * (lengths[rows][:, None] + lengths[None, :]) / (1 + self.least) - 1e-9)
+        far = np.zeros((t, t), bool)
+        far[rows] = both < need
+        return far | far.T
+
     def link(self) -> None:
         """Compares all that share a rare shingle and are not yet of one class."""
         for own in self.shared():
@@ -343,7 +374,11 @@ def _large(own: DataFrame, blobs: DataFrame, least: float, block: int) -> DataFr
     # what a sketch still holds apart: members outside its largest class meet all its members
     now = components(edges).toDF("id", "class")
     held = cut(own.join(now, "id", "left").select("id", F.coalesce("class", "id").alias("own"), F.explode("shared.key").alias("key")))
-    most = held.groupBy("key", "own").count().groupBy("key").agg(F.max_by("own", F.struct("count", "own")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+    # keys with the same members, told by two sums of hashes, bring the same comparisons: one stands for them
+    sums = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(20,0)")).alias(f"sum{k}") for k in range(2)]
+    most = held.groupBy("key", "own").agg(F.count("*").alias("count"), *sums)
+    most = most.groupBy("key").agg(F.max_by("own", F.struct("count", "own")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n"), F.count("*").alias("classes"), *[F.sum(f"sum{k}").alias(f"sum{k}") for k in range(2)]).where("classes > 1")
+    most = most.groupBy("n", "sum0", "sum1").agg(F.min(F.struct("key", "main", "n_main")).alias("one")).select("one.*", "n")
     dealt = held.join(cut(most), "key").withColumn("minor", F.col("own") != F.col("main"))
     dealt = dealt.withColumn("sa", F.ceil(F.col("n_main") / block).cast("int")).withColumn("sb", F.ceil((F.col("n") - F.col("n_main")) / block).cast("int"))
     dealt = dealt.withColumn("at", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("sb")).otherwise(F.col("sa"))).cast("int"))

@@ -210,6 +210,32 @@ def test_a_common_passage_makes_no_lists():
     assert orderhash.Compared(list(range(50)), list(map(pack, texts)), 0.8).shared() == []
 
 
+def test_copies_edited_too_much_are_told_apart_at_once(monkeypatch):
+    """Of many copies of one text only those that can be similar are compared one by one, and no link is lost."""
+    from loomtext.llm.common import pack
+
+    r = random.Random(4)
+    base = family(r, 150)
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for at in r.sample(range(150), r.choice([1, 4, 5, 6])):
+            words[at] = f"edit{r.randrange(300)}"
+        texts.append(" ".join(words))
+    ready, want, similar = list(map(orderhash.Shingled, texts)), Sets(), orderhash.Shingled.similar
+    for i in range(120):
+        for k in range(i):
+            if ready[i].similar(ready[k], 0.8):
+                want.join(i, k)
+    compared = []
+    monkeypatch.setattr(orderhash.Shingled, "similar", lambda a, b, least: compared.append(1) or similar(a, b, least))
+    here = orderhash.Compared(list(range(120)), list(map(pack, texts)), 0.8)
+    here.link()
+    classes = [want.of(i) for i in range(120)]
+    assert [here.classes.of(i) for i in range(120)] == classes and 10 < len(set(classes)) < 110
+    assert len(compared) < 400  # of 7,140 pairs
+
+
 def test_occurrences_and_order():
     assert orderhash.occurrences(np.array([3, 1, 3, 3, 1], np.uint64)).tolist() == [0, 0, 1, 2, 1]
     words = [f"w{i}" for i in range(200)]
