@@ -81,8 +81,16 @@ def _by_path(docs: DataFrame, normalizer: int | None) -> DataFrame:
     found = _row_counts(once, normalizer)
     if more is None:
         return found
-    sizes = docs.select("path", F.octet_length("raw_text").alias("size")).groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    return found.unionByName(_added(_row_counts(more, normalizer), sizes.where("n > 1").agg(F.sum("size")).first()[0] or 0))
+    sizes = more.select("path", F.octet_length("raw_text").alias("size")).groupBy("path").agg(F.sum("size").alias("size"))
+    long = sizes.where(F.col("size") > ADDED_TEXT)
+    total, n_long, size_long = sizes.agg(F.sum("size"), F.count_if(F.col("size") > ADDED_TEXT), F.sum(F.when(F.col("size") > ADDED_TEXT, F.col("size")))).first()
+    if not n_long:
+        return found.unionByName(_gathered(more, normalizer, total or 0))
+    long = long.select(F.col("path").alias("_path"))
+    long = F.broadcast(long) if n_long <= FEW_PATHS else long
+    same = F.col("path").eqNullSafe(F.col("_path"))
+    found = found.unionByName(_gathered(more.join(long, same, "left_anti"), normalizer, total - size_long))
+    return found.unionByName(_added(_row_counts(more.join(long, same, "left_semi"), normalizer), size_long))
 
 
 def _row_counts(docs: DataFrame, normalizer: int | None) -> DataFrame:
@@ -95,6 +103,13 @@ def _row_counts(docs: DataFrame, normalizer: int | None) -> DataFrame:
     return found.unionByName(own.withColumnRenamed("word", "term") if normalizer in (None, LOWER) else renormalized(own, normalizer))
 
 
+def _gathered(docs: DataFrame, normalizer: int | None, size: int) -> DataFrame:
+    """(path, term, freq) of paths with at most ``ADDED_TEXT`` of text each, ``size`` bytes in all: the rows of a path are brought to one task before their words are counted, since
+    their counts are several times as long as their texts. What is counted there is added without another shuffle."""
+    tasks = max(-(-size // ADDED_TEXT), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return _row_counts(docs.repartition(tasks, "path"), normalizer).groupBy("path", "term").agg(F.sum("freq").alias("freq"))
+
+
 def _added(counts: DataFrame, size: int) -> DataFrame:
     """(path, term, freq) of rows' counts. They are dealt to as many tasks as their text, of ``size`` bytes, has ``ADDED_TEXT``, so that a task adds as much whatever the input; those
     of a path go to a few tasks, where they stand together and compress well."""

@@ -300,3 +300,19 @@ def test_counts_are_normalized_inside_rows(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Aggregate" not in plan
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, P.renormalized(P.word_counts(docs), LOWER).collect())) == [("a", "cat", 1), ("a", "the", 3), ("b", "ii", 1), ("b", "οδοσ", 2)]
+
+
+@pytest.mark.parametrize("most", [16 << 20, 100])
+def test_rows_of_a_path_are_brought_together_before_they_are_counted(spark, monkeypatch, most):
+    """Of paths with little text the texts are shuffled, not their counts; paths with more text are counted first. Results are the same."""
+    monkeypatch.setattr(P, "ADDED_TEXT", most)
+    rows = [("a", "One two two"), ("a", "two Three"), ("b", "alone"), (None, "x y"), (None, "y z"), ("long", "long one " * 30), ("long", "ends"), ("none", None), ("none", "")]
+    df = spark.createDataFrame(rows, "path string, raw_text string")
+    want = Counter()
+    for path, text in rows:
+        want.update((path, w.lower()) for w in (text or "").split())
+    found = P.postings(df)
+    assert sorted(map(repr, ((r["path"], r["term"], r["freq"]) for r in found.collect()))) == sorted(repr((*k, n)) for k, n in want.items())
+    exchanges = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    if most > 100:
+        assert exchanges and not any("term" in x for x in exchanges)
